@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.session import ship
+
 #: Rows handed to a Python worker at once: bounds its memory where texts are long.
 ARROW_ROWS = 512
 _own_dir: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, by rows and by bytes."""
+    """Ship the code, and bound what one Arrow batch holds, by rows and by bytes."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
@@ -43,7 +46,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` (file bytes of the columns read); no job."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(size, 1 << 50)
 
 

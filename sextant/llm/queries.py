@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import base, decontaminate
+from sextant.llm import base, decontaminate, substring_dedup, suffix_dedup, warc
 
 _MODULES = {
+    "op3_warc_revisits": warc,
     "op4_decontaminate": decontaminate,
+    "op7_suffix_dedup": suffix_dedup,
+    "op9_substring_dedup": substring_dedup,
 }
 
 
