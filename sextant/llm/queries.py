@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import base, decontaminate, substring_dedup, suffix_dedup, warc
+from sextant.llm import base, decontaminate, near_dedup, substring_dedup, suffix_dedup, token_files, topk, warc
 
 _MODULES = {
     "op3_warc_revisits": warc,
     "op4_decontaminate": decontaminate,
+    "op5_near_dedup": near_dedup,
     "op7_suffix_dedup": suffix_dedup,
+    "op8_token_files": token_files,
     "op9_substring_dedup": substring_dedup,
+    "op10_topk": topk,
 }
 
 
