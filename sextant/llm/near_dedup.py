@@ -48,6 +48,9 @@ TREES, START, LEAF, CHILDREN, DEEPEST = 16, 3, 4096, 2, 9
 #: in common at least: 0.85 less four standard deviations.
 TOKENS, NEAR = 128, 0.72
 TILE = 512
+#: Copies of each class in the join that gives its members their representative,
+#: for classes that hold much of the corpus.
+SALT = 32
 _RNG = np.random.default_rng(20240501)
 _XOR = _RNG.integers(0, 1 << 64, TOKENS, dtype=np.uint64)
 _ODD = _RNG.integers(0, 1 << 64, TOKENS, dtype=np.uint64) | U(1)
@@ -279,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = parts_for(docs.select(id_col, text_col), 6_000_000)
     signed = written(signatures(docs, id_col, text_col, width), "signatures")
     real = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = written(real.select("doc_id", "digest", "tokens").join(classes, (F.col("doc_id") == F.col("rep")) & (real["digest"] == classes["digest"])).select("doc_id", "tokens").dropDuplicates(["doc_id"]), "reps")
 
     loose = by_runs(nodes(reps, leaf), parts, ["node"], ["doc_id"], _forest, "a bigint, b bigint").distinct()
@@ -296,7 +299,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = by_runs(tiles, parts, ["cluster", "ti", "tj"], ["doc_id"], _linked(threshold), "a bigint, b bigint")
 
     strict = components(links)
-    in_class = signed.join(classes, ["digest", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    copied = classes.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+    salted = signed.select("doc_id", "n_shingles", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).alias("salt"))
+    in_class = salted.join(copied, ["digest", "n_shingles", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     in_class = in_class.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("rep").alias("rep"))
     out = in_class.join(strict.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
     return out.select(F.col("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

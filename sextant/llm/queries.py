@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import base, decontaminate, near_dedup, substring_dedup, suffix_dedup, token_files, topk, warc
+from sextant.llm import base, decontaminate, language_id, near_dedup, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_files, topk, warc
 
 _MODULES = {
+    "op1_language_id": language_id,
+    "op2_quality": quality,
     "op3_warc_revisits": warc,
     "op4_decontaminate": decontaminate,
     "op5_near_dedup": near_dedup,
+    "op6_sentencepiece": sentencepiece_codec,
     "op7_suffix_dedup": suffix_dedup,
     "op8_token_files": token_files,
     "op9_substring_dedup": substring_dedup,

@@ -59,10 +59,12 @@ class _Plan:
         return view.windows(twin), np.flatnonzero(view.windows(again & (~twin | leads)))
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: bool = False) -> DataFrame:
-    """``SCHEMA`` for each document; with ``keep`` also ``kept``, the bytes left."""
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """``SCHEMA`` for each document; with ``keep`` also ``kept``, the text left
+    (less what remains of a character that was cut);
+    with ``carry`` also a struct of these columns of ``docs``."""
     gram = max(1, width // 2)
-    dealt, buckets = X.batched(docs, id_col, text_col)
+    dealt, buckets = X.batched(docs, id_col, text_col, carry)
 
     def first_ask(batch: int, group: pa.Table) -> pa.Table:
         plan = _Plan(_view(texts_of(group["text"]), width, gram)[1], buckets)
@@ -88,11 +90,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = list(zip(*rows, strict=True))
         out = [group["doc_id"].combine_chunks(), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        return pa.table([*out, pa.array(cols[4], pa.binary())], [*names, "kept"]) if keep else pa.table(out, names)
+        if keep:
+            out, names = [*out, pa.array([x.decode("utf-8", "ignore") for x in cols[4]], pa.string())], [*names, "kept"]
+        if carry:
+            out, names = [*out, group["carry"].combine_chunks()], [*names, "carry"]
+        return pa.table(out, names)
 
     replies = X.ask(dealt, first_ask)
     more = X.exchange(X.with_replies(dealt, replies, second_ask, X.REQUEST))
-    return X.with_replies(dealt, replies.unionByName(more), finish, SCHEMA + (", kept binary" if keep else ""))
+    return X.with_replies(dealt, replies.unionByName(more), finish, SCHEMA + ", kept string" * keep + (f", carry {dealt.schema['carry'].dataType.simpleString()}" if carry else ""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
