@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from sextant.plans import text_queries  # noqa: F401
