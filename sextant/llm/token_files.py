@@ -15,12 +15,13 @@ table makes no shard; further columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +32,15 @@ MAGIC = b"SXTOKEN1"
 END_ID = 2
 #: Stored bytes of input for one shard.
 SHARD_BYTES = 12_000_000
-#: Pieces that a worker remembers the ids of.
-REMEMBER = 250_000
-#: Fixed value: how byte-level BPE of this family splits a text.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters beyond these may be classified otherwise by another library.
-UNUSUAL = regex.compile(r"[^\t-\r -~\u00a0-\u024f\u2010-\u2027]")
+#: Pieces that a worker remembers the ids of, at about 200 bytes each.
+REMEMBER = 1_000_000
+#: Fixed value: how byte-level BPE of this family splits a text (letters, digits
+#: and the rest, each with a space before), for texts without ``UNUSUAL``.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Characters that another library may put in another class.
+UNUSUAL = re.compile(r"[^\t-\r -~\u00a0-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u2010-\u2027]")
+#: Pieces that split as before when they are laid end to end.
+CHAINS = re.compile(r" [^\W\d_]+")
 
 
 class Encoder:
@@ -51,15 +55,37 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype, self.code = (np.dtype("<u2"), "H") if self.model.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
+        #: Bytes of each token, whose spelling has a character for each byte.
+        self.length = np.zeros(self.model.get_vocab_size(), np.int64)
+        for token, i in self.model.get_vocab().items():
+            self.length[i] = len(token)
         special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         pre = str(self.model.pre_tokenizer)
         self.splits = self.model.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
         self.known: dict[str, bytes] = {}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces.  Most are a space and letters: a chain of them is
+        encoded in one call and cut where the pieces' bytes end."""
+        chained = [p for p in pieces if CHAINS.fullmatch(p)]
+        for at in range(0, len(chained), 2000):
+            some = chained[at : at + 2000]
+            ids = self.model.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
+            packed, size = array(self.code, ids).tobytes(), self.dtype.itemsize
+            ends = np.cumsum(self.length[ids])
+            cuts = np.cumsum([len(p.encode()) for p in some])
+            after = np.searchsorted(ends, cuts) + 1
+            if ends[-1] != cuts[-1] or (ends[after - 1] != cuts).any():
+                raise ValueError("a token goes over the end of a piece")
+            before = np.concatenate([[0], after[:-1]]) * size
+            self.known.update((p, packed[a:b]) for p, a, b in zip(some, before.tolist(), (after * size).tolist(), strict=True))
+        rest = [p for p in pieces if p not in self.known]
+        self.known.update(zip(rest, self._pack(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -68,16 +94,17 @@ class Encoder:
         for at in range(0, len(whole), 16):
             for i, ids in zip(whole[at : at + 16], self._pack([texts[i] for i in whole[at : at + 16]]), strict=True):
                 out[i] = ids
-        known = self.known
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                pieces = SPLIT.findall(text)
-                if new := [p for p in set(pieces) if p not in known]:
-                    if len(known) + len(new) > REMEMBER:
-                        known.clear()
-                        new = list(set(pieces))
-                    known.update(zip(new, self._pack(new), strict=True))
-                out[i] = b"".join(map(known.__getitem__, pieces))
+        todo = [i for i in range(len(texts)) if out[i] is None]
+        for at in range(0, len(todo), 64):
+            split = [SPLIT.findall(texts[i]) for i in todo[at : at + 64]]
+            found = [list(map(self.known.get, pieces)) for pieces in split]
+            new = {p for pieces, ids in zip(split, found, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None}
+            if new:
+                if len(self.known) + len(new) > REMEMBER:
+                    self.known.clear()
+                self._learn(list(new))
+            for i, pieces, ids in zip(todo[at : at + 64], split, found, strict=True):
+                out[i] = b"".join([x or self.known[p] for p, x in zip(pieces, ids, strict=True)] if None in ids else ids)
         return out
 
 
