@@ -27,7 +27,7 @@ _REQUEST = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("batch", p
 _REPLY = pa.schema([("batch", pa.int64()), ("kind", pa.string()), ("bucket", pa.int32()), ("shared", pa.binary()), ("first", pa.binary())])
 #: Input bytes (as stored) of a batch of documents, batches for one bucket, and
 #: buckets at least.
-BATCH_BYTES, BATCHES_A_BUCKET, BUCKETS = 700_000, 8, 32
+BATCH_BYTES, BATCHES_A_BUCKET, BUCKETS = 350_000, 8, 32
 
 
 def batched(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> tuple[DataFrame, int]:

@@ -32,7 +32,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, _R, np.uint64), np.full(size, _RINV, np.uint64)
     up[0] = down[0] = 1

@@ -48,7 +48,7 @@ class View:
     def windows(self, chosen: np.ndarray) -> np.ndarray:
         """For each position, whether its window has one of the chosen anchors."""
         out = np.zeros(len(self.least), bool)
-        for part in np.array_split(np.flatnonzero(chosen), max(1, int(chosen.sum()) * self.reach // 2_000_000)):
+        for part in np.array_split(np.flatnonzero(chosen), max(1, int(chosen.sum()) * self.reach // 500_000)):
             if not len(part):
                 continue
             at = self.at[part]

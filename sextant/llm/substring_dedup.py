@@ -57,11 +57,16 @@ def _lookups(view: View, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
     return hashes, of, least
 
 
-def factors(known: np.ndarray, width: int) -> list[tuple[int, int]]:
+def factors(known: np.ndarray, width: int, first: np.ndarray) -> list[tuple[int, int]]:
     """Greedy parse: [start, end) of the factors, given for each position whether
-    the reference holds the window that starts there."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], known.astype(np.int8), [0]])))
-    return [(int(a), int(b) + width - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    the reference holds the window that starts there, and where texts begin."""
+    begin, stop = known.copy(), known.copy()
+    begin[1:] &= ~known[:-1]
+    stop[:-1] &= ~known[1:]
+    edge = first[(first > 0) & (first < len(known))]
+    begin[edge] = known[edge]
+    stop[edge - 1] = known[edge - 1]
+    return list(zip(np.flatnonzero(begin).tolist(), (np.flatnonzero(stop) + width).tolist(), strict=True))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: bool = False) -> DataFrame:
@@ -84,7 +89,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         known = np.zeros(view.n, bool)
         known[at[replies.read("window", hashes, buckets)[0][of] | (ids[at] > least[of])]] = True
         gone = np.zeros(view.n + 1, np.int32)
-        found = factors(known, width)
+        found = factors(known, width, view.first)
         for a, b in found:
             gone[a] += 1
             gone[b] -= 1
