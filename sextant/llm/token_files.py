@@ -43,6 +43,17 @@ UNUSUAL = re.compile(r"[^\t-\r -~\u00a0-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u
 CHAINS = re.compile(r" [^\W\d_]+")
 
 
+def _nones(values: list) -> list[int]:
+    """Where a list has None."""
+    at, k = [], -1
+    try:
+        while True:
+            k = values.index(None, k + 1)
+            at.append(k)
+    except ValueError:
+        return at
+
+
 class Encoder:
     """Encodes texts exactly as ``tokenizers`` does.  Pieces between splits are
     independent in byte-level BPE, so each distinct piece is encoded once; texts
@@ -72,19 +83,20 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces.  Most are a space and letters: a chain of them is
         encoded in one call and cut where the pieces' bytes end."""
-        chained = [p for p in pieces if CHAINS.fullmatch(p)]
+        chained = list(filter(CHAINS.fullmatch, pieces))
         for at in range(0, len(chained), 2000):
             some = chained[at : at + 2000]
-            ids = self.model.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
+            text = "".join(some)
+            ids = self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
             packed, size = array(self.code, ids).tobytes(), self.dtype.itemsize
             ends = np.cumsum(self.length[ids])
-            cuts = np.cumsum([len(p.encode()) for p in some])
+            cuts = np.cumsum(list(map(len, some if text.isascii() else map(str.encode, some))))
             after = np.searchsorted(ends, cuts) + 1
             if ends[-1] != cuts[-1] or (ends[after - 1] != cuts).any():
                 raise ValueError("a token goes over the end of a piece")
             before = np.concatenate([[0], after[:-1]]) * size
             self.known.update((p, packed[a:b]) for p, a, b in zip(some, before.tolist(), (after * size).tolist(), strict=True))
-        rest = [p for p in pieces if p not in self.known]
+        rest = list(set(pieces).difference(chained))
         self.known.update(zip(rest, self._pack(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -98,13 +110,15 @@ class Encoder:
         for at in range(0, len(todo), 64):
             split = [SPLIT.findall(texts[i]) for i in todo[at : at + 64]]
             found = [list(map(self.known.get, pieces)) for pieces in split]
-            new = {p for pieces, ids in zip(split, found, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None}
-            if new:
+            gaps = [_nones(ids) for ids in found]
+            if new := {pieces[k] for pieces, at_ in zip(split, gaps, strict=True) for k in at_}:
                 if len(self.known) + len(new) > REMEMBER:
                     self.known.clear()
                 self._learn(list(new))
-            for i, pieces, ids in zip(todo[at : at + 64], split, found, strict=True):
-                out[i] = b"".join([x or self.known[p] for p, x in zip(pieces, ids, strict=True)] if None in ids else ids)
+            for i, pieces, ids, at_ in zip(todo[at : at + 64], split, found, gaps, strict=True):
+                for k in at_:
+                    ids[k] = self.known[pieces[k]]
+                out[i] = b"".join(ids)
         return out
 
 
