@@ -27,3 +27,12 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("sextant", os.path.relpath(full, top)))
     spark.sparkContext.addPyFile(to)
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names; a
+    temporary folder only where the session names none."""
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='sextant-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
