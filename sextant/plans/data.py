@@ -26,7 +26,7 @@ WHEN 5 THEN '<think>' || text || '</think> stray <search>' || split_part(text, '
 ELSE '<think>b</think> <answer>' || split_part(text, ' ', 2) || '</answer> ' END
 """
 PREDICTION = "CASE conv_id % 3 WHEN 0 THEN 'The ' || split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || '!' WHEN 1 THEN text ELSE split_part(text, ' ', 3) END"
-GOLDS = "array(upper(split_part(text, ' ', 1)) || ' ' || split_part(text, ' ', 2), 'an ' || split_part(text, ' ', 2))"
+GOLDS = "array('THE ' || split_part(text, ' ', 1) || '. ' || split_part(text, ' ', 2), 'an ' || split_part(text, ' ', 2))"
 #: Turns of conversations as transcripts with gold answers (DuckDB).
 T_SQL = f"t AS (SELECT conv_id, turn, text, {TRANSCRIPT} AS transcript, {PREDICTION} AS prediction, [{GOLDS[6:-1]}] AS golds FROM conversations)"
 

@@ -65,11 +65,11 @@ _GAE = f"""WITH {K_SQL}, e AS (SELECT *, reward + 0.99 * coalesce(lead(value) OV
 g AS (SELECT row_id, pos, value, sum(delta * pow(0.99 * 0.95, pos)) OVER (PARTITION BY row_id ORDER BY pos DESC) / pow(0.99 * 0.95, pos) AS adv FROM e)"""
 
 
-@register("gae", _GAE + " SELECT row_id, pos, round(adv, 4) AS advantage, round(adv + value, 4) AS returns FROM g")
+@register("gae", _GAE + " SELECT row_id, pos, round(adv + 1e-9, 6) AS advantage, round(adv + value + 1e-9, 6) AS returns FROM g")
 def gae(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sequences(tokens(spark, sf_dir)).select("row_id", "value", S.gae(F.col("reward"), F.col("value"), 0.99, 0.95).alias("adv"))
     flat = s.select("row_id", F.posexplode(F.arrays_zip("adv", "value")).alias("i", "x"))
-    return flat.select("row_id", (F.col("i") + 1).cast("bigint").alias("pos"), F.round("x.adv", 4).alias("advantage"), F.round(F.col("x.adv") + F.col("x.value"), 4).alias("returns"))
+    return flat.select("row_id", (F.col("i") + 1).cast("bigint").alias("pos"), F.round(F.col("x.adv") + 1e-9, 6).alias("advantage"), F.round(F.col("x.adv") + F.col("x.value") + 1e-9, 6).alias("returns"))
 
 
 @register("whiten", "SELECT event_id, round((value - (SELECT avg(value) FROM events)) / sqrt((SELECT var_samp(value) FROM events) + 1e-8), 6) AS whitened FROM events")
