@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sextant.functions.text import phrase_tokens
+from sextant.functions.text import WORDS, phrase_tokens
 
 K1, B = 0.9, 0.4
 #: Sides of up to so many rows are broadcast; larger ones shuffle.
@@ -38,22 +38,25 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, query_id: str = "query_id", text_col: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """query_id, doc_id, score of every pair that shares a term.
 
-    Postings are cut to the queries' terms before anything is shuffled, if these
-    are few; lengths travel with the postings; document frequencies come from
-    the cut postings.  Queries without terms have no hits."""
+    Postings are cut to the queries' terms, which are broadcast if they are few;
+    lengths travel with the postings; document frequencies come from the cut
+    postings.  Queries without terms have no hits."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(phrase_tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = asked.select("term").distinct()
-    base = docs.select(F.col(doc_id).alias("doc_id"), phrase_tokens(F.col(text_col)).alias("w"))
-    lengths = base.select("doc_id", F.size("w").alias("dl"))
-    cut = base.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(sized(terms), "term", "left_semi")
+    few = asked.limit(SMALL + 1).count() <= SMALL  # bounds the queries' terms and their frequencies as well
+    small = F.broadcast if few else lambda df: df
+    low = F.lower(F.col(text_col))
+    whole = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.regexp_count(low, F.lit(WORDS)), F.lit(0))).alias("avgdl")).collect()[0]  # one row
+    n, avgdl = whole.n, whole.avgdl or 1.0
+    # Dealt by document once: counts by (document, term) and sums by (query,
+    # document) then stay where they are.
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("t")).repartition("doc_id").select("doc_id", phrase_tokens(F.col("t")).alias("w"))
+    cut = base.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
     counted = cut.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    whole = corpus_stats(lengths).collect()[0]  # one row
-    n, avgdl = whole.n, whole.avgdl or 1.0
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    weighed = counted.join(sized(frequency), "term").select("term", "doc_id", weight.alias("weight"))
-    return weighed.join(sized(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
+    weighed = counted.join(small(frequency), "term").select("term", "doc_id", weight.alias("weight"))
+    return weighed.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
 
 
 def top_k(hits: DataFrame, k: int, *ties: str, partition: str = "query_id", digits: int = 6) -> DataFrame:
@@ -96,16 +99,17 @@ def encoder_prefix(c: Column, model: str, is_query: bool) -> Column:
     return c
 
 
-def lexical_overlap(query: Column, text: Column) -> Column:
+def lexical_overlap(query_words: Column, text_words: Column) -> Column:
     """Share of the query's distinct words that the text has: the reranker used
-    where no model is plugged in."""
-    q, t = F.array_distinct(phrase_tokens(query)), F.array_distinct(phrase_tokens(text))
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
+    where no model is plugged in.  Both sides are arrays of distinct words, made
+    once for each text and not for each pair."""
+    return F.when(F.size(query_words) == 0, 0.0).otherwise(F.size(F.array_intersect(query_words, text_words)) / F.size(query_words))
 
 
-def rerank(pairs: DataFrame, k: int, score: Column) -> DataFrame:
-    """The k best of each query; ties keep the order they came in (``pos``)."""
-    scored = pairs.withColumn("score", F.round(score, 6))
+def rerank(pairs: DataFrame, k: int, score: Column, keep: list[str]) -> DataFrame:
+    """The k best of each query; ties keep the order they came in (``pos``).
+    Only ``keep`` columns move with the scores."""
+    scored = pairs.select("query_id", "pos", *keep, F.round(score, 6).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -9,8 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables whose rows cost much to work on.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table.  Texts that lie in fewer files than there are cores (so in one
+    or few row groups) are dealt out; many files are read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and len(df._jdf.inputFiles()) < cores else df
 
 
 #: A prompt with an example answer, then an assistant's turn, well formed or not.

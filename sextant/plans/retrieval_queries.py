@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sextant.functions.text import contains_phrase, normalize_phrase, passages_to_string
+from sextant.functions.text import contains_phrase, normalize_phrase, passages_to_string, phrase_tokens
 from sextant.operators import batch as B
 from sextant.operators import retrieval as R
 from sextant.plans.data import CONTENTS, passages, table
@@ -127,19 +127,19 @@ _OVERLAP = f"(SELECT CASE WHEN len(a) = 0 THEN 0 ELSE round(len(list_intersect(a
 s AS (SELECT query_id, own, r, doc_id, {_OVERLAP} AS score FROM x), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, own, r) AS INTEGER) AS rank FROM s) SELECT query_id, rank, own, doc_id, score FROM o WHERE rank <= 5""")
 def rerank_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query of the request against every document of every query."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("qt"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("dt")).join(R.sized(bm25_top(spark, sf_dir, 2).select(F.col("query_id").alias("own"), "rank", "doc_id")), "doc_id").withColumnRenamed("rank", "r")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(phrase_tokens(F.col("text"))).alias("qt"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(R.sized(bm25_top(spark, sf_dir, 2).select(F.col("query_id").alias("own"), "rank", "doc_id")), "doc_id").select("own", F.col("rank").alias("r"), "doc_id", F.array_distinct(phrase_tokens(F.col("text"))).alias("dt"))
     pairs = docs.crossJoin(R.sized(items)).withColumn("pos", F.struct("own", "r"))
-    return R.rerank(pairs, 5, R.lexical_overlap(F.col("qt"), F.col("dt"))).select("query_id", "rank", "own", "doc_id", "score")
+    return R.rerank(pairs, 5, R.lexical_overlap(F.col("qt"), F.col("dt")), ["own", "doc_id"]).select("query_id", "rank", "own", "doc_id", "score")
 
 
 @register("retrieve_then_rerank", f"""WITH {BM25_SQL}, x AS (SELECT query_id, rank AS r, t.doc_id, (SELECT b.text FROM benchmark b WHERE b.item_id = query_id) AS qt, d.text AS dt FROM top t JOIN documents d USING (doc_id) WHERE rank <= 10),
 s AS (SELECT query_id, r, doc_id, {_OVERLAP} AS score FROM x), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r) AS INTEGER) AS rank FROM s) SELECT query_id, rank, doc_id, score FROM o WHERE rank <= 3""")
 def retrieve_then_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("qt"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("dt"))
-    pairs = docs.join(R.sized(bm25_top(spark, sf_dir, 10).select("query_id", F.col("rank").alias("pos"), "doc_id")), "doc_id").join(R.sized(items), "query_id")
-    return R.rerank(pairs, 3, R.lexical_overlap(F.col("qt"), F.col("dt"))).select("query_id", "rank", "doc_id", "score")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(phrase_tokens(F.col("text"))).alias("qt"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = docs.join(R.sized(bm25_top(spark, sf_dir, 10).select("query_id", F.col("rank").alias("pos"), "doc_id")), "doc_id").withColumn("dt", F.array_distinct(phrase_tokens(F.col("text")))).drop("text").join(R.sized(items), "query_id")
+    return R.rerank(pairs, 3, R.lexical_overlap(F.col("qt"), F.col("dt")), ["doc_id"]).select("query_id", "rank", "doc_id", "score")
 
 
 @register("serp_assemble", """WITH s AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
