@@ -98,7 +98,7 @@ def test_stages_keep_the_columns_of_documents(llm_spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["op3_warc_revisits", "op4_decontaminate", "op10_topk"])
+@pytest.mark.parametrize("name", ["op3_warc_revisits", "op4_decontaminate", "op5_near_dedup", "op9_substring_dedup", "op10_topk"])
 def test_query_matches_sql(llm_spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages", "embeddings"):
