@@ -32,8 +32,9 @@ MAGIC = b"SXTOKEN1"
 END_ID = 2
 #: Stored bytes of input for one shard.
 SHARD_BYTES = 12_000_000
-#: Pieces that a worker remembers the ids of, at about 200 bytes each.
-REMEMBER = 1_000_000
+#: Pieces that a worker remembers the ids of, at about 200 bytes each, in each of
+#: two generations: what was not used in the younger one is forgotten first.
+REMEMBER = 700_000
 #: Fixed value: how byte-level BPE of this family splits a text (letters, digits
 #: and the rest, each with a space before), for texts without ``UNUSUAL``.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -76,6 +77,7 @@ class Encoder:
         pre = str(self.model.pre_tokenizer)
         self.splits = self.model.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -113,8 +115,10 @@ class Encoder:
             gaps = [_nones(ids) for ids in found]
             if new := {pieces[k] for pieces, at_ in zip(split, gaps, strict=True) for k in at_}:
                 if len(self.known) + len(new) > REMEMBER:
-                    self.known.clear()
-                self._learn(list(new))
+                    self.older, self.known = self.known, {}
+                again = {p: x for p in new if (x := self.older.get(p)) is not None}
+                self.known.update(again)
+                self._learn(list(new.difference(again)))
             for i, pieces, ids, at_ in zip(todo[at : at + 64], split, found, gaps, strict=True):
                 for k in at_:
                     ids[k] = self.known[pieces[k]]
