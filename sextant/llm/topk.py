@@ -36,6 +36,8 @@ QUERY_BLOCK, BLOCK = 2048, 16384
 HEAD = 1024
 #: Leading coordinates of the partial products, and candidates of a chunk.
 LEAD, CHUNK = 16, 1024
+#: Share of a chunk's pairs from which on all its products are made at once.
+DENSE = 0.02
 PACKED = "vec_id bigint, is_query boolean, length double, v binary"
 BEST = "uid bigint, query_id bigint, vec_id bigint, score bigint"
 
@@ -117,11 +119,17 @@ class Scan:
             turned = x[rows] @ self.axes
             rest = np.sqrt((turned[:, LEAD:] ** 2).sum(1))
             bound = self.lead[active] @ turned[:, :LEAD].T + self.rest[active, None] * rest[None, :] + slack[active, None]
-            a, b = np.nonzero((bound >= bar[active, None]) & (self.own[active, None] != uid[rows][None, :]))
-            a = active[a]
-            for piece in np.array_split(np.arange(len(a)), max(1, len(a) // 65536)):
-                qi, xi = a[piece], rows[b[piece]]
-                score = self.exact(qi, x, xi)
+            mask = (bound >= bar[active, None]) & (self.own[active, None] != uid[rows][None, :])
+            if mask.mean() > DENSE and self.length.max() * length[rows[0]] * 1.01 < 2**53:  # one product of blocks beats many of pairs
+                product = self.q[active] @ x[rows].T
+                a, b = np.nonzero(mask & (product >= bar[active, None]))
+                parts = [(active[a], rows[b], product[a, b])] if len(a) else []
+            else:
+                a, b = np.nonzero(mask)
+                parts = ((active[a[i]], rows[b[i]], None) for i in np.array_split(np.arange(len(a)), max(1, len(a) // 65536)))
+            for qi, xi, score in parts:
+                if score is None:
+                    score = self.exact(qi, x, xi)
                 good = score >= np.maximum(self.floor, self.best[:, 0])[qi]
                 found.append((qi[good], xi[good], score[good]))
                 self._raise(qi[good], score[good].astype(float))
