@@ -60,7 +60,11 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 8) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table.  Texts that lie in fewer files than there are cores (so in one
+    or few row groups) are dealt out; many files are read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and len(df._jdf.inputFiles()) < cores else df
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
