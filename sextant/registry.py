@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
@@ -30,9 +32,19 @@ def load() -> None:
     import sextant.plans.catalog  # noqa: F401
 
 
+def _shipped(f: Query) -> Query:
+    """The query, after the package was sent to the executors."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     load()
-    return dict(_queries)
+    return {name: _shipped(f) for name, f in _queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -41,5 +53,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load()
-    return _queries["context_topk"](spark, sf_dir)
+    return queries()["context_topk"](spark, sf_dir)
