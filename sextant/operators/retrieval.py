@@ -50,7 +50,10 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, quer
     # Dealt by document once: counts by (document, term) and sums by (query,
     # document) then stay where they are.
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("t")).repartition("doc_id").select("doc_id", phrase_tokens(F.col("t")).alias("w"))
-    cut = base.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    # The length is taken before the words are rows, so that no row carries all
+    # words; the outer form keeps Catalyst from tokenising twice for a filter.
+    terms = base.select("doc_id", F.size("w").alias("dl"), "w").select("doc_id", "dl", F.explode_outer("w").alias("term")).where("term IS NOT NULL")
+    cut = terms.join(small(asked.select("term").distinct()), "term", "left_semi")
     counted = cut.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
