@@ -119,7 +119,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     found = F.array_distinct("fp")
     for n in short:
         found = F.array_union(found, _all_grams(F.col("w"), n))
-    seen = marked.select("doc", F.size("w").cast("bigint").alias("n_words"), F.explode_outer(found).alias("fp"))
+    # Counted before fingerprints become rows, so that no row carries all words.
+    counted = marked.select("doc", F.size("w").cast("bigint").alias("n_words"), found.alias("found"))
+    seen = counted.select("doc", "n_words", F.explode_outer("found").alias("fp"))
     if few:
         seen = seen.join(F.broadcast(item_fps), "fp", "left")
     else:
@@ -134,7 +136,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     again = again.select("doc", words(F.col("t")).alias("w"))
     spans = None
     for n in [window, *short]:
-        each = again.where(F.size("w") >= n).select("doc", F.explode(_located(F.col("w"), n)).alias("x")).select("doc", F.lit(n).alias("len"), "x.*")
+        each = again.where(F.size("w") >= n).select("doc", F.explode_outer(_located(F.col("w"), n)).alias("x")).select("doc", F.lit(n).alias("len"), "x.*")
         spans = each if spans is None else spans.unionByName(each)
     hits = written(_hit_join(spans, texts, ["len", "gram"], few), "hits")
 
