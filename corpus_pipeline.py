@@ -20,6 +20,8 @@ from sextant.llm.language_id import held_out
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Up to so many ids to drop are broadcast.
 BROADCAST_IDS = 200_000
+#: Percent of five-word shingles in common from which documents are near-duplicates.
+NEAR_DUPLICATES = 80
 ORACLE_SQL = None
 
 
@@ -40,7 +42,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates."""
     base.prepare(spark)
-    return _without(docs, near_dedup.near_duplicates(docs).where("NOT kept"), "copies")
+    return _without(docs, near_dedup.near_duplicates(docs, threshold=NEAR_DUPLICATES).where("NOT kept"), "copies")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

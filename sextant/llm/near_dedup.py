@@ -18,7 +18,8 @@ exactly, tile by tile, so a cluster of any size is spread over tasks that hold
 links.  Components of all these are the result.
 
 With ``TREES`` = 16 trees and 3 tokens a pair at similarity 0.85 is missed with
-probability (1 - 0.85^3)^16 = 3e-7, and by the sketches with about 1e-3.
+probability (1 - 0.85^3)^16 = 2e-7, one at 0.80 with 1e-5, and by the sketches,
+whose bound follows the threshold, with about 1e-4 at either.
 
 Defined cases: null texts and texts without words have an empty set, are linked
 with nothing and keep their row; a text of fewer words than a shingle has its
@@ -44,9 +45,9 @@ from sextant.llm.kernels import Words, mix
 U = np.uint64
 SHINGLE, THRESHOLD = 5, 85
 TREES, START, LEAF, CHILDREN, DEEPEST = 16, 3, 4096, 2, 9
-#: Minwise tokens of a sketch, and the share of them that a candidate pair has
-#: in common at least: 0.85 less four standard deviations.
-TOKENS, NEAR = 128, 0.72
+#: Minwise tokens of a sketch, and by how many standard deviations fewer than
+#: expected at the threshold a candidate pair may have in common.
+TOKENS, BELOW = 128, 4
 TILE = 512
 #: Copies of each class in the join that gives its members their representative,
 #: for classes that hold much of the corpus.
@@ -167,27 +168,37 @@ def nodes(reps: DataFrame, leaf: int = LEAF, deepest: int = DEEPEST) -> DataFram
     return done.select("node", "doc_id", "sketch")
 
 
-def _forest(group: pa.Table) -> Iterator[pa.RecordBatch]:
+def needed(threshold: int) -> int:
+    """Tokens that a candidate pair has in common at least."""
+    t = threshold / 100
+    return int(np.ceil(t * TOKENS - BELOW * np.sqrt(t * (1 - t) * TOKENS)))
+
+
+def _forest(threshold: int):
     """Edges that connect what is connected by near pairs within a node: from a
     member, all that are near and not yet reached are reached next."""
-    if group.num_rows < 2:
-        return
-    ids, sketch = group["doc_id"].to_numpy(), _matrix(group["sketch"], np.uint8)
-    need = int(np.ceil(NEAR * TOKENS))
-    left = np.arange(len(ids))
-    a, b = [], []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        root = queue[0]
-        while queue and len(left):
-            near = (sketch[left] == sketch[queue.pop()]).sum(1) >= need
-            new = left[near]
-            a += [ids[root]] * len(new)
-            b += ids[new].tolist()
-            queue += new.tolist()
-            left = left[~near]
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    need = needed(threshold)
+
+    def go(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        if group.num_rows < 2:
+            return
+        ids, sketch = group["doc_id"].to_numpy(), _matrix(group["sketch"], np.uint8)
+        left = np.arange(len(ids))
+        a, b = [], []
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            root = queue[0]
+            while queue and len(left):
+                near = (sketch[left] == sketch[queue.pop()]).sum(1) >= need
+                new = left[near]
+                a += [ids[root]] * len(new)
+                b += ids[new].tolist()
+                queue += new.tolist()
+                left = left[~near]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return go
 
 
 class _Union:
@@ -285,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = written(real.select("doc_id", "digest", "tokens").join(classes, (F.col("doc_id") == F.col("rep")) & (real["digest"] == classes["digest"])).select("doc_id", "tokens").dropDuplicates(["doc_id"]), "reps")
 
-    loose = by_runs(nodes(reps, leaf), parts, ["node"], ["doc_id"], _forest, "a bigint, b bigint").distinct()
+    loose = by_runs(nodes(reps, leaf), parts, ["node"], ["doc_id"], _forest(threshold), "a bigint, b bigint").distinct()
     roots = components(loose)
     clusters = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("blocks"))

@@ -190,3 +190,21 @@ def test_null_ids_and_empty_texts_are_kept(llm_spark):
 
 def test_written_keeps_nothing_local(llm_spark):
     assert written(llm_spark.range(3).toDF("x"), "t").count() == 3
+
+
+def test_near_duplicates_at_another_threshold(llm_spark):
+    """Many pairs on both sides of 0.80, none of which the bound of 0.85 may decide."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(300):  # a word changed and some added: similarity about 0.81
+        w = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        rows.append((2 * i, " ".join(w)))
+        w[50] = f"e{rng.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join([*w, *(f"e{rng.randrange(10**6)}" for _ in range(rng.randint(9, 13)))])))
+    sets = {i: shingles(t) for i, t in rows}
+    near = sum(80 <= 100 * len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 85 for i in range(0, 600, 2))
+    root = brute_components(sets, 80)
+    assert near >= 100 and any(root[i] == i for i in range(1, 600, 2))
+    docs = llm_spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, threshold=80).collect()} == root
+    assert (near_dedup.needed(85), near_dedup.needed(80)) == (93, 85)

@@ -108,3 +108,16 @@ def test_query_matches_sql(llm_spark, name):
     assert cols == sorted(rel.columns)
     place = [rel.columns.index(c) for c in cols]
     assert sorted(str(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(str(tuple(r[i] for i in place)) for r in rel.fetchall())
+
+
+def test_near_dedup_stage_takes_four_fifths(llm_spark):
+    rng = random.Random(23)
+    texts = []
+    for n in range(50, 64):  # a word changed in the middle: similarity (n - 9) / (n + 1)
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(w), " ".join([*w[: n // 2], "changed", *w[n // 2 + 1 :]])]
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    root = brute_components(sets, 80)
+    assert len(set(root.values())) < len(set(brute_components(sets).values()))
+    docs = llm_spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(llm_spark, docs, "").collect()} == {i for i in root if root[i] == i}
