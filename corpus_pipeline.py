@@ -22,6 +22,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BROADCAST_IDS = 200_000
 #: Percent of five-word shingles in common from which documents are near-duplicates.
 NEAR_DUPLICATES = 80
+#: Words from which a repeated passage goes even where it is shorter than the 400
+#: bytes: counted in words, as 51 of them take from 101 bytes on.
+PASSAGE = 51
 ORACLE_SQL = None
 
 
@@ -46,10 +49,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of repeated strings; what is left of a
-    character that was cut goes too."""
+    """All documents, without the bytes of repeated strings and of repeated
+    passages of over 50 words; what is left of a character that was cut goes too."""
     base.prepare(spark)
-    out = suffix_dedup.repeated_bytes(docs, keep=True, carry=["lang", "source"])
+    out = suffix_dedup.repeated_bytes(docs, keep=True, carry=["lang", "source"], words=PASSAGE)
     return out.select("doc_id", F.col("kept").alias("text"), "carry.lang", "carry.source").withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

@@ -8,7 +8,8 @@ the context that all windows of the anchor lie in.  Anchors that occur once are
 dropped, anchors whose whole context occurs again settle all their windows at
 once, and only one of each such class stands for them where the rest is
 compared, bucket by bucket, by hashes of whole windows (64 bits, beside the
-anchor's own 64 bits that must agree too).
+anchor's own 64 bits that must agree too).  Passages of a number of words can go
+as well, found in the same way with words in the place of bytes.
 
 Defined cases: a null text is empty; texts shorter than ``width`` keep all;
 equal texts of at least ``width`` bytes all go; rows with equal or null ids are
@@ -18,6 +19,7 @@ separate documents, each with a row of its own; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sextant.llm import exchange as X
 from sextant.llm.base import table, texts_of
-from sextant.llm.kernels import BYTE_VALUES
+from sextant.llm.kernels import BYTE_VALUES, Words
 from sextant.llm.repeats import View
 
 WIDTH = 400
@@ -41,46 +43,80 @@ def _view(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, View]:
 
 
 class _Plan:
-    """What a batch asks and, with the replies, which windows repeat."""
+    """What a batch asks and, with the replies, which windows repeat; ``kind``
+    tells apart what is asked about bytes and about words."""
 
-    def __init__(self, view: View, buckets: int) -> None:
-        self.view, self.buckets = view, buckets
+    def __init__(self, view: View, buckets: int, kind: str = "") -> None:
+        self.view, self.buckets, self.kind = view, buckets, kind
         self.anchors, self.of, self.count = np.unique(view.anchor, return_inverse=True, return_counts=True)
         self.classes, self.leader, self.class_of, self.class_count = np.unique(view.contexts(), return_index=True, return_inverse=True, return_counts=True)
 
+    def first_ask(self, batch: int) -> list[pa.Table]:
+        return [X.request(self.kind + "anchor", batch, self.anchors, self.buckets), X.request(self.kind + "context", batch, self.classes, self.buckets)]
+
+    def second_ask(self, batch: int, replies: X.Replies) -> pa.Table:
+        return X.request(self.kind + "window", batch, np.unique(self.view.hashes(self.settle(replies)[1])), self.buckets)
+
     def settle(self, replies: X.Replies) -> tuple[np.ndarray, np.ndarray]:
         """Windows settled by their anchor's context; positions to compare."""
-        again = (replies.read("anchor", self.anchors, self.buckets)[0] | (self.count > 1))[self.of]
-        shared, first = replies.read("context", self.classes, self.buckets)
+        again = (replies.read(self.kind + "anchor", self.anchors, self.buckets)[0] | (self.count > 1))[self.of]
+        shared, first = replies.read(self.kind + "context", self.classes, self.buckets)
         twin = (shared | (self.class_count > 1))[self.class_of]
         leads = np.zeros(len(twin), bool)
         leads[self.leader[first]] = True
         view = self.view
         return view.windows(twin), np.flatnonzero(view.windows(again & (~twin | leads)))
 
+    def starts(self, replies: X.Replies) -> np.ndarray:
+        """Where windows start that occur again."""
+        settled, compared = self.settle(replies)
+        hashes, of, count = np.unique(self.view.hashes(compared), return_inverse=True, return_counts=True)
+        settled[compared[(replies.read(self.kind + "window", hashes, self.buckets)[0] | (count > 1))[of]]] = True
+        return np.flatnonzero(settled)
+
+
+def _passages(words: Words, starts: np.ndarray, width: int, n: int) -> np.ndarray:
+    """For each of ``n`` bytes of the texts end to end, whether a passage of
+    ``width`` words that starts at one of ``starts`` covers it."""
+    text = np.searchsorted(words.first, starts, "right") - 1  # the words' buffer has a separator after each text
+    mark = np.zeros(n + 1, np.int32)
+    np.add.at(mark, words.start[starts] - text, 1)
+    np.add.at(mark, words.end[starts + width - 1] - text, -1)
+    return np.cumsum(mark[:n]) > 0
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: bool = False, carry: list[str] | None = None) -> DataFrame:
+
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: bool = False, carry: list[str] | None = None, words: int = 0) -> DataFrame:
     """``SCHEMA`` for each document; with ``keep`` also ``kept``, the text left
     (less what remains of a character that was cut);
-    with ``carry`` also a struct of these columns of ``docs``."""
+    with ``carry`` also a struct of these columns of ``docs``; with ``words``
+    passages of so many words that start anywhere else go too, whatever their bytes
+    and separators."""
     gram = max(1, width // 2)
     dealt, buckets = X.batched(docs, id_col, text_col, carry)
 
+    def worded(texts: list[bytes]) -> tuple[Words, _Plan]:
+        found = Words(texts)
+        return found, _Plan(View(found.hash, found.first, words, max(1, words // 2)), buckets, "word ")
+
+    def plans(group: pa.Table) -> Iterator[_Plan]:
+        texts = texts_of(group["text"])
+        yield _Plan(_view(texts, width, gram)[1], buckets)
+        if words:
+            yield worded(texts)[1]
+
     def first_ask(batch: int, group: pa.Table) -> pa.Table:
-        plan = _Plan(_view(texts_of(group["text"]), width, gram)[1], buckets)
-        return pa.concat_tables([X.request("anchor", batch, plan.anchors, buckets), X.request("context", batch, plan.classes, buckets)])
+        return pa.concat_tables([asked for plan in plans(group) for asked in plan.first_ask(batch)])
 
     def second_ask(batch: int, group: pa.Table, replies: X.Replies) -> pa.Table:
-        plan = _Plan(_view(texts_of(group["text"]), width, gram)[1], buckets)
-        return X.request("window", batch, np.unique(plan.view.hashes(plan.settle(replies)[1])), buckets)
+        return pa.concat_tables([plan.second_ask(batch, replies) for plan in plans(group)])
 
     def finish(_: int, group: pa.Table, replies: X.Replies) -> pa.Table:
         texts = texts_of(group["text"])
         data, view = _view(texts, width, gram)
-        settled, compared = _Plan(view, buckets).settle(replies)
-        hashes, of, count = np.unique(view.hashes(compared), return_inverse=True, return_counts=True)
-        settled[compared[(replies.read("window", hashes, buckets)[0] | (count > 1))[of]]] = True
-        gone = view.covered(np.flatnonzero(settled))
+        gone = view.covered(_Plan(view, buckets).starts(replies))
+        if words:
+            found, plan = worded(texts)
+            gone |= _passages(found, plan.starts(replies), words, len(data))
         rows = []
         for text, lo, hi in zip(texts, view.first[:-1], view.first[1:], strict=True):
             g = gone[lo:hi]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -208,3 +209,34 @@ def test_near_duplicates_at_another_threshold(llm_spark):
     docs = llm_spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, threshold=80).collect()} == root
     assert (near_dedup.needed(85), near_dedup.needed(80)) == (93, 85)
+
+
+@pytest.mark.parametrize(("width", "words"), [(400, 51), (40, 5), (400, 1)])
+def test_repeated_bytes_and_passages(llm_spark, width, words):
+    rows = [(i, t) for i, t, *_ in corpus(6)]
+    rng = random.Random(8)
+    for n in (50, 51, 60):  # shared passages of short words, their separators differing
+        w = [rng.choice("abcdefgé") + str(rng.randrange(10)) for _ in range(n)]
+        rows += [(1000 + 10 * n + k, f"{'x' * (k + 1)} {gap.join(w)}\n{'yz' * (k + 1)} \t") for k, gap in enumerate((" ", "\n", " \t "))]
+    byte, word = Counter(), Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        byte.update(b[s : s + width] for s in range(len(b) - width + 1))
+        w = b.split()
+        word.update(tuple(w[s : s + words]) for s in range(len(w) - words + 1))
+    want = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        mask = [0] * len(b)
+        for s in range(len(b) - width + 1):
+            if byte[b[s : s + width]] > 1:
+                mask[s : s + width] = [1] * width
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        for s in range(len(at) - words + 1):
+            if word[tuple(b[x:y] for x, y in at[s : s + words])] > 1:
+                lo, hi = at[s][0], at[s + words - 1][1]
+                mask[lo:hi] = [1] * (hi - lo)
+        n, runs, kept = removed(mask, b)
+        want[i] = (len(b), n, runs, hashlib.sha256(bytes(kept)).hexdigest())
+    got = suffix_dedup.repeated_bytes(llm_spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), width=width, words=words).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want

@@ -121,3 +121,14 @@ def test_near_dedup_stage_takes_four_fifths(llm_spark):
     assert len(set(root.values())) < len(set(brute_components(sets).values()))
     docs = llm_spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(llm_spark, docs, "").collect()} == {i for i in root if root[i] == i}
+
+
+def test_suffix_stage_takes_passages_of_over_50_words(llm_spark):
+    rng = random.Random(29)
+    word = lambda: rng.choice("abcdeß") + str(rng.randrange(100))
+    short, long = (" ".join(word() for _ in range(n)) for n in (50, 51))
+    texts = [f"one {short} two", f"three {short} four", f"five {long} six", f"seven {long} eight"]
+    assert len(long.encode()) < 250
+    docs = llm_spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup_stage(llm_spark, docs, "").collect()}
+    assert left == {0: texts[0], 1: texts[1], 2: "five  six", 3: "seven  eight"}
