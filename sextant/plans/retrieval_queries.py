@@ -78,9 +78,9 @@ _DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUB
 DENSE_SQL = f"hits AS (SELECT q.vec_id AS query_id, v.vec_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM hits)"
 
 
-def dense_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def dense_top(spark: SparkSession, sf_dir: str, k: int, asked: str = "vec_id < 20") -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = vectors.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return R.top_k(R.dense_scores(queries, vectors), k, "vec_id")
 
 
@@ -89,17 +89,28 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_top(spark, sf_dir, 10).select("query_id", "vec_id", "score", "rank")
 
 
+#: Condition on the searches of ``ann_recall``, and how many vectors of best
+#: coded scores are scored exactly for each.
+ANN_QUERIES, SHORTLIST = "vec_id % 20 = 0", 50
+
+
+def ann_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k best by an index of 8-bit codes: all vectors are scored by their codes
+    and the best ``SHORTLIST`` of each query exactly."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = vectors.where(ANN_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    step = vectors.agg((F.max(F.array_max(F.transform("embedding", F.abs))).cast("double") / 127).alias("step"))
+    coded = vectors.crossJoin(F.broadcast(step)).select("vec_id", F.transform("embedding", lambda x: F.when(F.col("step") > 0, F.round(x / F.col("step"))).otherwise(0).cast("tinyint")).alias("embedding"))
+    near = R.top_k(R.dense_scores(queries, coded), max(k, SHORTLIST), "vec_id").select("query_id", "vec_id")
+    exact = near.join(vectors, "vec_id").join(R.sized(queries), "query_id").select("query_id", "vec_id", R.dot(F.col("q"), F.col("embedding")).alias("score"))
+    return R.top_k(exact, k, "vec_id")
+
+
 @register("ann_recall")
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall at 10 of a search of the three nearest cells (cells are labels,
-    their centres the means) against the exact one."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    centres = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).select("label", F.col("c.x").alias("centre"))
-    queries = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    cells = queries.crossJoin(F.broadcast(centres)).select("query_id", "q", "label", R.dot(F.col("q"), F.col("centre")).alias("score"))
-    near = R.top_k(cells, 3, "label").select("query_id", "q", "label")
-    found = R.top_k(vectors.join(F.broadcast(near), "label").select("query_id", "vec_id", R.dot(F.col("q"), F.col("embedding")).alias("score")), 10, "vec_id").select("query_id", "vec_id")
-    exact = dense_top(spark, sf_dir, 10).select("query_id", "vec_id")
+    """Recall at 10 of the search by codes against the exact one, for every query."""
+    found = ann_top(spark, sf_dir, 10).select("query_id", "vec_id")
+    exact = dense_top(spark, sf_dir, 10, ANN_QUERIES).select("query_id", "vec_id")
     return exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 

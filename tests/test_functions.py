@@ -1,14 +1,17 @@
 """Functions and operators whose results SQL does not check, against plain
 Python or known values."""
 
+import os
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sextant.functions import protocol, scoring, text
 from sextant.operators import balance, batch, episodes, evaluation, retrieval, sequences
+from sextant.plans import retrieval_queries
 from sextant.sources import corpus, runlog
 
 ODD = ["", " ", "The U.S.A.!", "an apple, a day", "naïve  café", "ïan an", "Straße ﬁ", "a b\tc\n", "＋５", "日本 の 本", "x_y", None]
@@ -201,3 +204,21 @@ def test_corpus_files(spark, tmp_path):
 def test_pooling_and_normalising(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0], [3.0, 4.0], [0.0, 0.0])], "v array<array<double>>, m array<int>, w array<double>, z array<double>")
     assert list(df.select(retrieval.mean_pool(F.col("v"), F.col("m")), retrieval.l2_normalize(F.col("w")), retrieval.l2_normalize(F.col("z"))).collect()[0]) == [[2.0, 3.0], [0.6, 0.8], [0.0, 0.0]]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_ann_recall_of_every_twentieth_vector(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    found = {}
+    for r in retrieval_queries.ann_top(spark, folder, 10).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        want[int(ids[q])] = set(ids[np.lexsort((ids, -np.round(vectors @ vectors[q], 6)))[:10]].tolist())
+    recall = {q: len(want[q] & found[q]) / 10 for q in want}
+    assert set(found) == set(want) and np.mean(list(recall.values())) >= 0.9
+    assert {r.query_id: round(r.recall, 6) for r in retrieval_queries.ann_recall(spark, folder).collect()} == recall
+    print(sf, len(recall), np.mean(list(recall.values())), min(recall.values()))
