@@ -8,8 +8,9 @@ the context that all windows of the anchor lie in.  Anchors that occur once are
 dropped, anchors whose whole context occurs again settle all their windows at
 once, and only one of each such class stands for them where the rest is
 compared, bucket by bucket, by hashes of whole windows (64 bits, beside the
-anchor's own 64 bits that must agree too).  Passages of a number of words can go
-as well, found in the same way with words in the place of bytes.
+anchor's own 64 bits that must agree too).  Passages of a number of words, which
+may take fewer bytes than ``width``, are found in the same way with words in the
+place of bytes; they can go as well, or be counted apart.
 
 Defined cases: a null text is empty; texts shorter than ``width`` keep all;
 equal texts of at least ``width`` bytes all go; rows with equal or null ids are
@@ -33,6 +34,8 @@ from sextant.llm.repeats import View
 WIDTH = 400
 #: Bytes of an anchor: the longer, the fewer false candidates and the more anchors.
 GRAM = 200
+#: Words of a passage that is reported whatever its bytes: of over 50 words.
+PASSAGE = 51
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -85,12 +88,13 @@ def _passages(words: Words, starts: np.ndarray, width: int, n: int) -> np.ndarra
     return np.cumsum(mark[:n]) > 0
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: bool = False, carry: list[str] | None = None, words: int = 0) -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: bool = False, carry: list[str] | None = None, words: int = 0, count_only: bool = False) -> DataFrame:
     """``SCHEMA`` for each document; with ``keep`` also ``kept``, the text left
     (less what remains of a character that was cut);
     with ``carry`` also a struct of these columns of ``docs``; with ``words``
     passages of so many words that start anywhere else go too, whatever their bytes
-    and separators."""
+    and separators, and ``passage_bytes`` has how many bytes such passages cover;
+    with ``count_only`` they are counted there and not removed."""
     gram = max(1, width // 2)
     dealt, buckets = X.batched(docs, id_col, text_col, carry)
 
@@ -116,7 +120,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = view.covered(_Plan(view, buckets).starts(replies))
         if words:
             found, plan = worded(texts)
-            gone |= _passages(found, plan.starts(replies), words, len(data))
+            passages = _passages(found, plan.starts(replies), words, len(data))
+            inside = np.concatenate([[0], np.cumsum(passages)])[view.first]
+            gone = gone if count_only else gone | passages
         rows = []
         for text, lo, hi in zip(texts, view.first[:-1], view.first[1:], strict=True):
             g = gone[lo:hi]
@@ -126,6 +132,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = list(zip(*rows, strict=True))
         out = [group["doc_id"].combine_chunks(), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if words:
+            out, names = [*out, pa.array(np.diff(inside), pa.int64())], [*names, "passage_bytes"]
         if keep:
             out, names = [*out, pa.array([x.decode("utf-8", "ignore") for x in cols[4]], pa.string())], [*names, "kept"]
         if carry:
@@ -134,9 +142,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     replies = X.ask(dealt, first_ask)
     more = X.exchange(X.with_replies(dealt, replies, second_ask, X.REQUEST))
-    return X.with_replies(dealt, replies.unionByName(more), finish, SCHEMA + ", kept string" * keep + (f", carry {dealt.schema['carry'].dataType.simpleString()}" if carry else ""))
+    return X.with_replies(dealt, replies.unionByName(more), finish, SCHEMA + ", passage_bytes bigint" * bool(words) + ", kept string" * keep + (f", carry {dealt.schema['carry'].dataType.simpleString()}" if carry else ""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract ``op7``: strings of 400 bytes over whole documents."""
-    return repeated_bytes(table(spark, sf_dir, "documents"))
+    """Contract ``op7``: strings of 400 bytes over whole documents; ``passage_bytes``
+    reports passages of over 50 words that start anywhere else, most of which take
+    fewer bytes than that and so stay."""
+    return repeated_bytes(table(spark, sf_dir, "documents"), words=PASSAGE, count_only=True)

@@ -224,19 +224,25 @@ def test_repeated_bytes_and_passages(llm_spark, width, words):
         byte.update(b[s : s + width] for s in range(len(b) - width + 1))
         w = b.split()
         word.update(tuple(w[s : s + words]) for s in range(len(w) - words + 1))
-    want = {}
+    want, inside = {}, {}
     for i, t in rows:
         b = (t or "").encode()
         mask = [0] * len(b)
         for s in range(len(b) - width + 1):
             if byte[b[s : s + width]] > 1:
                 mask[s : s + width] = [1] * width
+        passages = [0] * len(b)
         at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
         for s in range(len(at) - words + 1):
             if word[tuple(b[x:y] for x, y in at[s : s + words])] > 1:
                 lo, hi = at[s][0], at[s + words - 1][1]
-                mask[lo:hi] = [1] * (hi - lo)
+                passages[lo:hi] = mask[lo:hi] = [1] * (hi - lo)
         n, runs, kept = removed(mask, b)
         want[i] = (len(b), n, runs, hashlib.sha256(bytes(kept)).hexdigest())
-    got = suffix_dedup.repeated_bytes(llm_spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), width=width, words=words).collect()
+        inside[i] = sum(passages)
+    docs = llm_spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = suffix_dedup.repeated_bytes(docs, width=width, words=words).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert {r.doc_id: r.passage_bytes for r in got} == inside
+    plain = {r.doc_id: tuple(r) for r in suffix_dedup.repeated_bytes(docs, width=width).collect()}
+    assert {r.doc_id: (*plain[r.doc_id], inside[r.doc_id]) for r in got} == {r.doc_id: tuple(r) for r in suffix_dedup.repeated_bytes(docs, width=width, words=words, count_only=True).collect()}
