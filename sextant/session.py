@@ -29,10 +29,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that a folder of this
+    machine is seen by all of them."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names; a
-    temporary folder only where the session names none."""
+    temporary folder only where the session names none and is one machine."""
     import uuid
 
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not one_machine(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{(root or 'file://' + tempfile.mkdtemp(prefix='sextant-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
