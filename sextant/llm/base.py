@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.session import ship
+from sextant.session import one_machine, ship
 
 #: Rows handed to a Python worker at once: bounds its memory where texts are long.
 ARROW_ROWS = 512
@@ -27,9 +27,11 @@ def prepare(spark: SparkSession) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder of ``spark.checkpoint.dir``; only where
-    the session names none (tests, one machine) a temporary folder of our own."""
+    the session names none and runs on one machine, a temporary folder of our own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not one_machine(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="sextant-"))
         root = _own_dir[0]
@@ -44,19 +46,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (file bytes of the columns read), for
-    which no job runs; where it has none, half the bytes counted in the rows."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 60:
-        return size
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of all rows as they are in memory (texts as UTF-8, 16 for the rest of
+    a row): counted, since what files take says little where text compresses well."""
     wide = [F.coalesce(F.octet_length(F.col(f"`{n}`")), F.lit(0)) for n, t in df.dtypes if t in ("string", "binary")]
-    return int(df.select(sum(wide, F.lit(16)).cast("bigint").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]) // 2
+    return int(df.select(sum(wide, F.lit(16)).cast("bigint").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0])
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 8) -> int:
-    """How many parts of about ``bytes_each`` the input of ``df`` makes."""
-    return max(least, -(-plan_bytes(df) // bytes_each))
+    """How many parts of about ``bytes_each`` the rows of ``df`` make."""
+    return max(least, -(-row_bytes(df) // bytes_each))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +77,21 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, most_
     return left.join(F.broadcast(right) if small_enough(right, most_rows) else right, on, how)
 
 
+def join_rows(left: DataFrame, right: DataFrame, on: list[str], how: str, most_rows: int = 200_000) -> DataFrame:
+    """As ``join_sized``, but null keys match null keys.  For semi and anti joins,
+    of which the left side's columns are the result."""
+    other = right.select(*(F.col(c).alias(f"__{c}") for c in on))
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return left.join(F.broadcast(other) if small_enough(other, most_rows) else other, same, how)
+
+
+def text_hash(text: Column) -> Column:
+    """What tells rows of one id (or of none) apart, by their text."""
+    return F.xxhash64(text.cast("string"), F.lit(29))
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -18,24 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.base import plan_bytes
+from sextant.llm.base import row_bytes
 
 U = np.uint64
 REQUEST = "kind string, bucket int, batch bigint, hashes binary, extra binary"
 REPLY = "batch bigint, kind string, bucket int, shared binary, first binary"
 _REQUEST = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("extra", pa.binary())])
 _REPLY = pa.schema([("batch", pa.int64()), ("kind", pa.string()), ("bucket", pa.int32()), ("shared", pa.binary()), ("first", pa.binary())])
-#: Input bytes (as stored) of a batch of documents, batches for one bucket, and
-#: buckets at least.
-BATCH_BYTES, BATCHES_A_BUCKET, BUCKETS = 350_000, 8, 32
+#: Bytes of a batch of documents, batches for one bucket, and buckets at least.
+BATCH_BYTES, BATCHES_A_BUCKET, BUCKETS = 600_000, 8, 32
 
 
 def batched(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> tuple[DataFrame, int]:
     """(batch, doc_id, text), and ``carry`` columns as a struct if any; and the
-    number of buckets for this many documents."""
-    n = max(8, -(-plan_bytes(docs.select(id_col, text_col)) // BATCH_BYTES))
+    number of buckets for this many documents.  Dealt by id and text, so that rows
+    without an id, or with the same one, are spread unless they are equal."""
+    n = max(8, -(-row_bytes(docs.select(id_col, text_col)) // BATCH_BYTES))
     more = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carry")] if carry else []
-    out = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).alias("batch"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    out = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).alias("batch"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
     return out, max(BUCKETS, n // BATCHES_A_BUCKET)
 
 

@@ -290,7 +290,7 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD, tile: int = TILE, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
-    parts = parts_for(docs.select(id_col, text_col), 6_000_000)
+    parts = parts_for(docs.select(id_col, text_col), 10_000_000)
     signed = written(signatures(docs, id_col, text_col, width), "signatures")
     real = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))

@@ -5,11 +5,12 @@ Format of a shard: ``NAME.bin`` has the ids, little-endian unsigned integers of
 of an id, the number of documents, then as 64-bit integers the offsets of the
 documents (one more than there are, counted in ids from the shard's start) and
 their ids.  Shards are ranges of doc_id; a shard's base in the whole stream is
-the prefix sum of the shards before it.
+the prefix sum of the shards before it, made in two levels of a DataFrame.
 
 Defined cases: a null text is empty, which leaves just the end id; rows that
-share an id follow each other, ordered by text; a null id comes first; an empty
-table makes no shard; further columns are ignored.
+share an id follow each other, in the order of a hash of their texts, and may
+take several shards; a null id comes first; an empty table makes no shard;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sextant.llm.base import parts_for, scratch, table, written
+from sextant.llm.base import parts_for, scratch, table, text_hash, written
 from sextant.llm.files import attempt_name, place
 
 MAGIC = b"SXTOKEN1"
 END_ID = 2
-#: Stored bytes of input for one shard.
-SHARD_BYTES = 12_000_000
+#: Bytes of text for one shard.
+SHARD_BYTES = 20_000_000
+#: Shards whose sizes one task sums.
+GROUP = 1024
 #: Pieces that a worker remembers the ids of, at about 200 bytes each, in each of
 #: two generations: what was not used in the younger one is forgotten first.
 REMEMBER = 700_000
@@ -179,11 +183,14 @@ def write(docs: DataFrame, folder: str, model: str, end_id: int = END_ID, id_col
         yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
 
     n = parts_for(rows, shard_bytes)
-    made = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(go, "shard int, file string, n_docs bigint, n_tokens bigint")
-    shards = sorted(written(made, "shards").collect(), key=lambda r: r.shard)  # a row for each shard
-    bases = np.concatenate([[0], np.cumsum([r.n_tokens for r in shards])]).tolist()
-    spark = docs.sparkSession
-    return spark.createDataFrame([(*r, b) for r, b in zip(map(tuple, shards), bases, strict=False)], "shard int, file string, n_docs bigint, n_tokens bigint, base bigint")
+    # A range by id alone would put all rows without an id into one shard.
+    ranged = rows.withColumn("__h", text_hash(F.col("text"))).repartitionByRange(n, "doc_id", "__h").sortWithinPartitions("doc_id", "__h", "text").drop("__h")
+    shards = written(ranged.mapInArrow(go, "shard int, file string, n_docs bigint, n_tokens bigint"), "shards")
+    group = F.floor(F.col("shard") / GROUP)
+    before = W.orderBy("group").rowsBetween(W.unboundedPreceding, -1)
+    starts = shards.groupBy(group.alias("group")).agg(F.sum("n_tokens").alias("n")).select("group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.coalesce(F.sum("n_tokens").over(W.partitionBy("group").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return shards.withColumn("group", group).withColumn("within", within).join(starts, "group").select("shard", "file", "n_docs", "n_tokens", (F.col("start") + F.col("within")).cast("bigint").alias("base"))
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
@@ -204,6 +211,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 start = pa.array(offsets[:-1] + base)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), start, pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    manifest = written(manifest, "manifest")
     n = max(1, min(4096, manifest.count()))
     return manifest.select("file", "base").repartition(n, "file").mapInArrow(go, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
