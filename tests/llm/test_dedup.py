@@ -184,9 +184,36 @@ def test_empty_tables(llm_spark, f):
     assert f(llm_spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_null_ids_and_empty_texts_are_kept(llm_spark):
-    docs = llm_spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")], "doc_id bigint, text string")
-    assert {(r.doc_id, r.component_id, r.kept, r.n_shingles) for r in near_dedup.near_duplicates(docs).collect()} == {(None, None, True, 2), (1, 1, True, 2), (2, 2, True, 0), (3, 3, True, 0)}
+def test_null_and_repeated_ids(llm_spark):
+    """Each row is judged by its own text; of equal rows one is kept."""
+    long = [f"w{i}" for i in range(60)]
+    near, text = " ".join([*long[:30], "other", *long[31:]]), " ".join(long)
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, ""), (None, None), (7, text), (7, near), (9, near), (None, near), (None, "alone in this table"), (None, "alone in this table"), (5, "five"), (5, "five"), (5, "six"), *[(None, "m " * 9)] * 40]
+    docs = llm_spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for tile, leaf in ((512, 4096), (2, 2)):
+        got = near_dedup.near_duplicates(docs, threshold=80, tile=tile, leaf=leaf).collect()
+        seen = Counter((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in got)
+        want = Counter({(None, 1, False, 2): 1, (1, 1, True, 2): 1, (2, 2, True, 0): 1, (3, 3, True, 0): 1, (None, None, True, 0): 1, (9, 7, False, 56): 1, (None, 7, False, 56): 1, (7, 7, True, 56): 1, (7, 7, False, 56): 1})
+        want += Counter({(None, None, True, 1): 2, (None, None, False, 1): 40, (5, 5, True, 1): 2, (5, 5, False, 1): 1})
+        assert seen == want
+
+
+def test_large_clusters_in_blocks(llm_spark):
+    """Clusters of many blocks, in which many documents are linked only through others."""
+    rng = random.Random(31)
+    rows = []
+    for c in range(2):
+        w = [f"c{c}w{i}" for i in range(120)]
+        for i in range(90):  # drifts away from the first one step by step
+            w = list(w)
+            w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+            rows.append((100 * c + i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    root = brute_components(sets, 80)
+    docs = llm_spark.createDataFrame(rows, "doc_id bigint, text string")
+    for tile, leaf in ((8, 4096), (8, 3), (512, 3)):
+        got = near_dedup.near_duplicates(docs, threshold=80, tile=tile, leaf=leaf).collect()
+        assert {r.doc_id: (r.component_id, r.kept) for r in got} == {i: (root[i], root[i] == i) for i in root}
 
 
 def test_written_keeps_nothing_local(llm_spark):
