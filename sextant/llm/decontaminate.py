@@ -10,8 +10,9 @@ and compared word by word.
 Defined cases: a null text has no words, is never hit, and gives the digest of
 the empty string; an item without words has no window; an item of fewer words
 than ``window`` is one window of its own length; repeated items each count;
-repeated documents (equal id) are united into one row; further columns are
-ignored.
+every document is judged by its own text and has its own row, also where rows
+share an id or have none; a null item id counts as an item named by the empty
+string; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,20 +21,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sextant.llm.base import small_enough, table, written
+from sextant.llm.base import join_rows, small_enough, table, text_hash, written
 
 WINDOW = 10
 K = 4
 #: What separates words, and the letters that are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Benchmarks of up to so many windows are broadcast (16 bytes a fingerprint).
-BROADCAST_WINDOWS = 1_000_000
+#: Up to so many fingerprints of the benchmark are broadcast (16 bytes each), and
+#: up to so many bytes of its windows' texts and items.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 #: Up to so many ids of documents that are hit are broadcast.
 BROADCAST_DOCS = 200_000
 #: Copies of the benchmark's side in a shuffled join, so that one very frequent
 #: fingerprint is spread over so many tasks.
 SALT = 16
+#: What a decision on a document holds for: equal texts under one id share it.
+KEY = ["doc", "text_hash"]
 
 
 def words(text: Column) -> Column:
@@ -82,7 +86,7 @@ def fingerprints(df: DataFrame, words_column: str, window: int = WINDOW, k: int
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each distinct window: its number of words, its words joined by
     a space, and the ids of the items that hold it."""
-    base = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    base = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     width = F.least(F.size("w"), F.lit(window))
     each = base.select("item", width.alias("len"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.array_join(F.slice("w", i, width), " "))).alias("gram"))
     return each.distinct()
@@ -93,17 +97,18 @@ def _hit_join(left: DataFrame, right: DataFrame, on: list[str], broadcast: bool)
     salted and the right side copied, so that no key is one task's alone."""
     if broadcast:
         return left.join(F.broadcast(right), on)
-    left = left.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALT)))
+    left = left.withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(SALT)))
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
     return left.join(right, [*on, "salt"]).drop("salt")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document: ``id_col``, n_words, n_hit, n_items, items (ids as strings,
-    sorted), hits (array of [start, end) in words), contaminated."""
+    """Per document: ``id_col``, text_hash, n_words, n_hit, n_items, items (ids as
+    strings, sorted), hits (array of [start, end) in words), contaminated."""
     k = min(K, window)
     grams = written(item_windows(items, item_id, item_text, window), "windows")
-    few = small_enough(grams, BROADCAST_WINDOWS)
+    total = grams.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("gram") + F.octet_length("item") + 48), F.lit(0)).alias("b")).collect()[0]  # one row
+    few, light = total.n <= BROADCAST_WINDOWS, total.b <= BROADCAST_BYTES
     texts = grams.select("len", "gram").distinct()
     short = [r.len for r in texts.where(F.col("len") < window).select("len").distinct().collect()]  # at most window - 1 rows
 
@@ -114,43 +119,48 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         item_fps = item_fps.unionByName(some)
     item_fps = item_fps.distinct()
 
-    base = docs.select(F.col(id_col).alias("doc"), rough_words(F.col(text_col)).alias("w"))
+    text = F.col(text_col).cast("string")
+    keys = [F.col(id_col).alias("doc"), text_hash(text).alias("text_hash")]
+    base = docs.select(*keys, rough_words(text).alias("w"))
     marked = fingerprints(base, "w", window, k)
     found = F.array_distinct("fp")
     for n in short:
         found = F.array_union(found, _all_grams(F.col("w"), n))
     # Counted before fingerprints become rows, so that no row carries all words.
-    counted = marked.select("doc", F.size("w").cast("bigint").alias("n_words"), found.alias("found"))
-    seen = counted.select("doc", "n_words", F.explode_outer("found").alias("fp"))
+    counted = marked.select(*KEY, F.size("w").cast("bigint").alias("n_words"), found.alias("found"))
+    seen = counted.select(*KEY, "n_words", F.greatest(F.size("found"), F.lit(1)).alias("size"), F.explode_outer("found").alias("fp"))
     if few:
         seen = seen.join(F.broadcast(item_fps), "fp", "left")
     else:
-        seen = seen.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALT)))
+        seen = seen.withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(SALT)))
         copies = item_fps.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
         seen = seen.join(copies, ["fp", "salt"], "left")
-    stats = written(seen.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.max("hit").alias("maybe")), "fingerprinted")
+    # Each of the documents of a key made ``size`` rows.
+    copies = (F.count(F.lit(1)) / F.max("size")).cast("bigint")
+    stats = written(seen.groupBy(*KEY).agg(F.max("n_words").alias("n_words"), F.max("hit").alias("maybe"), copies.alias("copies")), "fingerprinted")
 
-    suspects = stats.where(F.col("maybe") == 1).select("doc")
-    again = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
-    again = again.join(F.broadcast(suspects) if small_enough(suspects, BROADCAST_DOCS) else suspects, "doc", "left_semi")
-    again = again.select("doc", words(F.col("t")).alias("w"))
+    suspects = stats.where(F.col("maybe") == 1).select(*KEY)
+    again = join_rows(docs.select(*keys, text.alias("t")), suspects, KEY, "left_semi", BROADCAST_DOCS)
+    again = again.select(*KEY, words(F.col("t")).alias("w"))
     spans = None
     for n in [window, *short]:
-        each = again.where(F.size("w") >= n).select("doc", F.explode_outer(_located(F.col("w"), n)).alias("x")).select("doc", F.lit(n).alias("len"), "x.*")
+        each = again.where(F.size("w") >= n).select(*KEY, F.explode_outer(_located(F.col("w"), n)).alias("x")).select(*KEY, F.lit(n).alias("len"), "x.*")
         spans = each if spans is None else spans.unionByName(each)
-    hits = written(_hit_join(spans, texts, ["len", "gram"], few), "hits")
+    hits = written(_hit_join(spans, texts, ["len", "gram"], light).select(*KEY, "at", "len", "gram").distinct(), "hits")
 
-    order = W.partitionBy("doc").orderBy("at", "len")
+    order = W.partitionBy(*KEY).orderBy("at", "len")
     before = F.max(F.col("at") + F.col("len")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    covered = hits.select("doc", "at", "len").distinct().withColumn("before", F.coalesce(before, F.lit(0)))
+    covered = hits.select(*KEY, "at", "len").withColumn("before", F.coalesce(before, F.lit(0)))
     fresh = F.greatest(F.lit(0), F.col("at") + F.col("len") - F.greatest(F.col("at"), F.col("before")))
-    counted = covered.groupBy("doc").agg(F.sum(fresh).cast("bigint").alias("n_hit"), F.array_sort(F.collect_list(F.struct((F.col("at") - 1).alias("start"), (F.col("at") + F.col("len") - 1).alias("end")))).alias("hits"))
-    owners = _hit_join(hits.select("doc", "len", "gram").distinct(), grams, ["len", "gram"], few).select("doc", F.col("item").cast("string").alias("item"))
-    listed = owners.groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    counted = covered.groupBy(*KEY).agg(F.sum(fresh).cast("bigint").alias("n_hit"), F.array_sort(F.collect_list(F.struct((F.col("at") - 1).alias("start"), (F.col("at") + F.col("len") - 1).alias("end")))).alias("hits"))
+    owners = _hit_join(hits.select(*KEY, "len", "gram").distinct(), grams, ["len", "gram"], light).select(*KEY, "item")
+    listed = owners.groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hit = counted.join(listed.select(F.col("doc").alias("__d"), F.col("text_hash").alias("__h"), "items"), F.col("doc").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h"))).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), "n_hit", "hits", "items")
     none = F.array().cast("array<string>")
+    alone = stats.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     return (
-        stats.join(counted, "doc", "left").join(listed, "doc", "left")
-        .select(F.col("doc").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("items", none).alias("items"), "hits")
+        alone.join(hit, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash")), "left")
+        .select(F.col("doc").alias(id_col), "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("items", none).alias("items"), "hits")
         .withColumn("contaminated", F.col("n_hit") > 0)
     )
 

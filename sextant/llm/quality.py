@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.base import table, texts_of, written
+from sextant.llm.base import table, text_hash, texts_of, written
 from sextant.llm.kernels import Words, mix
 from sextant.llm.language_id import held_out
 
@@ -142,15 +142,16 @@ class Boosted:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and packed statistics of every document, stored."""
+    """doc_id, text_hash and packed statistics of every document, stored."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r.tobytes() for r in statistics(texts_of(batch.column(1)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "stats"])
+            rows = [r.tobytes() for r in statistics(texts_of(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "text_hash", "stats"])
 
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(base.mapInArrow(go, "doc_id bigint, stats binary"), "statistics")
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_hash(text).alias("text_hash"), text.alias("text"))
+    return written(base.mapInArrow(go, "doc_id bigint, text_hash bigint, stats binary"), "statistics")
 
 
 def _matrix(packed: list[bytes]) -> np.ndarray:
@@ -169,15 +170,15 @@ def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", sampl
 
 
 def scored(stats: DataFrame, model: Boosted) -> DataFrame:
-    """doc_id, score, predicted for every row of statistics."""
+    """doc_id, text_hash, score, predicted for every row of statistics."""
     box = stats.sparkSession.sparkContext.broadcast(model)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = box.value.score(_matrix(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+            score = box.value.score(_matrix(batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "text_hash", "score", "predicted"])
 
-    return stats.select("doc_id", "stats").mapInArrow(go, "doc_id bigint, score double, predicted int")
+    return stats.select("doc_id", "text_hash", "stats").mapInArrow(go, "doc_id bigint, text_hash bigint, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,11 +184,24 @@ def test_decontaminate(llm_spark, monkeypatch):
     assert digest(decontaminate.decontaminate(df, bench)) == want
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)  # the way for a large benchmark
     monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert digest(decontaminate.decontaminate(df, bench)) == want
     assert digest(decontaminate.decontaminate(df, bench.where("false"))) == {d: (v[0], 0, 0, hashlib.sha256(b"").hexdigest(), False) for d, v in want.items()}
     assert digest(decontaminate.decontaminate(df.where("false"), bench)) == {}
 
 
+def test_decontaminate_rows_without_an_id_of_their_own(llm_spark, monkeypatch):
+    w = " ".join(f"w{i}" for i in range(12))
+    docs = llm_spark.createDataFrame([(None, w), (None, "zz " + w), (None, "zz " + w), (None, "clean"), (None, None), (1, w), (1, "clean"), (1, "clean"), (2, "x " * 60000 + w)], "doc_id bigint, text string")
+    bench = llm_spark.createDataFrame([(5, w), (None, w)], "item_id bigint, text string")
+    for limit in (1 << 20, 0):
+        for name in ("BROADCAST_WINDOWS", "BROADCAST_DOCS", "BROADCAST_BYTES"):
+            monkeypatch.setattr(decontaminate, name, limit)
+        got = decontaminate.decontaminate(docs, bench).collect()
+        seen = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got)
+        assert seen == [(0, 0, 0, 0, False), (0, 1, 0, 0, False), (0, 12, 12, 2, True), (0, 13, 12, 2, True), (0, 13, 12, 2, True), (1, 1, 0, 0, False), (1, 1, 0, 0, False), (1, 12, 12, 2, True), (2, 60012, 12, 2, True)]
+
+
 def test_decontaminate_is_native(llm_spark):
     df = llm_spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     plan = decontaminate.decontaminate(df, df.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()

@@ -132,3 +132,24 @@ def test_suffix_stage_takes_passages_of_over_50_words(llm_spark):
     docs = llm_spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     left = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup_stage(llm_spark, docs, "").collect()}
     assert left == {0: texts[0], 1: texts[1], 2: "five  six", 3: "seven  eight"}
+
+
+def test_stages_judge_rows_without_an_id(llm_spark, tmp_path):
+    """Low quality, copies and benchmark passages go, whether or not rows have an id of their own."""
+    docs, _, bench = fixture(llm_spark, str(tmp_path))
+    item, texts = bench[0][1], [t for _, t, *_ in docs]
+    row = lambda i, t: (i, t, "en", "s", len(t))
+    frame = lambda rows: llm_spark.createDataFrame([row(*r) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(2)
+    seen = lambda stage, rows: Counter((r.doc_id, r.text) for r in stage(llm_spark, frame(rows), str(tmp_path)).collect())
+    good, bad = texts[1], texts[0]
+    rows = docs[:90] + [row(None, good), row(None, bad), row(1, bad)]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.quality_stage(llm_spark, llm_spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), str(tmp_path)).collect())
+    assert got[None, good] == 1 and got[1, good] == 1 and not got[None, bad] and not got[1, bad]
+    near = good.split(" ")
+    near[len(near) // 2] = "changed"
+    near = " ".join(near)
+    others = [(4, texts[2]), (4, texts[2]), (4, texts[3]), (None, texts[4])]
+    left = seen(corpus_pipeline.near_dedup_stage, [(None, good), (None, near), (None, near), *others])
+    assert left - Counter(set(others)) in (Counter([(None, good)]), Counter([(None, near)])) and all(left[k] == 1 for k in set(others))
+    assert sum(seen(corpus_pipeline.near_dedup_stage, [(None, good), (None, near), (None, near)]).values()) == 1
+    assert seen(corpus_pipeline.decontaminate_stage, [(None, good), (None, f"{good} {item}"), (1, f"{item} {good}"), (1, near)]) == Counter({(None, good): 1, (1, near): 1})
