@@ -2,8 +2,8 @@
 decontamination, tokens.
 
 Every stage gets the documents that the one before it kept and returns the
-columns of documents, the last one tokens.  Rows that share an id share the
-stages' decisions on it; rows without an id are never dropped by id.
+columns of documents, the last one tokens.  Decisions hold for rows of equal id
+and text, so that rows that share an id, or have none, are judged by their texts.
 """
 
 from __future__ import annotations
@@ -28,10 +28,17 @@ PASSAGE = 51
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` but for those whose id is in ``ids``."""
-    gone = base.written(ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), name)
-    return base.join_sized(docs, gone, ["doc_id"], "left_anti", BROADCAST_IDS).select(*COLUMNS)
+KEY = ["doc_id", "text_hash"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, base.text_hash(F.col("text")).alias("text_hash"))
+
+
+def _without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``docs`` but for those of the ids and texts in ``keys``."""
+    gone = base.written(keys.select(*KEY).distinct(), name)
+    return base.join_rows(_keyed(docs), gone, KEY, "left_anti", BROADCAST_IDS).select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +50,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates."""
+    """The document of smallest id of each group of near-duplicates; of rows that
+    share it, one."""
     base.prepare(spark)
-    return _without(docs, near_dedup.near_duplicates(docs, threshold=NEAR_DUPLICATES).where("NOT kept"), "copies")
+    found = base.written(near_dedup.near_duplicates(docs, threshold=NEAR_DUPLICATES).select(*KEY, "kept"), "near")
+    out = _without(docs, found.where("NOT kept"), "copies")
+    both = base.written(found.groupBy(*KEY).agg(F.max("kept").alias("kept"), F.min("kept").alias("all")).where("kept AND NOT `all`").select(*KEY), "twins")
+    if both.isEmpty():
+        return out
+    # Of rows alike in id and text, one stays.
+    alike = base.join_rows(_keyed(docs), both, KEY, "left_semi", BROADCAST_IDS)
+    return out.unionByName(alike.dropDuplicates(KEY).select(*COLUMNS))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
