@@ -2,11 +2,13 @@
 
 A text is normalised by the model's compiled character map: at each position
 the longest prefix that the map's double-array trie holds is replaced, and each
-byte of the result is recorded with the byte of the source it came from.  White
-space is handled as the model says and escaped.  The library segments the text;
-its pieces tile the normalised text, so that the recorded alignment projects
-each piece to a span of source bytes.  Ids and text also come from the library,
-with begin and end ids and no sampling.
+byte of the result is recorded with the byte of the source it came from.  The
+trie is walked only where a byte has an edge at its root, and what lies between
+is copied in one piece: a model without a map has an empty trie.  White space is
+handled as the model says and escaped.  What is then segmented by the library is
+this normalised text, by the model with its own normalisation taken out; its
+pieces tile the text, so that the recorded alignment projects each piece to a
+span of source bytes.  Ids decode with the model as it is.
 
 Defined cases: a null text is empty, which leaves the begin and end ids; control
 pieces and inserted spaces have empty spans; rows that share an id keep a row
@@ -43,6 +45,12 @@ class CharacterMap:
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.replacements = blob[4 + size :]
+        #: Bytes with an edge at the root of the trie.
+        self.edges = np.zeros(256, bool)
+        if self.units:
+            root = self._child(self.units[0])
+            for b in range(256):
+                self.edges[b] = root ^ b < len(self.units) and self.units[root ^ b] & 0x800000FF == b
 
     @staticmethod
     def _child(unit: int) -> int:
@@ -102,63 +110,75 @@ class Normaliser:
         self.dummy, self.squeeze, self.escape = rules.add_dummy_prefix, rules.remove_extra_whitespaces, rules.escape_whitespaces
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         self.user = sorted((p.piece.encode() for p in proto.pieces if p.type == USER), key=len, reverse=True)
-        self.plain = not self.map.units and not self.user and not self.squeeze and self.escape and not self.suffix
+        self.edges = self.map.edges.copy()
+        self.edges[[u[0] for u in self.user if u]] = True
+
+    def _replaced(self, data: bytes) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
+        """The text after the character map, the source byte of each byte, and
+        where replacements lie in it."""
+        raw = np.frombuffer(data, np.uint8)
+        look = self.edges[raw] & (raw & 0xC0 != 0x80)
+        try:
+            data.decode()
+        except UnicodeDecodeError:
+            look |= raw >= 0x80
+        out: list[bytes] = []
+        align: list[np.ndarray] = []
+        pieces, at, size = [], 0, 0
+        for k in np.flatnonzero(look).tolist():
+            if k < at:
+                continue
+            user = next((u for u in self.user if data.startswith(u, k)), None)
+            n, piece = (len(user), user) if user else self.map.longest(data, k) or _character(data, k)
+            if k + n > at and piece != data[k : k + n]:
+                out += [data[at:k], piece]
+                align += [np.arange(at, k), np.full(len(piece), k)]
+                size += k - at
+                pieces.append((size, size + len(piece)))
+                size += len(piece)
+                at = k + n
+            elif user or n > 1:  # stays as it is, but nothing in it is looked at again
+                out.append(data[at : k + n])
+                align.append(np.arange(at, k + n))
+                size += k + n - at
+                at = k + n
+        out.append(data[at:])
+        align.append(np.arange(at, len(data)))
+        return b"".join(out), np.concatenate(align), pieces
 
     def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised text and, for each of its bytes and its end, the source
         byte it came from."""
-        if self.plain:
-            return self._escaped(data)
-        out, align, at, space = bytearray(), [], 0, SPACE if self.escape else b" "
-        last = True
-
-        def put(piece: bytes, source: int) -> None:
-            out.extend(piece)
-            align.extend([source] * len(piece))
-
-        steps: list[tuple[bytes, int, int]] = []
-        while at < len(data):
-            user = next((u for u in self.user if data.startswith(u, at)), None)
-            hit = (len(user), user) if user else self.map.longest(data, at) or _character(data, at)
-            steps.append((hit[1], at, at + hit[0]))
-            at += hit[0]
+        text, align, pieces = self._replaced(data)
+        raw, end = np.frombuffer(text, np.uint8), len(data)
+        blank = raw == 0x20
         if self.squeeze:
-            while steps and not steps[0][0].strip(b" "):
-                steps.pop(0)
-        start = steps[0][1] if steps else len(data)
-        if not steps:
+            lead = len(raw) - len(text.lstrip(b" "))
+            again = blank.copy()
+            again[1:] &= blank[:-1]
+            again[:1] = False
+            for lo, hi in pieces:  # a replacement loses only what it begins with
+                first = hi - len(text[lo:hi].lstrip(b" "))
+                again[first:hi] = False
+                if lo < lead < hi and not (self.dummy and not self.suffix):
+                    lead = lo
+            again[:lead] = True
+            raw, align, blank = raw[~again], align[~again], blank[~again]
+        if not len(raw):
             return b"", np.array([len(data)])
+        space = SPACE if self.escape else b" "
+        start = align[0]
+        times = np.where(blank, len(space), 1)
+        text, align = raw.tobytes().replace(b" ", space), np.repeat(align, times)
         if self.dummy and not self.suffix:
-            put(space, start)
-            last = True
-        else:
-            last = False
-        for piece, source, _ in steps:
-            if self.squeeze and last:
-                piece = piece.lstrip(b" ")
-            for byte in piece:
-                put(space if byte == 0x20 else bytes([byte]), source)
-            if piece:
-                last = self.squeeze and piece.endswith(b" ")
-        end = len(data)
+            text, align = space + text, np.concatenate([np.full(len(space), start), align])
         if self.squeeze:
-            while out.endswith(space) and len(out) > 0:
+            while text.endswith(space):
                 end = align[-len(space)]
-                del out[-len(space) :], align[-len(space) :]
+                text, align = text[: -len(space)], align[: -len(space)]
         if self.dummy and self.suffix:
-            put(space, end)
-        return bytes(out), np.array([*align, end])
-
-    def _escaped(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """The same for a model that changes nothing but spaces."""
-        if not data:
-            return b"", np.zeros(1, np.int64)
-        raw = np.frombuffer(data, np.uint8)
-        times = np.where(raw == 0x20, len(SPACE), 1)
-        align = np.concatenate([np.repeat(np.arange(len(raw)), times), [len(raw)]])
-        if self.dummy:
-            align = np.concatenate([np.zeros(len(SPACE), np.int64), align])
-        return (SPACE if self.dummy else b"") + data.replace(b" ", SPACE), align
+            text, align = text + space, np.concatenate([align, np.full(len(space), end)])
+        return text, np.append(align, end)
 
 
 class Codec:
@@ -172,19 +192,24 @@ class Codec:
         proto.ParseFromString(blob)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=blob)
         self.normaliser = Normaliser(proto)
+        rules = proto.normalizer_spec
+        rules.name, rules.precompiled_charsmap = "identity", b""
+        rules.add_dummy_prefix = rules.remove_extra_whitespaces = rules.escape_whitespaces = False
+        #: Segments text that is normalised already.
+        self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         #: Normalised bytes of each piece; -1 where it depends on the text.
         self.size = np.array([1 if p.type == BYTE else 0 if p.type == CONTROL else -1 if p.type == UNKNOWN else len(p.piece.encode()) for p in proto.pieces])
 
     def encode(self, texts: list[str]) -> list[Encoded]:
         """Ids with begin and end, each with its span."""
         out = []
-        for text, ids in zip(texts, self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1), strict=True):
-            data = text.encode()
-            norm, align = self.normaliser.normalise(data)
+        ready = [self.normaliser.normalise(t.encode()) for t in texts]
+        plain = [norm.decode() for norm, _ in ready]
+        for text, (norm, align), ids in zip(plain, ready, self.segmenter.encode(plain, add_bos=True, add_eos=True, num_threads=1), strict=True):
             number = np.array(ids, np.int64)
             size = self.size[number]
             if (size < 0).any():
-                pieces = self.library.encode(text, out_type=str)
+                pieces = self.segmenter.encode(text, out_type=str)
                 size[1:-1] = [len(p.encode()) if n < 0 else n for p, n in zip(pieces, size[1:-1], strict=True)]
             ends = np.cumsum(size)
             if ends[-1] != len(norm):
