@@ -1,14 +1,16 @@
 """Exact top-k by inner product.
 
 Vectors are rotated onto the principal axes of the whole table, so that the
-first few coordinates carry most of a product, and each block of candidates is
-scanned by descending length.  A query starts with the k-th best score among
-the longest vectors of the table as its threshold.  A chunk of candidates ends
-a query's scan when the product of lengths falls below its threshold; else the
-product over the leading coordinates plus the Cauchy-Schwarz bound of the rest
-decides which candidates get an exact product.  Blocks of queries meet blocks
-of candidates in tasks of bounded size, and the best k of the blocks' best k
-are the result.
+first few coordinates carry most of a product, and candidates lie in blocks of
+descending length, scanned in that order.  A query starts with the k-th best
+score among the longest vectors of the table as its threshold, and meets no
+block whose longest vector cannot reach it.  A chunk of candidates ends a
+query's scan when the product of lengths falls below its threshold; else partial
+sums grow by ``STEP`` coordinates at a time, and after each step pairs go whose
+sum plus the Cauchy-Schwarz bound of the rest falls short, with queries and
+candidates that have no pair left.  What passes all steps gets an exact product.
+Blocks of queries meet blocks of candidates in tasks of bounded size, and the
+best k of the blocks' best k are the result.
 
 Defined cases: vectors that are null, or hold a null or non-finite component,
 take no part; shorter vectors count as padded with zeros; rows that share an id
@@ -34,10 +36,8 @@ K = 20
 QUERY_BLOCK, BLOCK = 2048, 16384
 #: Longest vectors that give the first thresholds (collected: a fixed number).
 HEAD = 1024
-#: Leading coordinates of the partial products, and candidates of a chunk.
-LEAD, CHUNK = 16, 1024
-#: Share of a chunk's pairs from which on all its products are made at once.
-DENSE = 0.02
+#: Coordinates by which partial sums grow, and candidates of a chunk.
+STEP, CHUNK = 16, 1024
 PACKED = "vec_id bigint, is_query boolean, length double, v binary"
 BEST = "uid bigint, query_id bigint, vec_id bigint, score bigint"
 
@@ -91,11 +91,47 @@ class Scan:
     def __init__(self, queries: np.ndarray, own: np.ndarray, axes: np.ndarray, k: int, floor: np.ndarray) -> None:
         self.q, self.own, self.axes, self.k = queries, own, axes, k
         self.length = np.sqrt((queries**2).sum(1))
-        turned = queries @ axes
-        self.lead, self.rest = turned[:, :LEAD], np.sqrt((turned[:, LEAD:] ** 2).sum(1))
+        self.turned = queries @ axes
+        #: Where steps end, and the length of what is left of each query there.
+        self.ends = [*range(STEP, axes.shape[1], STEP), axes.shape[1]]
+        self.rest = self._left(self.turned)
+        #: Pairs that were looked at after each step, the first number before any.
+        self.pairs = np.zeros(len(self.ends) + 1, np.int64)
         self.best = np.full((len(queries), k), -np.inf)
         self.floor = floor
 
+    def _left(self, turned: np.ndarray) -> np.ndarray:
+        """Length of what is left of each row after each step."""
+        squares = np.concatenate([np.zeros((len(turned), 1)), np.cumsum(turned[:, ::-1] ** 2, 1)], 1)
+        return np.sqrt(squares[:, [turned.shape[1] - e for e in self.ends]])
+
+    def reach(self, active: np.ndarray, x: np.ndarray, other: np.ndarray, bar: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row of ``x``) that can reach the bar, by growing partial
+        sums; not those of a query with itself."""
+        turned = x @ self.axes
+        left = self._left(turned)
+        q, c = active, np.arange(len(x))
+        alive = self.own[q, None] != other[None, :]
+        self.pairs[0] += alive.sum()
+        least = (bar - slack)[q]
+        sums = np.zeros(alive.shape)
+        begin = 0
+        for step, end in enumerate(self.ends):
+            sums += self.turned[q, begin:end] @ turned[c, begin:end].T
+            begin = end
+            bound = np.multiply.outer(self.rest[q, step], left[c, step])
+            bound += sums
+            alive &= bound >= least[:, None]
+            self.pairs[step + 1] += np.count_nonzero(alive)
+            rows, cols = alive.any(1), alive.any(0)
+            if not rows.any():
+                break
+            if end < self.ends[-1] and rows.mean() * cols.mean() < 0.8:
+                keep = np.ix_(rows, cols)
+                q, c, least, alive, sums = q[rows], c[cols], least[rows], alive[keep], sums[keep]
+        a, b = np.nonzero(alive)
+        return q[a], c[b]
+
     def exact(self, qi: np.ndarray, x: np.ndarray, xi: np.ndarray) -> np.ndarray:
         """Products of pairs.  Doubles hold them exactly below 2^53."""
         top = (self.length.max(initial=0) * np.sqrt((x**2).sum(1)).max(initial=0)) * 1.01
@@ -116,20 +152,10 @@ class Scan:
             active = active[(self.length * length[rows[0]] + slack >= bar)[active]]
             if not len(active):
                 break
-            turned = x[rows] @ self.axes
-            rest = np.sqrt((turned[:, LEAD:] ** 2).sum(1))
-            bound = self.lead[active] @ turned[:, :LEAD].T + self.rest[active, None] * rest[None, :] + slack[active, None]
-            mask = (bound >= bar[active, None]) & (self.own[active, None] != uid[rows][None, :])
-            if mask.mean() > DENSE and self.length.max() * length[rows[0]] * 1.01 < 2**53:  # one product of blocks beats many of pairs
-                product = self.q[active] @ x[rows].T
-                a, b = np.nonzero(mask & (product >= bar[active, None]))
-                parts = [(active[a], rows[b], product[a, b])] if len(a) else []
-            else:
-                a, b = np.nonzero(mask)
-                parts = ((active[a[i]], rows[b[i]], None) for i in np.array_split(np.arange(len(a)), max(1, len(a) // 65536)))
-            for qi, xi, score in parts:
-                if score is None:
-                    score = self.exact(qi, x, xi)
+            a, b = self.reach(active, x[rows], uid[rows], bar, slack)
+            for i in np.array_split(np.arange(len(a)), len(a) // 65536 + 1):
+                qi, xi = a[i], rows[b[i]]
+                score = self.exact(qi, x, xi)
                 good = score >= np.maximum(self.floor, self.best[:, 0])[qi]
                 found.append((qi[good], xi[good], score[good]))
                 self._raise(qi[good], score[good].astype(float))
@@ -172,18 +198,24 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K, scale: float = 64.0,
     head_uid = np.array([r.uid for r in head], np.int64)
     n_q, n_c = max(1, -(-size.q // QUERY_BLOCK)), max(1, -(-size.n // BLOCK))
 
+    # Blocks of descending length; kept as a column, as parts of a shuffle have no lasting numbers.
+    stored = written(stored.repartitionByRange(n_c, F.desc("length"), "uid").withColumn("cb", F.spark_partition_id()), "blocks")
+    tops = sorted(stored.groupBy("cb").agg(F.max("length").alias("top")).collect())  # a row for each block
+    names, top = [r.cb for r in tops], np.array([r.top for r in tops])
+
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q, uid = matrix(batch.column("v"), width), batch.column("uid").to_numpy()
             score = np.where(uid[:, None] == head_uid[None, :], -np.inf, q @ head_x.T)
             bar = np.partition(score, -k, 1)[:, -k] if len(head_uid) >= k else np.full(len(q), -np.inf)
             bar = bar - 1e-6 - 1e-9 * np.abs(bar, where=np.isfinite(bar), out=np.zeros_like(bar))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bar)], [*batch.schema.names, "floor"])
+            most = np.multiply.outer(np.sqrt((q**2).sum(1)), top) * (1 + 1e-9) + 1e-6
+            met = [[n for n, ok in zip(names, row, strict=True) if ok] for row in (most >= bar[:, None]).tolist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bar), pa.array(met, pa.list_(pa.int32()))], [*batch.schema.names, "floor", "met"])
 
-    asked = stored.where("is_query").select("uid", "vec_id", "v").mapInArrow(floors, "uid bigint, vec_id bigint, v binary, floor double")
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(n_q)).cast("int")).withColumn("cb", blocks(n_c))
-    right = stored.select("uid", "vec_id", "v", F.pmod(F.xxhash64("uid"), F.lit(n_c)).cast("int").alias("cb")).withColumn("qb", blocks(n_q))
+    asked = stored.where("is_query").select("uid", "vec_id", "v").mapInArrow(floors, "uid bigint, vec_id bigint, v binary, floor double, met array<int>")
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(n_q)).cast("int")).withColumn("cb", F.explode("met")).drop("met")
+    right = stored.select("uid", "vec_id", "v", "cb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     empty = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]).empty_table()
 
     def scan(queries: pa.Table, candidates: pa.Table) -> pa.Table:
