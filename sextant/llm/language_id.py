@@ -8,9 +8,11 @@ bounded sample of labelled texts trains one-versus-rest kernel ridge regression
 in the Nystroem space of ``LANDMARKS`` of them; all texts are scored by batched
 matrix products: presence rows by landmark columns, then by the weights.
 
-The sample takes at most about ``SAMPLE`` texts, in equal parts for each
-language as far as it has them, chosen by a hash of the id; it is the only part
-of the corpus that training sees.
+All languages of the training rows are told apart.  The sample takes at most
+about ``SAMPLE`` texts, or ``EACH`` for each language if that is more, in equal
+parts for each language as far as it has them, chosen by a hash of id and text;
+it is the only part of the corpus that training sees.  Each language has a
+landmark at least.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as
 is everything if nothing is labelled; very long texts count whole; rows that
@@ -27,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.base import table, texts_of
+from sextant.llm.base import join_sized, table, texts_of, written
 
 SAMPLE, LANDMARKS, RIDGE = 1600, 256, 1e-2
-#: Languages that are told apart: the most frequent so many.
-LANGUAGES = 200
+#: Texts of each language at least, as far as it has them.
+EACH = 20
 CLASSES = 64
 GRAMS = CLASSES + CLASSES**2 + CLASSES**3
 _CLASS = np.zeros(256, np.int32)
@@ -63,9 +65,10 @@ class Model:
         order = rng.permutation(len(rows))
         picked: list[int] = []
         pools = [[i for i in order.tolist() if langs[i] == x] for x in self.langs]
-        while len(picked) < min(LANDMARKS, len(rows)):  # each language in turn
+        most = min(max(LANDMARKS, len(self.langs)), len(rows))
+        while len(picked) < most:  # each language in turn
             for pool in pools:
-                if pool and len(picked) < LANDMARKS:
+                if pool and len(picked) < most:
                     picked.append(pool.pop())
         self.columns = np.unique(np.concatenate([rows[i] for i in picked]))
         size = np.array([len(r) for r in rows], float)
@@ -112,13 +115,14 @@ class Model:
 
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of ``labelled``, whose languages are not null."""
-    counts = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
-    if not counts:
+    counts = written(labelled.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n")), "languages")
+    n = counts.count()
+    if not n:
         return None
-    each = max(20, sample // len(counts))
-    chance = F.create_map(*(F.lit(x) for r in counts for x in (r[lang_col], min(1.0, each / r["count"]))))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    some = labelled.where(draw < F.try_element_at(chance, F.col(lang_col))).select(F.col(lang_col), F.col(text_col))
+    each = max(EACH, sample // n)
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
+    drawn = labelled.select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), draw.alias("__draw"))
+    some = join_sized(drawn, counts, ["__lang"], "inner").where(F.col("__draw") < F.lit(each) / F.col("__n")).select("__lang", "__text")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(GRAMS, bool)
@@ -130,7 +134,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
                 rows.append(np.flatnonzero(seen).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "grams"])
 
-    got = some.mapInArrow(go, "lang string, grams binary").where(F.octet_length("grams") > 0).limit(2 * max(sample, each * len(counts))).collect()
+    got = some.mapInArrow(go, "lang string, grams binary").where(F.octet_length("grams") > 0).limit(2 * max(sample, each * n)).collect()
     got = sorted(got, key=lambda r: (r.lang, bytes(r.grams)))
     return Model([np.frombuffer(r.grams, np.int32) for r in got], [r.lang for r in got]) if got else None
 

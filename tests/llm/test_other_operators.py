@@ -52,6 +52,17 @@ def test_language_id_without_labels(llm_spark):
     assert language_id.identify(docs.where("false"), None, [F.col("doc_id")]).collect() == []
 
 
+def test_rare_languages_are_learned(llm_spark):
+    rng = random.Random(3)
+    langs = {f"l{i:03}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 3)) for i in range(230)}
+    rows = [(i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(40)), lang) for i, (lang, letters) in enumerate(x for x in langs.items() for _ in range(3))]
+    docs = llm_spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(docs, "doc_id", "text", "lang")
+    assert len(model.langs) == 230 and model.marks.shape[1] >= 230
+    got = language_id.identify(docs, model, [F.col("doc_id"), F.col("lang")]).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.9
+
+
 def test_presence_kernel_is_the_kernel():
     rows = [np.array([1, 2, 5, 9]), np.array([2, 5]), np.array([3, 70, 71])]
     model = language_id.Model(rows, ["a", "a", "b"])
@@ -233,6 +244,40 @@ def test_sentencepiece(llm_spark):
     assert sentencepiece_codec.digests(docs.where("false"), MODEL).collect() == []
 
 
+def test_normaliser_keeps_what_is_malformed_apart():
+    from sentencepiece import sentencepiece_model_pb2 as model
+
+    proto = model.ModelProto()
+    proto.normalizer_spec.add_dummy_prefix = proto.normalizer_spec.remove_extra_whitespaces = False
+    proto.normalizer_spec.escape_whitespaces = True
+    norm, align = sentencepiece_codec.Normaliser(proto).normalise(b"a\xff \xc3\xa9\xe2\x82")
+    assert norm.decode() == "a\ufffd▁é\ufffd\ufffd"
+    assert align.tolist() == [0, 1, 1, 1, 2, 2, 2, 3, 4, 5, 5, 5, 6, 6, 6, 7]
+
+
+def test_segments_the_text_its_own_normaliser_made(monkeypatch):
+    """Also with a model whose map changes texts, of which the library knows nothing."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as model
+
+    with open(MODEL, "rb") as f:
+        proto = model.ModelProto.FromString(f.read())
+    rules = model.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()).normalizer_spec
+    proto.normalizer_spec.precompiled_charsmap = rules.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    blob = proto.SerializeToString()
+    library = sentencepiece.SentencePieceProcessor(model_proto=blob)
+    import builtins
+
+    monkeypatch.setattr(builtins, "open", lambda *a, **k: io.BytesIO(blob))
+    code = sentencepiece_codec.Codec("mapped")
+    monkeypatch.undo()
+    texts = [t or "" for t in TEXTS] + ["ＡＢＣ ﬁ ½ ｶﾞ", "  lead  and  trail  ", "　wide　"]
+    for t, e in zip(texts, code.encode(texts), strict=True):
+        assert e.ids.tolist() == library.encode(t, add_bos=True, add_eos=True)
+        assert (np.diff(e.start) >= 0).all() and (e.end >= e.start).all() and e.end[-1] <= len(t.encode())
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nfkc_cf", "identity"])
 def test_character_map_matches_the_library(rule):
     import sentencepiece
@@ -242,6 +287,7 @@ def test_character_map_matches_the_library(rule):
     proto = model.ModelProto()
     proto.ParseFromString(library.serialized_model_proto())
     own = sentencepiece_codec.Normaliser(proto)
+    assert own.edges.any() == (rule != "identity")
     for text in [t or "" for t in TEXTS] + ["ＡＢＣ ﬁ ½ ｶﾞ", "  lead  and  trail  ", "　wide　", "é Å Straße", "­ soft"]:
         norm, align = own.normalise(text.encode())
         assert norm.decode() == library.normalize(text)
@@ -305,6 +351,33 @@ def test_topk(llm_spark, monkeypatch, large):
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_topk_prunes_by_partial_sums():
+    """Most pairs go before the last step where few axes carry the products, and
+    only contenders get an exact product."""
+    rng = np.random.default_rng(9)
+    x = np.floor(rng.normal(size=(3000, 64)) * np.geomspace(64, 1, 64))
+    axes = np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, ::-1])
+    full = x[:50] @ x.T
+    scan = topk.Scan(x[:50], np.arange(50), axes, 20, np.full(50, -np.inf))
+    qi, xi, score = scan.run(x, np.arange(3000))
+    full[np.arange(50), np.arange(50)] = -np.inf
+    for q in range(50):
+        assert sorted(score[qi == q], reverse=True)[:20] == sorted(full[q], reverse=True)[:20]
+    assert (score == full[qi, xi]).all()
+    assert scan.pairs[0] <= 50 * 3000 and (np.diff(scan.pairs) <= 0).all()
+    assert scan.pairs[1] < 0.7 * scan.pairs[0] and scan.pairs[-1] < 0.5 * scan.pairs[0]
+
+
+def test_topk_skips_blocks_that_are_too_short(llm_spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    monkeypatch.setattr(topk, "HEAD", 64)
+    rows = [(i, [float((i % 7 + 1) * (100 if i < 200 else 1)), 1.0]) for i in range(2000)]
+    docs = llm_spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = topk.topk(docs, F.col("vec_id") % 20 == 0)
+    want = [(q, i) for q, v in rows if q % 20 == 0 for _, i in sorted((-int(sum(64 * a * 64 * b for a, b in zip(v, w, strict=True))), i) for i, w in rows if i != q)[:20]]
+    assert sorted((r.query_id, r.vec_id) for r in found.collect()) == sorted(want)
+
+
 def test_topk_few_and_none(llm_spark):
     docs = llm_spark.createDataFrame([(20, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<double>")
     assert [tuple(r) for r in topk.topk(docs, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 1, 64 * 128)]
