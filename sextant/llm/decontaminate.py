@@ -88,7 +88,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     a space, and the ids of the items that hold it."""
     base = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     width = F.least(F.size("w"), F.lit(window))
-    each = base.select("item", width.alias("len"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.array_join(F.slice("w", i, width), " "))).alias("gram"))
+    each = base.select("item", width.alias("len"), F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.array_join(F.slice("w", i, width), " "))).alias("gram"))
     return each.distinct()
 
 
@@ -113,19 +113,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     short = [r.len for r in texts.where(F.col("len") < window).select("len").distinct().collect()]  # at most window - 1 rows
 
     full = texts.where(F.col("len") == window).select(rough_words(F.col("gram")).alias("w"))
-    item_fps = fingerprints(full, "w", window, k).select(F.explode("fp").alias("fp")).distinct().select("fp", F.lit(1).alias("hit"))
+    # The outer form: a filter inferred from the other one repeats all of ``fingerprints``.
+    item_fps = fingerprints(full, "w", window, k).select(F.explode_outer("fp").alias("fp"))
     for n in short:
-        some = texts.where(F.col("len") == n).select(_gram_hash(rough_words(F.col("gram")), n).alias("fp"), F.lit(1).alias("hit")).distinct()
-        item_fps = item_fps.unionByName(some)
-    item_fps = item_fps.distinct()
+        words_n = texts.where(F.col("len") == n).select(rough_words(F.col("gram")).alias("w"))
+        item_fps = item_fps.unionByName(_runs(words_n, [n]).select(F.explode_outer(f"run{n}").alias("fp")))
+    item_fps = item_fps.where("fp IS NOT NULL").distinct().select("fp", F.lit(1).alias("hit"))
 
     text = F.col(text_col).cast("string")
     keys = [F.col(id_col).alias("doc"), text_hash(text).alias("text_hash")]
     base = docs.select(*keys, rough_words(text).alias("w"))
-    marked = fingerprints(base, "w", window, k)
-    found = F.array_distinct("fp")
-    for n in short:
-        found = F.array_union(found, _all_grams(F.col("w"), n))
+    marked = _runs(fingerprints(base, "w", window, k), short)
+    found = F.array_distinct(F.flatten(F.array("fp", *(f"run{n}" for n in short))))
     # Counted before fingerprints become rows, so that no row carries all words.
     counted = marked.select(*KEY, F.size("w").cast("bigint").alias("n_words"), found.alias("found"))
     seen = counted.select(*KEY, "n_words", F.greatest(F.size("found"), F.lit(1)).alias("size"), F.explode_outer("found").alias("fp"))
@@ -170,14 +169,19 @@ def _located(w: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i, F.lit(n)), " ").alias("gram")))
 
 
-def _all_grams(w: Column, n: int) -> Column:
-    """Hashes of all runs of ``n`` words, for items that short."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: _gram_hash(F.slice(w, i, F.lit(n)), n))
-
-
-def _gram_hash(w: Column, n: int) -> Column:
-    """Hash of the first ``n`` words, apart from the fingerprints of windows."""
-    return F.xxhash64(F.array_join(F.slice(w, F.lit(1), F.lit(n)), " "), F.lit(n))
+def _runs(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """Adds ``runN`` for each N of ``lengths``: hashes of all runs of N words of
+    ``w``, apart from the fingerprints of windows; each length grows by a word."""
+    if not lengths:
+        return df
+    df = df.withColumn("each", F.transform("w", lambda w: F.xxhash64(w, F.lit(7)))).withColumn("run", F.col("each"))
+    for n in range(1, max(lengths) + 1):
+        if n > 1:
+            whole = F.slice("run", F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(0)))
+            df = df.withColumn("run", F.zip_with(whole, F.slice("each", F.lit(n), F.greatest(F.size("w") - (n - 1), F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+        if n in lengths:
+            df = df.withColumn(f"run{n}", F.col("run"))
+    return df
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
