@@ -25,8 +25,10 @@ REQUEST = "kind string, bucket int, batch bigint, hashes binary, extra binary"
 REPLY = "batch bigint, kind string, bucket int, shared binary, first binary"
 _REQUEST = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("extra", pa.binary())])
 _REPLY = pa.schema([("batch", pa.int64()), ("kind", pa.string()), ("bucket", pa.int32()), ("shared", pa.binary()), ("first", pa.binary())])
-#: Bytes of a batch of documents, batches for one bucket, and buckets at least.
-BATCH_BYTES, BATCHES_A_BUCKET, BUCKETS = 600_000, 8, 32
+#: Bytes of a batch of documents, batches for one bucket, and buckets at least.  A
+#: batch sends a slice to each bucket, so buckets are as large as memory allows
+#: (some 100 bytes of text for a hash: 12 MB of hashes), and their number as low.
+BATCH_BYTES, BATCHES_A_BUCKET, BUCKETS = 600_000, 256, 64
 
 
 def batched(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> tuple[DataFrame, int]:
