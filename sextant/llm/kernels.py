@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 U = np.uint64
@@ -32,16 +30,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _R, np.uint64), np.full(size, _RINV, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, at least ``n`` of each."""
-    return _powers(max(1 << 12, 1 << (n - 1).bit_length()) if n > 1 else 1 << 12)
+    """Powers of the multiplier and of its inverse, at least ``n`` of each: the
+    largest tables that were asked for are kept."""
+    if not _tables or len(_tables[0][0]) < n:
+        size = max(1 << 12, 1 << (n - 1).bit_length())
+        up, down = np.full(size, _R, np.uint64), np.full(size, _RINV, np.uint64)
+        up[0] = down[0] = 1
+        _tables[:] = [(np.multiply.accumulate(up), np.multiply.accumulate(down))]
+    return _tables[0]
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
@@ -66,19 +66,16 @@ def rolling(sums: np.ndarray, width: int) -> np.ndarray:
 
 
 def sliding(values: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
-    """f.reduce over each window of ``width`` values, in two passes over blocks."""
-    n = len(values)
-    if n < width:
+    """f.reduce over each window of ``width`` values, for an ``f`` that may count
+    a value twice: windows grow to twice their width at a time."""
+    if len(values) < width:
         return values[:0]
-    if width == 1:
-        return values.copy()
-    pad = -n % width
-    worst = f.identity if f.identity is not None else (np.iinfo(values.dtype).max if f is np.minimum else np.iinfo(values.dtype).min)
-    full = np.concatenate([values, np.full(pad, worst, values.dtype)]) if pad else values
-    blocks = full.reshape(-1, width)
-    ahead = f.accumulate(blocks, axis=1).ravel()
-    back = f.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return f(back[: n - width + 1], ahead[width - 1 : n])
+    out, have = values.copy(), 1
+    while have < width:
+        step = min(have, width - have)
+        out = f(out[:-step], out[step:])
+        have += step
+    return out
 
 
 def word_bounds(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
