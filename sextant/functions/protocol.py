@@ -1,134 +1,100 @@
-"""Grammar of native tool calls and of transcripts (plain Python, run on Arrow
-batches)."""
+"""Grammar of native tool calls, as expressions, and of transcripts (plain
+Python, run on Arrow batches)."""
 
 from __future__ import annotations
 
-import json
 import re
-from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-#: Fixed values of the protocol: markers that may not be nested, the keys that
-#: make JSON look like a tool call, and the pattern of an attempt at one.
+from sextant.functions.text import SPACES, strip
+
+#: Fixed values of the protocol: markers that may not be nested, and the keys that
+#: make JSON look like a tool call.
 MARKERS = ("<tool_call", "</tool_call>", "<function=", "</function>", "<parameter=", "</parameter>", "<answer", "</answer>", "<think", "</think>", "<tool_response", "</tool_response>")
-JSON_KEYS = frozenset(("name", "function", "tool", "tool_calls", "arguments", "query"))
-JSON_ATTEMPT = re.compile(r'"(?:name|function|tool|tool_calls|arguments|query)"\s*:')
-CALL = re.compile(r"(?s)(.*?)<tool_call>\s*<function=([^>]*)>\s*<parameter=([^>]*)>(.*?)</parameter>\s*</function>\s*</tool_call>")
-ANSWER = re.compile(r"(?s)(.*?)<answer>(.*?)</answer>")
-ONCE = ("<tool_call>", "</tool_call>", "<function=", "</function>", "<parameter=", "</parameter>")
-
-
-@dataclass
-class Boundary:
-    """Where a response's action is: reasoning, its start, and the first closer
-    (``tool_call`` or ``answer``) with its end; or why there is none."""
-
-    reasoning: str = ""
-    start: int | None = None
-    closer: str | None = None
-    end: int | None = None
-    error: str | None = None
-
-
-def boundary(text: str, continued: bool) -> Boundary:
-    """``continued``: the prompt has opened the reasoning already."""
-    bad = Boundary(error="invalid_thinking_prefix")
-    opened = 0
-    if not continued:
-        at = text.find("<think>")
-        if at < 0 or text[:at].strip():
-            return bad
-        opened = at + len("<think>")
-    close = text.find("</think>", opened)
-    if close < 0:
-        return bad
-    start = close + len("</think>")
-    ends = [(p, name, p + len(tag)) for tag, name in (("</tool_call>", "tool_call"), ("</answer>", "answer")) if (p := text.find(tag, start)) >= 0]
-    _, closer, end = min(ends, default=(0, None, None))
-    seen = text[: end if end is not None else len(text)]
-    if seen.count("</think>") != 1 or seen.count("<think") != (0 if continued else 1) or (not continued and seen.count("<think>") != 1):
-        return bad
-    return Boundary(text[opened:close].strip(), start, closer, end)
-
-
-def _json_call(text: str) -> bool:
-    if not text.startswith("{"):
-        return False
-    try:
-        value = json.loads(text)
-    except ValueError:
-        return JSON_ATTEMPT.search(text) is not None
-    return isinstance(value, dict) and not JSON_KEYS.isdisjoint(value)
-
-
-def _marked(text: str) -> bool:
-    return any(m in text for m in MARKERS)
-
-
-def native_action(text: str, continued: bool = True, answer_only: bool = False) -> tuple[str | None, str, str | None]:
-    """(action, content, error) of a response.  With ``answer_only``, after the
-    last search, a search is an error and an answer must stand alone."""
-    if not text.strip():
-        return None, "", "empty_response"
+JSON_KEYS = ("name", "function", "tool", "tool_calls", "arguments", "query")
+_MARKED = "|".join(MARKERS)
+_JSON_KEY = '"(?:' + "|".join(JSON_KEYS) + ')"' + SPACES + "*:"
+
+
+def _times(c: Column, tag: str) -> Column:
+    return F.regexp_count(c, F.lit(tag))
+
+
+def _marked(c: Column) -> Column:
+    return F.rlike(c, F.lit(_MARKED))
+
+
+def _has(c: Column, tag: str) -> Column:
+    return F.contains(c, F.lit(tag))
+
+
+def boundary(text: Column, continued: bool = True) -> Column:
+    """Where a response's action is: ``reasoning``, the ``tail`` behind it, its
+    ``body`` up to the first closer, and the ``closer`` (tool_call, answer or
+    null); null as a whole if the reasoning is not one well-formed block.  If
+    ``continued``, the prompt has opened the reasoning already."""
+    opening = "" if continued else SPACES + "*<think>"
+    cut = lambda group: F.regexp_extract(text, f"(?s)^{opening}(.*?)</think>(.*)$", group)
+    reasoning, tail = cut(1), cut(2)
+    upto = "(?s)^(.*?</(tool_call|answer)>)"
+    closer = F.nullif(F.regexp_extract(tail, upto, 2), F.lit(""))
+    body = F.when(closer.isNull(), tail).otherwise(F.regexp_extract(tail, upto, 1))
+    formed = F.rlike(text, F.lit(f"(?s)^{opening}.*?</think>")) & ~_has(F.concat(reasoning, body), "<think") & ~_has(body, "</think>")
+    return F.when(formed, F.struct(strip(reasoning).alias("reasoning"), tail.alias("tail"), strip(body).alias("body"), closer.alias("closer")))
+
+
+def _json_call(body: Column) -> Column:
+    """An object with one of the keys; or, if it is no JSON, what looks like it."""
+    keys = F.json_object_keys(body)
+    there = F.coalesce(F.arrays_overlap(keys, F.array(*map(F.lit, JSON_KEYS))), F.lit(False))
+    return F.startswith(body, F.lit("{")) & F.when(F.try_parse_json(body).isNotNull(), there).otherwise(F.rlike(body, F.lit(_JSON_KEY)))
+
+
+def native_action(text: Column, continued: bool = True, answer_only: bool = False) -> Column:
+    """Struct of action, content and error of a response: the first rule that is
+    broken names the error.  With ``answer_only``, after the last search, a search
+    is an error and an answer must stand alone."""
+    text = F.coalesce(text, F.lit(""))
     found = boundary(text, continued)
-    if found.error:
-        return None, "", found.error
-    body = text[found.start : found.end].strip()
-    if not body:
-        return None, "", "missing_native_action"
-    if found.closer is None:
-        if "<answer" in body:
-            return None, "", "multiple_or_unbalanced_answers"
-        if _marked(body):
-            return None, "", "multiple_or_unbalanced_tool_calls"
-        return None, "", "json_tool_call_not_supported" if _json_call(body) else "missing_native_action"
-    action, content, error = (_answer if found.closer == "answer" else _call)(body)
-    if answer_only and error is None:
-        if action == "search":
-            return action, content, "search_disallowed_after_budget"
-        rest = text[found.start :]
-        if rest.count("<answer>") != 1 or rest.count("</answer>") != 1 or not re.fullmatch(r"(?s)\s*<answer>.*</answer>\s*", rest):
-            return action, content, "invalid_terminal_answer_format"
-    return (action, content, error) if action else (None, "", error)
-
-
-def _answer(body: str) -> tuple[str | None, str, str | None]:
-    if body.count("<answer>") != 1 or body.count("</answer>") != 1:
-        return None, "", "multiple_or_unbalanced_answers"
-    m = ANSWER.fullmatch(body)
-    if not m:
-        return None, "", "malformed_answer"
-    content = m[2].strip()
-    error = "invalid_action_prefix" if _marked(m[1]) else "empty_answer" if not content else "nested_protocol_marker" if _marked(content) else None
-    return (None, "", error) if error else ("answer", content, None)
-
-
-def _call(body: str) -> tuple[str | None, str, str | None]:
-    if any(body.count(m) != 1 for m in ONCE):
-        return None, "", "multiple_or_unbalanced_tool_calls"
-    m = CALL.fullmatch(body)
-    if not m:
-        return None, "", "malformed_tool_call"
-    content = m[4].strip()
-    checks = ((m[2] != "search", "unknown_tool"), (m[3] != "query", "invalid_search_parameter"), (not content, "empty_search_query"), (_marked(content), "nested_protocol_marker"), (_marked(m[1]), "invalid_action_prefix"))
-    error = next((e for bad, e in checks if bad), None)
-    return (None, "", error) if error else ("search", content, None)
-
-
-ACTION_TYPE = StructType([StructField("action", StringType()), StructField("content", StringType()), StructField("error", StringType())])
-
-
-def native_action_of(continued: bool = True, answer_only: bool = False):
-    """A pandas function of a response column."""
-
-    @F.pandas_udf(ACTION_TYPE)
-    def f(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([native_action(x or "", continued, answer_only) for x in s], columns=["action", "content", "error"])
-
-    return f
+    body, closer, tail = found["body"], found["closer"], found["tail"]
+    answers, calls = closer == "answer", closer == "tool_call"
+    s = SPACES + "*"
+    reply = "(?s)^(.*?)<answer>(.*?)</answer>$"
+    call = f"(?s)^(.*?)<tool_call>{s}<function=([^>]*)>{s}<parameter=([^>]*)>(.*?)</parameter>{s}</function>{s}</tool_call>$"
+    part = lambda i: F.regexp_extract(body, call, i)
+    content = strip(F.when(answers, F.regexp_extract(body, reply, 2)).otherwise(part(4)))
+    before = F.when(answers, F.regexp_extract(body, reply, 1)).otherwise(part(1))
+    once = lambda *tags: sum((F.when(_times(body, t) == 1, 0).otherwise(1) for t in tags), F.lit(0)) == 0
+    rules = [
+        (strip(text) == "", "empty_response"),
+        (found.isNull(), "invalid_thinking_prefix"),
+        (body == "", "missing_native_action"),
+        (closer.isNull() & _has(body, "<answer"), "multiple_or_unbalanced_answers"),
+        (closer.isNull() & _marked(body), "multiple_or_unbalanced_tool_calls"),
+        (closer.isNull() & _json_call(body), "json_tool_call_not_supported"),
+        (closer.isNull(), "missing_native_action"),
+        (answers & ~once("<answer>", "</answer>"), "multiple_or_unbalanced_answers"),
+        (answers & ~F.rlike(body, F.lit(reply)), "malformed_answer"),
+        (calls & ~once("<tool_call>", "</tool_call>", "<function=", "</function>", "<parameter=", "</parameter>"), "multiple_or_unbalanced_tool_calls"),
+        (calls & ~F.rlike(body, F.lit(call)), "malformed_tool_call"),
+        (calls & (part(2) != "search"), "unknown_tool"),
+        (calls & (part(3) != "query"), "invalid_search_parameter"),
+        (answers & _marked(before), "invalid_action_prefix"),
+        (content == "", F.when(answers, "empty_answer").otherwise("empty_search_query")),
+        (_marked(content), "nested_protocol_marker"),
+        (calls & _marked(before), "invalid_action_prefix"),
+    ]
+    broken = F.coalesce(*(F.when(rule, code) for rule, code in rules))
+    action = F.when(broken.isNull(), F.when(answers, "answer").otherwise("search"))
+    late = F.lit(None).cast("string")
+    if answer_only:
+        alone = (_times(tail, "<answer>") == 1) & (_times(tail, "</answer>") == 1) & F.rlike(tail, F.lit(f"(?s)^{s}<answer>.*</answer>{s}$"))
+        late = F.when(action == "search", "search_disallowed_after_budget").when((action == "answer") & ~alone, "invalid_terminal_answer_format")
+    return F.struct(action.alias("action"), F.when(action.isNotNull(), content).otherwise("").alias("content"), F.coalesce(broken, late).alias("error"))
 
 
 BLOCK = re.compile(r"(?s)<(think|search|answer|information)>(.*?)</\1>")

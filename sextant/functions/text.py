@@ -22,6 +22,8 @@ USELESS = ("yes", "no", "true", "false", "unknown")
 DEGENERATE = ("", "query", "and")
 TAGS = ("think", "search", "information", "answer")
 WORDS = r"[\p{L}\p{N}]+"
+#: A character of white space, for patterns without the Unicode flag.
+SPACES = r"[\s\x85\p{Z}]"
 
 
 def strip(c: Column) -> Column:

@@ -10,15 +10,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sextant.session import written
+
+
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """Rows in ranges of ``order``, the range of each as ``__p``; written once, as a
+    range shuffle that is made twice need not deal the same way twice.  Rows with
+    the same order go by a hash of all their columns, so that no value has to fit
+    a range."""
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    return written(df.withColumn("__h", tie).repartitionByRange(*order, "__h").withColumn("__p", F.spark_partition_id()), "ranges")
+
+
+def starts(sizes: DataFrame, size: str) -> DataFrame:
+    """What the ranges before each range add up to: __p, __s, from a row for each
+    range with its ``size``."""
+    before = F.coalesce(F.sum(size).over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return sizes.select("__p", before.alias("__s"))
+
 
 def row_ids(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
-    """Number rows from 0 by ``order``.  A range shuffle sorts them; each range's
-    rows are ranked by themselves, and ranges begin where the ones before end."""
-    part = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    local = part.withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
-    sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    starts = sizes.select("__p", F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__s"))  # a row for each range
-    return local.join(F.broadcast(starts), "__p").withColumn(name, (F.col("__s") + F.col("__n") - 1).cast("bigint")).drop("__p", "__n", "__s")
+    """Number rows from 0 by ``order``, ties by a hash of the row.  A range shuffle
+    sorts them; each range's rows are ranked by themselves, and ranges begin where
+    the ones before end."""
+    part = ranged(df, *order)
+    local = part.withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(*order, "__h")))
+    sizes = part.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    out = local.join(F.broadcast(starts(sizes, "__c")), "__p", "left")
+    number = F.when(F.col("__s").isNull(), F.raise_error(F.lit("a range of rows has no start"))).otherwise(F.col("__s") + F.col("__n") - 1)
+    return out.withColumn(name, number.cast("bigint")).drop("__p", "__n", "__s", "__h")
 
 
 def union_columns(a: DataFrame, b: DataFrame, key: str = "row_id") -> tuple[DataFrame, DataFrame]:

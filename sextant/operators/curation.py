@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Parts of a category that are ranked by themselves.
+PARTS = 64
+
+
 def draw(namespace: str, key: Column, seed: int = 42) -> Column:
     """The place a hash gives a row: stable whatever else is in the table."""
     return F.sha2(F.concat(F.lit(f"{seed}|{namespace}|"), key.cast("string")), 256)
@@ -32,10 +36,14 @@ def capped(df: DataFrame, category: str, order: Column, most: int) -> DataFrame:
 
 def quota_split(df: DataFrame, category: str, quality: Column, key: str, quotas: DataFrame) -> DataFrame:
     """Of each category the best rows up to its quota (n_train + n_val), dealt
-    by another hash: the first n_train to train, the rest to val."""
+    by another hash: the first n_train to train, the rest to val.  A category is
+    first ranked in parts, of which each keeps no more than the quota."""
     limits = F.broadcast(quotas)
-    best = df.join(limits, category).withColumn("place", F.row_number().over(W.partitionBy(category).orderBy(quality, draw("select", F.col(key)), key)))
-    chosen = best.where(F.col("place") <= F.col("n_train") + F.col("n_val"))
+    order = [F.col("__q"), F.col("__d"), F.col(key)]
+    rows = df.join(limits, category).withColumn("__q", quality).withColumn("__d", draw("select", F.col(key))).withColumn("__s", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    within = F.col("place") <= F.col("n_train") + F.col("n_val")
+    best = rows.withColumn("place", F.row_number().over(W.partitionBy(category, "__s").orderBy(*order))).where(within).drop("__s", "place")
+    chosen = best.withColumn("place", F.row_number().over(W.partitionBy(category).orderBy(*order))).where(within).drop("__q", "__d")
     dealt = chosen.withColumn("deal", F.row_number().over(W.partitionBy(category).orderBy(draw("split", F.col(key)), key)))
     return dealt.withColumn("split", F.when(F.col("deal") <= F.col("n_train"), "train").otherwise("val"))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import operator
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,24 +70,33 @@ def paired(base: DataFrame, candidate: DataFrame, key: str = "sample_id") -> Dat
     return base.select(key, "em", "searches").join(other, key).withColumn("category", outcome(F.col("em"), F.col("em_b")))
 
 
-def bootstrap(pairs: DataFrame, resamples: int, seed: int, value: Column, n: int, key: str = "sample_id", chunk: int = 100) -> DataFrame:
+#: Cumulative probabilities of a Poisson(1) variable up to 8.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+
+
+def bootstrap(pairs: DataFrame, resamples: int, seed: int, value: Column, key: str = "sample_id") -> DataFrame:
     """Mean of ``value`` and a 95% interval over resamples.
 
     How often a row is in a resample is Poisson(1), drawn from a hash of seed,
-    resample and key by the inverse of the distribution; so each row makes its
-    own weights, resamples are sums over rows, and sums are combined before the
-    shuffle.  Rows meet resamples a chunk at a time."""
-    # Cumulative probabilities of a Poisson(1) variable up to 8.
-    limits, p, total = [], 2.718281828459045**-1, 0.0
-    for k in range(9):
-        total += p
-        limits.append(total)
-        p /= k + 1
-    u = lambda b: F.pmod(F.xxhash64(F.lit(seed), b, F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    rows = pairs.select(key, value.cast("double").alias("v")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // chunk) - 1))))
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.col("c") * chunk, F.least((F.col("c") + 1) * chunk, F.lit(resamples)) - 1)))
-    weight = reduce(lambda acc, limit: acc + (u(F.col("b")) > limit).cast("int"), limits, F.lit(0))
-    sums = drawn.withColumn("w", weight).groupBy("b").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n"))
+    resample and key by the inverse of the distribution.  Each task keeps a vector
+    of sums, one for each resample, so that a row is never copied and what is
+    shuffled does not grow with the rows."""
+    stream = np.random.default_rng(seed).integers(0, 1 << 63, resamples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            hashed, v = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
+            for at in range(0, len(v), 256):  # 256 x resamples numbers at once
+                x = hashed[at : at + 256, None] * stream[None, :]
+                x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+                times = np.searchsorted(POISSON, (x >> np.uint64(11)) / float(1 << 53), "right")
+                total += v[at : at + 256] @ times
+                count += times.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(total), pa.array(count)], ["b", "s", "n"])
+
+    rows = pairs.select(F.xxhash64(key).alias("h"), value.cast("double").alias("v")).where("v IS NOT NULL")
+    sums = rows.mapInArrow(go, "b int, s double, n double").groupBy("b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     means = sums.select(F.try_divide("s", "n").alias("m"))  # one row for each resample
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg("m").alias("mean"), F.count("m").alias("resamples"))
 

@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sextant.functions.text import WORDS, phrase_tokens
+from sextant.functions.text import phrase_tokens
+from sextant.session import written
 
 K1, B = 0.9, 0.4
-#: Sides of up to so many rows are broadcast; larger ones shuffle.
+#: Sides of up to so many rows are broadcast if a row is a few numbers or words;
+#: larger ones shuffle.
 SMALL = 100_000
+#: Numbers of all vectors that are broadcast together at most (8 bytes each).
+SMALL_NUMBERS = 4_000_000
 
 
 def sized(df: DataFrame, rows: int = SMALL) -> DataFrame:
@@ -44,17 +48,18 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, quer
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(phrase_tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     few = asked.limit(SMALL + 1).count() <= SMALL  # bounds the queries' terms and their frequencies as well
     small = F.broadcast if few else lambda df: df
-    low = F.lower(F.col(text_col))
-    whole = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.regexp_count(low, F.lit(WORDS)), F.lit(0))).alias("avgdl")).collect()[0]  # one row
+    # Dealt by document once: counts by (document, term) stay where they are.  Words
+    # nobody asks for are counted under a null term, of which each document has one,
+    # so that the corpus is tokenised once for postings, lengths and statistics.
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("t")).repartition("doc_id").select("doc_id", F.coalesce(phrase_tokens(F.col("t")), F.array().cast("array<string>")).alias("w"))
+    # The outer form keeps Catalyst from tokenising twice for a filter.
+    terms = base.select("doc_id", F.size("w").alias("dl"), F.explode_outer(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
+    known = small(asked.select(F.col("term").alias("known")).distinct())
+    cut = terms.join(known, F.col("term") == F.col("known"), "left")
+    counted = written(cut.groupBy("doc_id", F.col("known").alias("term")).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")), "postings")
+    whole = counted.where("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).collect()[0]  # one row
     n, avgdl = whole.n, whole.avgdl or 1.0
-    # Dealt by document once: counts by (document, term) and sums by (query,
-    # document) then stay where they are.
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("t")).repartition("doc_id").select("doc_id", phrase_tokens(F.col("t")).alias("w"))
-    # The length is taken before the words are rows, so that no row carries all
-    # words; the outer form keeps Catalyst from tokenising twice for a filter.
-    terms = base.select("doc_id", F.size("w").alias("dl"), "w").select("doc_id", "dl", F.explode_outer("w").alias("term")).where("term IS NOT NULL")
-    cut = terms.join(small(asked.select("term").distinct()), "term", "left_semi")
-    counted = cut.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    counted = counted.where("term IS NOT NULL")
     frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
@@ -79,10 +84,12 @@ def l2_normalize(v: Column) -> Column:
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame, block: int = 64) -> DataFrame:
-    """query_id, vec_id, score of all pairs: blocks of queries, packed into one
-    array each, meet every vector, and each row gives the block's scores."""
+    """query_id, vec_id, score of all pairs, as exact search asks: blocks of queries,
+    packed into one array each, meet every vector, and each row gives the block's
+    scores.  The blocks are broadcast while they have few numbers."""
+    size = queries.agg(F.coalesce(F.sum(F.size("q")), F.lit(0)).alias("n")).collect()[0].n  # one row
     blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))).alias("b"), "query_id", "q").groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("qs")).select("qs")
-    pairs = vectors.crossJoin(sized(blocks)).select("vec_id", F.explode(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), dot(x["q"], F.col("embedding")).alias("score")))).alias("x"))
+    pairs = vectors.crossJoin(F.broadcast(blocks) if size <= SMALL_NUMBERS else blocks).select("vec_id", F.explode(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), dot(x["q"], F.col("embedding")).alias("score")))).alias("x"))
     return pairs.select("x.query_id", "vec_id", "x.score")
 
 
@@ -109,6 +116,23 @@ def lexical_overlap(query_words: Column, text_words: Column) -> Column:
     return F.when(F.size(query_words) == 0, 0.0).otherwise(F.size(F.array_intersect(query_words, text_words)) / F.size(query_words))
 
 
+def overlap_top(items: DataFrame, hits: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The k best of all pairs of items (query_id, qt) and hits (own, r, doc_id) by
+    ``lexical_overlap``, ties by (own, r): query_id, rank, own, doc_id, score.
+
+    Words meet words, so that only pairs with a word in common are made.  The others
+    have score 0, and of these the first k hits are enough to fill up a query."""
+    asked = items.select("query_id", F.size("qt").alias("size"), F.explode("qt").alias("term"))
+    texts = docs.join(sized(hits.select("doc_id").distinct()), "doc_id").select("doc_id", F.array_distinct(phrase_tokens(F.col("text"))).alias("dt"))
+    met = texts.select("doc_id", F.explode_outer("dt").alias("term")).join(sized(asked), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    some = met.join(sized(hits), "doc_id").select("query_id", "own", "r", "doc_id", F.round(F.col("n") / F.col("size"), 6).alias("score"))
+    first = hits.orderBy("own", "r").limit(k)  # k rows
+    rest = items.select("query_id").crossJoin(F.broadcast(first)).select("query_id", "own", "r", "doc_id", F.lit(0.0).alias("score"))
+    pairs = some.unionByName(rest).groupBy("query_id", "own", "r", "doc_id").agg(F.max("score").alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "own", "r")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "own", "doc_id", "score")
+
+
 def rerank(pairs: DataFrame, k: int, score: Column, keep: list[str]) -> DataFrame:
     """The k best of each query; ties keep the order they came in (``pos``).
     Only ``keep`` columns move with the scores."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 
 def pad_left(a: Column, length: int, pad: Column) -> Column:
@@ -30,9 +34,25 @@ def eos_mask(a: Column, eos: int) -> Column:
     return F.transform(a, lambda _, i: F.when((at == 0) | (i < at), 1).otherwise(0))
 
 
+def _lists(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of arrays end to end, and where each array begins."""
+    a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(a), 0))
+    return a.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _positions(mask: pa.Array) -> pa.Array:
+    m, at = _lists(mask)
+    total = np.concatenate([[0], np.cumsum(m == 1)])
+    count = total[1:] - np.repeat(total[at[:-1]], np.diff(at))
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.where(m == 1, count - 1, 0).astype(np.int32)))
+
+
 def position_ids(mask: Column) -> Column:
-    """Running count of the mask less 1, 0 where the mask is 0."""
-    return F.transform(mask, lambda m, i: F.when(m == 1, F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x) - 1).otherwise(0))
+    """Running count of the mask less 1, 0 where the mask is 0.  On Arrow batches,
+    as sums over prefixes of arrays would take the square of their length."""
+    return _positions(mask)
 
 
 def info_mask(lengths: Column, own: Column) -> Column:
@@ -47,15 +67,25 @@ def rolling_context(a: Column, b: Column, most: int) -> Column:
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Advantages by the recurrence from the end: one fold over the sequence."""
-    steps = F.reverse(F.zip_with(rewards, values, lambda r, v: F.struct(r.alias("r"), v.alias("v"))))
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("next"), F.lit(0.0).alias("last"))
-
-    def step(acc: Column, x: Column) -> Column:
-        adv = x["r"] + gamma * acc["next"] - x["v"] + gamma * lam * acc["last"]
-        return F.struct(F.concat(acc["out"], F.array(adv)).alias("out"), x["v"].alias("next"), adv.alias("last"))
-
-    return F.reverse(F.aggregate(steps, start, step, lambda acc: acc["out"]))
+    """Advantages by the recurrence from the end, for many sequences at once: a
+    step is a step of all of them, the shorter ones joining later."""
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def f(r: pa.Array, v: pa.Array) -> pa.Array:
+        reward, at = _lists(r)
+        value, _ = _lists(v)
+        out, size = np.zeros(len(reward)), np.diff(at)
+        order = np.argsort(-size, kind="stable")
+        last, ahead = np.zeros(len(size)), np.zeros(len(size))
+        for back in range(1, int(size.max(initial=0)) + 1):
+            rows = order[: np.searchsorted(-size[order], -back, "right")]
+            i = at[rows + 1] - back
+            last[rows] = reward[i] + gamma * ahead[rows] - value[i] + gamma * lam * last[rows]
+            ahead[rows] = value[i]
+            out[i] = last[rows]
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(out))
+
+    return f(rewards.cast("array<double>"), values.cast("array<double>"))
 
 
 def group_advantage(df: DataFrame, score: str, group: str, epsilon: float = 1e-6) -> DataFrame:
@@ -125,7 +155,18 @@ def logprob(logits: Column, label: Column) -> Column:
 
 def presence_penalty(logits: Column, seen: Column, penalty: float) -> Column:
     """Less by the penalty for each token that was generated, once."""
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(seen, i), x - penalty).otherwise(x))
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def f(x: pa.Array, ids: pa.Array) -> pa.Array:
+        out, at = _lists(x)
+        token, of = _lists(ids)
+        row = np.repeat(np.arange(len(of) - 1), np.diff(of))
+        known = (token >= 0) & (token < np.diff(at)[row])
+        out = out.astype(float)
+        out[np.unique(at[row[known]] + token[known].astype(np.int64))] -= penalty
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(out))
+
+    return f(logits.cast("array<double>"), seen)
 
 
 def adaptive_kl(t: DataFrame, start: float, target: float, horizon: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sextant.functions import protocol
 from sextant.functions import text as T
 from sextant.operators import curation as C
 from sextant.operators import episodes as P
@@ -225,14 +226,14 @@ def query_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENTS = "e AS (SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, text FROM conversations WHERE role <> 'system')"
 
 
-@register("redundant_search", rf"""WITH {_EVENTS}, w AS (SELECT id, n, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')[1:6]) AS w, list_distinct([length(text) % 5, length(text) % 3]) AS d FROM e WHERE n <= 3),
+@register("redundant_search", rf"""WITH {_EVENTS}, w AS (SELECT id, n, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w, list_distinct([length(text) % 5, length(text) % 3]) AS d FROM e WHERE n <= 3),
 x AS (SELECT a.id, max(CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END) AS s, list_distinct(flatten(list(b.d))) AS ds, any_value(a.d) AS d3 FROM w a JOIN w b ON a.id = b.id AND b.n < 3 WHERE a.n = 3 GROUP BY a.id),
 f AS (SELECT id, s, len(list_filter(d3, lambda v: NOT list_contains(ds, v))) AS fresh, len(d3) AS k FROM x)
 SELECT id, round(s, 6) AS similarity, fresh = 0 AS no_new_document, round(fresh / k, 6) AS novelty, CASE WHEN id % 2 = 1 AND id % 3 = 0 AND (s >= 0.8 OR fresh = 0) THEN 'strong' WHEN (id % 2 = 1 AND id % 3 = 0 AND fresh / k <= 1.0 / 3) OR (id % 2 = 0 AND s >= 0.8 AND fresh = 0) THEN 'medium' ELSE 'review' END AS classification FROM f""")
 def redundant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "conversations").where("role <> 'system'").withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))).where("n <= 3")
     length = F.length("text")
-    e = events.select(F.col("conv_id").alias("id"), "n", F.array_distinct(F.slice(T.phrase_tokens(F.col("text")), 1, 6)).alias("words"), F.array_distinct(F.array(length % 5, length % 3)).alias("docs"))
+    e = events.select(F.col("conv_id").alias("id"), "n", F.array_distinct(T.phrase_tokens(F.col("text"))).alias("words"), F.array_distinct(F.array(length % 5, length % 3)).alias("docs"))
     r = P.redundancy(e)
     kind = P.redundancy_class(F.col("id") % 2, F.col("id") % 3 == 0, F.col("duplicate_query"), F.col("no_new_document"), F.col("novelty"))
     return r.select("id", F.round("similarity", 6).alias("similarity"), "no_new_document", F.round("novelty", 6).alias("novelty"), kind.alias("classification"))
@@ -257,10 +258,8 @@ def hit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("parse_transcript")
 def parse_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of every transcript; the state machine is tested case by case."""
-    from sextant.functions.protocol import turns_of
-
     x = T.assistant_text(F.col("transcript"), "<|im_start|>assistant", "<|im_end|>")
-    turns = transcripts(spark, sf_dir).select("conv_id", "turn", F.explode(turns_of(x)).alias("t"))
+    turns = transcripts(spark, sf_dir).select("conv_id", "turn", F.explode(protocol.turns_of(x)).alias("t"))
     return turns.select("conv_id", "turn", F.col("t.turn").alias("step"), "t.think", "t.action", "t.content", "t.observation", F.array_join("t.invalid_text", "|").alias("invalid_text"), "t.valid")
 
 
@@ -270,17 +269,14 @@ _RESPONSE = "CASE conv_id % 6 WHEN 0 THEN 'r</think><tool_call><function=search>
 @register("native_action", f"""SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'search' WHEN 1 THEN 'answer' END AS action, CASE WHEN conv_id % 6 <= 1 THEN {d_strip("split_part(text, ' ', 1)")} ELSE '' END AS content,
 CASE conv_id % 6 WHEN 2 THEN 'invalid_thinking_prefix' WHEN 3 THEN 'missing_native_action' WHEN 4 THEN 'json_tool_call_not_supported' WHEN 5 THEN 'empty_answer' END AS error FROM conversations""")
 def native_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sextant.functions.protocol import native_action_of
-
-    out = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_RESPONSE} AS r").select("conv_id", "turn", native_action_of(True)("r").alias("a"))
+    out = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_RESPONSE} AS r").select("conv_id", "turn", protocol.native_action(F.col("r")).alias("a"))
     return out.select("conv_id", "turn", "a.action", "a.content", "a.error")
 
 
 @register("action_boundary", f"WITH x AS (SELECT conv_id, turn, {_RESPONSE} AS r FROM conversations), y AS (SELECT *, instr(r, '</tool_call>') AS a, instr(r, '</answer>') AS b FROM x) SELECT conv_id, turn, CASE WHEN a = 0 AND b = 0 THEN NULL WHEN b = 0 OR (a > 0 AND a < b) THEN 'tool_call' ELSE 'answer' END AS closer FROM y WHERE contains(r, '</think>')")
 def action_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_RESPONSE} AS r").where(F.contains("r", F.lit("</think>")))
-    a, b = F.instr("r", "</tool_call>"), F.instr("r", "</answer>")
-    return x.select("conv_id", "turn", F.when((a > 0) & ((b == 0) | (a < b)), "tool_call").when(b > 0, "answer").alias("closer"))
+    x = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_RESPONSE} AS r").select("conv_id", "turn", protocol.boundary(F.col("r")).alias("b"))
+    return x.where("b IS NOT NULL").select("conv_id", "turn", "b.closer")
 
 
 @register("trace_violations", "SELECT conv_id, 'role' AS rule FROM conversations WHERE role NOT IN ('user', 'assistant') UNION ALL SELECT conv_id, 'length' FROM conversations WHERE length(text) >= 300 UNION ALL SELECT conv_id, 'turn' FROM conversations WHERE turn >= 6")

@@ -122,7 +122,7 @@ def search_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the difference; the draw is a hash, tested for its moments."""
     p = pairs(spark, sf_dir)
-    return rounded(E.bootstrap(p, 1000, 42, F.col("em_b") - F.col("em"), 0))
+    return rounded(E.bootstrap(p, 10_000, 42, F.col("em_b") - F.col("em")))
 
 
 @register("gate_decision", f"WITH {R_SQL}, m AS (SELECT avg(em) AS em, avg((searches >= 2)::INT) AS p_two, avg(clipped) AS clipped, NULL AS absent FROM r), c AS (SELECT 'em' AS name, em AS observed, em >= 0.5 AS passed FROM m UNION ALL SELECT 'p_two', p_two, p_two >= 0.5 FROM m UNION ALL SELECT 'clipped', clipped, clipped <= 0.05 FROM m UNION ALL SELECT 'absent', NULL, false FROM m) SELECT CASE WHEN bool_and(passed) THEN 'GO' ELSE 'NO-GO' END AS decision, CAST(count(*) FILTER (NOT passed) AS BIGINT) AS failed FROM c")

@@ -12,6 +12,7 @@ from sextant.operators import retrieval as R
 from sextant.plans.data import CONTENTS, passages, table
 from sextant.plans.text_queries import d_phrase
 from sextant.registry import register
+from sextant.session import written
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 BM25_SQL = f"""p AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL),
@@ -24,7 +25,7 @@ top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score D
 
 def bm25_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     hits = R.bm25(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), table(spark, sf_dir, "documents"))
-    return R.top_k(hits, k, "doc_id")
+    return written(R.top_k(hits, k, "doc_id"), "top")  # small, and read more than once
 
 
 @register("bm25_index", f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL")
@@ -75,10 +76,10 @@ def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
-DENSE_SQL = f"hits AS (SELECT q.vec_id AS query_id, v.vec_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM hits)"
+DENSE_SQL = f"hits AS (SELECT q.vec_id AS query_id, v.vec_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM hits)"
 
 
-def dense_top(spark: SparkSession, sf_dir: str, k: int, asked: str = "vec_id < 20") -> DataFrame:
+def dense_top(spark: SparkSession, sf_dir: str, k: int, asked: str = "vec_id % 20 = 0") -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = vectors.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return R.top_k(R.dense_scores(queries, vectors), k, "vec_id")
@@ -89,16 +90,15 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_top(spark, sf_dir, 10).select("query_id", "vec_id", "score", "rank")
 
 
-#: Condition on the searches of ``ann_recall``, and how many vectors of best
-#: coded scores are scored exactly for each.
-ANN_QUERIES, SHORTLIST = "vec_id % 20 = 0", 50
+#: How many vectors of best coded scores ``ann_recall`` scores exactly for each query.
+SHORTLIST = 50
 
 
 def ann_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The k best by an index of 8-bit codes: all vectors are scored by their codes
     and the best ``SHORTLIST`` of each query exactly."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = vectors.where(ANN_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     step = vectors.agg((F.max(F.array_max(F.transform("embedding", F.abs))).cast("double") / 127).alias("step"))
     coded = vectors.crossJoin(F.broadcast(step)).select("vec_id", F.transform("embedding", lambda x: F.when(F.col("step") > 0, F.round(x / F.col("step"))).otherwise(0).cast("tinyint")).alias("embedding"))
     near = R.top_k(R.dense_scores(queries, coded), max(k, SHORTLIST), "vec_id").select("query_id", "vec_id")
@@ -110,7 +110,7 @@ def ann_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 10 of the search by codes against the exact one, for every query."""
     found = ann_top(spark, sf_dir, 10).select("query_id", "vec_id")
-    exact = dense_top(spark, sf_dir, 10, ANN_QUERIES).select("query_id", "vec_id")
+    exact = dense_top(spark, sf_dir, 10).select("query_id", "vec_id")
     return exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
@@ -139,9 +139,8 @@ s AS (SELECT query_id, own, r, doc_id, {_OVERLAP} AS score FROM x), o AS (SELECT
 def rerank_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query of the request against every document of every query."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(phrase_tokens(F.col("text"))).alias("qt"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(R.sized(bm25_top(spark, sf_dir, 2).select(F.col("query_id").alias("own"), "rank", "doc_id")), "doc_id").select("own", F.col("rank").alias("r"), "doc_id", F.array_distinct(phrase_tokens(F.col("text"))).alias("dt"))
-    pairs = docs.crossJoin(R.sized(items)).withColumn("pos", F.struct("own", "r"))
-    return R.rerank(pairs, 5, R.lexical_overlap(F.col("qt"), F.col("dt")), ["own", "doc_id"]).select("query_id", "rank", "own", "doc_id", "score")
+    hits = bm25_top(spark, sf_dir, 2).select(F.col("query_id").alias("own"), F.col("rank").alias("r"), "doc_id")
+    return R.overlap_top(items, hits, table(spark, sf_dir, "documents").select("doc_id", "text"), 5)
 
 
 @register("retrieve_then_rerank", f"""WITH {BM25_SQL}, x AS (SELECT query_id, rank AS r, t.doc_id, (SELECT b.text FROM benchmark b WHERE b.item_id = query_id) AS qt, d.text AS dt FROM top t JOIN documents d USING (doc_id) WHERE rank <= 10),
@@ -181,6 +180,12 @@ def batch_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(spark, sf_dir)[0].select("o_orderkey", "row_id")
 
 
+@register("batch_row_ids_wide", "SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_id FROM orders")
+def batch_row_ids_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rows, by an order with many ties."""
+    return B.row_ids(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey")
+
+
 @register("batch_union", "SELECT o_orderkey AS row_id, o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 3")
 def batch_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "row_id")

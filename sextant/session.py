@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -45,3 +45,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root and not one_machine(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{(root or 'file://' + tempfile.mkdtemp(prefix='sextant-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sextant.operators.batch import ranged, starts
 from sextant.session import scratch
 
 PASSAGE = "id string, contents string"
@@ -56,11 +57,10 @@ def roundtrip(passages: DataFrame) -> DataFrame:
 def offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Where each line begins, in bytes, when rows are written by id: sums
     within ranges of ids plus the totals of the ranges before."""
-    sized = df.select(id_col, (F.octet_length(text_col) + 1).cast("bigint").alias("__n")).repartitionByRange(id_col).withColumn("__p", F.spark_partition_id())
-    local = sized.withColumn("__s", F.coalesce(F.sum("__n").over(W.partitionBy("__p").orderBy(id_col).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    totals = sized.groupBy("__p").agg(F.sum("__n").alias("__t"))
-    base = totals.select("__p", F.coalesce(F.sum("__t").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # a row for each range
-    return local.join(F.broadcast(base), "__p").select(id_col, (F.col("__s") + F.col("__b")).cast("bigint").alias("start"))
+    sized = ranged(df.select(id_col, (F.octet_length(text_col) + 1).cast("bigint").alias("__n")), id_col)
+    local = sized.withColumn("__o", F.coalesce(F.sum("__n").over(W.partitionBy("__p").orderBy(id_col, "__h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    base = starts(sized.groupBy("__p").agg(F.sum("__n").alias("__t")), "__t")
+    return local.join(F.broadcast(base), "__p", "left").select(id_col, (F.col("__o") + F.col("__s")).cast("bigint").alias("start"))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

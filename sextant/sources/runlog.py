@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sextant.operators.batch import row_ids
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """line_no and line of text files; numbers increase within a file."""
@@ -49,6 +51,6 @@ def gaps(steps: DataFrame) -> DataFrame:
     starts = steps.join(before, "step", "left_anti")
     after = steps.select((F.col("step") - 1).alias("step"))
     ends = steps.join(after, "step", "left_anti")
-    rank = lambda df, name: df.select(F.col("step").alias(name), F.row_number().over(W.orderBy("step")).alias("n"))
+    rank = lambda df, name: row_ids(df.select(F.col("step").alias(name)), name, name="n")
     joined = rank(starts, "step").join(rank(ends, "end").withColumn("n", F.col("n") + 1), "n")
     return joined.select("step", (F.col("step") - F.col("end")).alias("gap"))

@@ -87,21 +87,28 @@ def test_arithmetic_is_not_code():
     assert scoring.arithmetic("__import__('os')") is None and scoring.arithmetic("2**9") is None and scoring.arithmetic("1/0") is None and scoring.arithmetic("-(2+3)*4") == -20
 
 
+def native(spark, t, **how):
+    return tuple(spark.createDataFrame([(t,)], "t string").select(protocol.native_action(F.col("t"), **how).alias("a")).collect()[0].a)
+
+
 @pytest.mark.parametrize(("t", "want"), [
+    ('r</think>{"a": {"name": 1}}', (None, "", "missing_native_action")), ('r</think>{"a": 1, "name" : ', (None, "", "json_tool_call_not_supported")), ("r</think>{x}", (None, "", "missing_native_action")), ("r</think><tool_call <answer>a</answer>", (None, "", "invalid_action_prefix")),
+    ("r</think><tool_call><function=search><parameter=query>q</parameter></tool_call>", (None, "", "multiple_or_unbalanced_tool_calls")), ("r</think><tool_call><parameter=query><function=search>q</parameter></function></tool_call>", (None, "", "malformed_tool_call")), ("  \u00a0 ", (None, "", "empty_response")), (None, (None, "", "empty_response")),
+    ("r</think>x </answer><answer>a", (None, "", "multiple_or_unbalanced_answers")), ("r <think</think><answer>a</answer>", (None, "", "invalid_thinking_prefix")),
     ("", (None, "", "empty_response")), ("x", (None, "", "invalid_thinking_prefix")), ("r</think>", (None, "", "missing_native_action")), ("r</think><answer>a</answer> tail", ("answer", "a", None)),
     ("r</think>go <tool_call><function=search><parameter=query> q </parameter></function></tool_call>", ("search", "q", None)), ("r</think><tool_call><function=find><parameter=query>q</parameter></function></tool_call>", (None, "", "unknown_tool")),
     ("r</think><tool_call><function=search><parameter=k>q</parameter></function></tool_call>", (None, "", "invalid_search_parameter")), ("r</think><tool_call><function=search><parameter=query> </parameter></function></tool_call>", (None, "", "empty_search_query")),
     ("r</think><answer>a", (None, "", "multiple_or_unbalanced_answers")), ("r</think><tool_call>", (None, "", "multiple_or_unbalanced_tool_calls")), ('r</think>{"query": 1}', (None, "", "json_tool_call_not_supported")),
     ("r</think></think><answer>a</answer>", (None, "", "invalid_thinking_prefix")), ("r</think><answer>a <tool_call b</answer>", (None, "", "nested_protocol_marker")), ("r</think><think>x<answer>a</answer>", (None, "", "invalid_thinking_prefix")),
 ])
-def test_native_grammar(t, want):
-    assert protocol.native_action(t) == want
+def test_native_grammar(spark, t, want):
+    assert native(spark, t) == want
 
 
-def test_native_terminal():
-    assert protocol.native_action("r</think>so <answer>a</answer>", answer_only=True)[2] == "invalid_terminal_answer_format"
-    assert protocol.native_action("r</think> <answer>a</answer>", answer_only=True) == ("answer", "a", None)
-    assert protocol.native_action("<think>r</think><answer>a</answer>", continued=False) == ("answer", "a", None)
+def test_native_terminal(spark):
+    assert native(spark, "r</think>so <answer>a</answer>", answer_only=True)[2] == "invalid_terminal_answer_format"
+    assert native(spark, "r</think> <answer>a</answer>", answer_only=True) == ("answer", "a", None)
+    assert native(spark, "<think>r</think><answer>a</answer>", continued=False) == ("answer", "a", None)
 
 
 def test_transcript_turns():
@@ -145,7 +152,7 @@ def test_group_of_one_and_equal_scores(spark):
 
 def test_bootstrap_moments(spark):
     df = spark.range(400).select(F.col("id").alias("sample_id"), (F.col("id") % 2).alias("x"))
-    r = evaluation.bootstrap(df, 500, 42, F.col("x"), 400).collect()[0]
+    r = evaluation.bootstrap(df, 500, 42, F.col("x")).collect()[0]
     assert r.resamples == 500 and abs(r.mean - 0.5) < 0.01 and 0.43 < r.low < 0.47 and 0.53 < r.high < 0.57
 
 
@@ -222,3 +229,22 @@ def test_ann_recall_of_every_twentieth_vector(spark, sf):
     assert set(found) == set(want) and np.mean(list(recall.values())) >= 0.9
     assert {r.query_id: round(r.recall, 6) for r in retrieval_queries.ann_recall(spark, folder).collect()} == recall
     print(sf, len(recall), np.mean(list(recall.values())), min(recall.values()))
+
+
+def test_wide_rows_keep_their_numbers(spark, tmp_path):
+    """Every row once and no number twice, also with ties and when columns are many."""
+    df = spark.range(120_000).selectExpr("id", "id % 5 AS tie", "repeat('x', 200) AS a", "sha2(CAST(id AS STRING), 256) AS b")
+    got = batch.row_ids(df, "tie")
+    got.write.parquet(f"{tmp_path}/rows")
+    back = spark.read.parquet(f"{tmp_path}/rows")
+    r = back.agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("d"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.count_distinct("id").alias("ids")).collect()[0]
+    assert (r.n, r.d, r.lo, r.hi, r.ids) == (120_000, 120_000, 0, 119_999, 120_000)
+    assert back.groupBy("tie").agg(F.min("row_id").alias("m")).orderBy("tie").collect() == [(k, 24_000 * k) for k in range(5)]
+
+
+def test_long_sequences(spark):
+    n = 20_000
+    df = spark.createDataFrame([(1, [1.0] * n, [0.0] * n, [0] + [1] * (n - 1)), (2, [], [], []), (3, [2.0], [1.0], [1])], "id int, r array<double>, v array<double>, m array<int>")
+    got = {x.id: x for x in df.select("id", sequences.gae(F.col("r"), F.col("v"), 1.0, 1.0).alias("g"), sequences.position_ids(F.col("m")).alias("p"), sequences.presence_penalty(F.col("r"), F.array(F.lit(0), F.lit(0), F.lit(n)), 0.5).alias("x")).collect()}
+    assert got[1].g[0] == n and got[1].g[-1] == 1 and got[1].p[:3] == [0, 0, 1] and got[1].p[-1] == n - 2 and got[1].x[:2] == [0.5, 1.0]
+    assert (got[2].g, got[2].p, got[2].x) == ([], [], []) and (got[3].g, got[3].p, got[3].x) == ([1.0], [0], [1.5])
