@@ -6,7 +6,7 @@ not gather all rows in a task: ranks within ranges plus the ranges' offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -112,3 +112,39 @@ def minibatches(df: DataFrame, size: int, seed: int, key: str) -> DataFrame:
 def drop_last(df: DataFrame, size: int, total: int, key: str = "row_id") -> DataFrame:
     """Without the last batch if it is short."""
     return df.withColumn("batch", F.floor(F.col(key) / size).cast("bigint")).where(F.col("batch") < total // size)
+
+
+def collate(df: DataFrame, key: str, order: str) -> DataFrame:
+    """A row for each key, with the values of each other column as a list in order."""
+    columns = [c for c in df.columns if c != key]
+    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), *columns)))
+    return df.groupBy(key).agg(packed.alias("x")).select(key, *(F.col(f"x.{c}").alias(c) for c in columns))
+
+
+def from_columns(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A small batch from lists, which must be of one length."""
+    lengths = {k: len(v) for k, v in columns.items()}
+    if len(set(lengths.values())) > 1:
+        raise ValueError(f"columns differ in length: {lengths}")
+    return spark.createDataFrame(list(zip(*columns.values(), strict=True)), schema)
+
+
+def sizes(df: DataFrame) -> DataFrame:
+    """Bytes of each column: of texts and binaries their content, of numbers their
+    width, of arrays that of their elements."""
+    width = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+
+    def of(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return F.octet_length(c)
+        if kind.startswith("array<"):
+            return F.size(c) * width.get(kind[6:-1], 8)
+        return F.lit(width.get(kind, 8))
+
+    return df.agg(*(F.coalesce(F.sum(of(n, t).cast("bigint")), F.lit(0)).alias(n) for n, t in df.dtypes))
+
+
+def as_integers(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns as integers, cut towards zero; what does not fit is an error."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
