@@ -3,8 +3,9 @@
 Documents are dealt into batches of about equal size.  A batch turns what it
 wants compared (fingerprints of windows, say) into sorted unique 64-bit hashes;
 slices of these go to buckets by hash range; a bucket answers each slice with
-bits; and the batch, computed anew from its documents, reads the bits in the
-order of its hashes.  Rows of the shuffles are packed arrays, a hash that occurs
+bits, and if asked for sources with the first of them for what is shared; and the
+batch, computed anew from its documents, reads the answers in the order of its
+hashes.  Rows of the shuffles are packed arrays, a hash that occurs
 in a third of all documents is sent once by each batch, and buckets are even
 because hashes are.
 """
@@ -22,9 +23,11 @@ from sextant.llm.base import row_bytes
 
 U = np.uint64
 REQUEST = "kind string, bucket int, batch bigint, hashes binary, extra binary"
-REPLY = "batch bigint, kind string, bucket int, shared binary, first binary"
+REPLY = "batch bigint, kind string, bucket int, shared binary, first binary, source binary"
 _REQUEST = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("extra", pa.binary())])
-_REPLY = pa.schema([("batch", pa.int64()), ("kind", pa.string()), ("bucket", pa.int32()), ("shared", pa.binary()), ("first", pa.binary())])
+_REPLY = pa.schema([("batch", pa.int64()), ("kind", pa.string()), ("bucket", pa.int32()), ("shared", pa.binary()), ("first", pa.binary()), ("source", pa.binary())])
+#: Where something lies: a document and a position in it.
+PLACE = np.dtype([("id", "<i8"), ("at", "<i8")])
 #: Bytes of a batch of documents, batches for one bucket, and buckets at least.  A
 #: batch sends a slice to each bucket, so buckets are as large as memory allows
 #: (some 100 bytes of text for a hash: 12 MB of hashes), and their number as low.
@@ -48,7 +51,7 @@ def bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def request(kind: str, batch: int, hashes: np.ndarray, buckets: int, extra: np.ndarray | None = None) -> pa.Table:
-    """Slices of sorted unique ``hashes``; ``extra`` has an int64 for each."""
+    """Slices of sorted unique ``hashes``; ``extra`` has a ``PLACE`` for each."""
     cut = bounds(hashes, buckets)
     some = np.flatnonzero(np.diff(cut))
     rows = [[kind] * len(some), some, [batch] * len(some), [hashes[cut[i] : cut[i + 1]].tobytes() for i in some], [None if extra is None else extra[cut[i] : cut[i + 1]].tobytes() for i in some]]
@@ -57,8 +60,9 @@ def request(kind: str, batch: int, hashes: np.ndarray, buckets: int, extra: np.n
 
 def answer(group: pa.Table) -> pa.Table:
     """Of each hash of each slice of a bucket: ``shared``, whether another batch
-    has it (with extra values: whether one has it with a smaller value), and
-    ``first``, whether no batch of a smaller number has it."""
+    has it (with places: whether one has it in a document of smaller id), and
+    ``first``, whether no batch of a smaller number has it; with places also
+    ``source``, the smallest one of each hash that is shared."""
     group = group.sort_by("batch")
     slices = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
     sizes = [len(x) for x in slices]
@@ -70,33 +74,51 @@ def answer(group: pa.Table) -> pa.Table:
     start = np.flatnonzero(new)
     of = np.cumsum(new) - 1
     shared, first = np.empty(len(hashes), bool), np.empty(len(hashes), bool)
-    if group["extra"][0].is_valid:
-        value = np.concatenate([np.frombuffer(x, np.int64) for x in group["extra"].to_pylist()])[order]
-        shared[order] = np.minimum.reduceat(value, start)[of] < value
+    sourced = group["extra"][0].is_valid
+    if sourced:
+        place = np.concatenate([np.frombuffer(x, PLACE) for x in group["extra"].to_pylist()])
+        place = place[order]
+        rank = np.lexsort((place["at"], place["id"], of))  # a hash's places keep to its stretch
+        least = place[rank[start]][of]
+        shared[order] = least["id"] < place["id"]
+        source = np.empty(len(hashes), PLACE)
+        source[order] = least
     else:
         shared[order] = np.diff(np.append(start, len(ordered)))[of] > 1
     first[order] = new
     ends = np.cumsum(sizes)
     bits = lambda x: [np.packbits(x[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
-    return pa.table([group["batch"].combine_chunks(), group["kind"].combine_chunks(), group["bucket"].combine_chunks(), pa.array(bits(shared), pa.binary()), pa.array(bits(first), pa.binary())], schema=_REPLY)
+    sources = [source[e - n : e][shared[e - n : e]].tobytes() if sourced else None for e, n in zip(ends, sizes, strict=True)]
+    return pa.table([group["batch"].combine_chunks(), group["kind"].combine_chunks(), group["bucket"].combine_chunks(), pa.array(bits(shared), pa.binary()), pa.array(bits(first), pa.binary()), pa.array(sources, pa.binary())], schema=_REPLY)
 
 
 class Replies:
     """The answers to one batch."""
 
     def __init__(self, replies: pa.Table) -> None:
-        self._by = {(r["kind"], r["bucket"]): (r["shared"], r["first"]) for r in replies.to_pylist()}
+        self._by = {(r["kind"], r["bucket"]): (r["shared"], r["first"], r["source"]) for r in replies.to_pylist()}
 
     def read(self, kind: str, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """(shared, first) for the sorted unique hashes that were asked about."""
-        cut = bounds(hashes, buckets)
         out = np.zeros((2, len(hashes)), bool)
-        for i in np.flatnonzero(np.diff(cut)):
-            n = cut[i + 1] - cut[i]
-            for to, packed in zip(out, self._by[kind, int(i)], strict=True):
-                to[cut[i] : cut[i + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=n)
+        for part, answers in self._parts(kind, hashes, buckets):
+            for to, packed in zip(out, answers[:2], strict=True):
+                to[part] = np.unpackbits(np.frombuffer(packed, np.uint8), count=part.stop - part.start)
         return out[0], out[1]
 
+    def sources(self, kind: str, hashes: np.ndarray, buckets: int) -> np.ndarray:
+        """The smallest place of each hash that is shared."""
+        shared, _ = self.read(kind, hashes, buckets)
+        out = np.zeros(len(hashes), PLACE)
+        for part, answers in self._parts(kind, hashes, buckets):
+            out[part.start + np.flatnonzero(shared[part])] = np.frombuffer(answers[2], PLACE)
+        return out
+
+    def _parts(self, kind: str, hashes: np.ndarray, buckets: int) -> Iterator[tuple[slice, tuple]]:
+        cut = bounds(hashes, buckets)
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            yield slice(int(cut[i]), int(cut[i + 1])), self._by[kind, i]
+
 
 def exchange(requests: DataFrame) -> DataFrame:
     return requests.groupBy("kind", "bucket").applyInArrow(answer, REPLY)

@@ -1,14 +1,16 @@
 """Removal of passages that an earlier document has.
 
 Documents are parsed relative to all documents of smaller id.  The reference is
-indexed in blocks: the windows of ``width`` words, by hash range, each with the
-smallest id of a document that holds it; a document meets every block that
-shares an anchor with it (see ``repeats``) and no other, as a block without a
-common anchor cannot hold a window of it.  The parse is greedy: a factor begins
-at the first word whose window the reference has and goes on while the next
-window is there too, so a factor is ``width`` words or longer; where one ends
-the windows over the boundary are looked up as well, since another source may
-carry on.  The words of all factors are duplicate spans.
+indexed in blocks: the windows of ``width`` words, by hash range, each with its
+first place in the reference (the smallest id of a document that holds it, and
+the word it starts at).  A document meets every block that shares an anchor with
+it (see ``repeats``) and no other, as a block without a common anchor cannot hold
+a window of it.  The parse is greedy: a factor begins at the first word whose
+window the reference has, copies from that window's place, and goes on as long as
+the next window lies at the next word of the same source.  At its boundary the
+windows that reach over it are looked up as well, so that a factor from another
+source may begin within it.  Factors are ``width`` words or longer; the words of
+all factors are duplicate spans.
 
 Defined cases: a null text has no words; a document shorter than ``width``
 keeps all; of equal documents the one of smallest id keeps all; documents with
@@ -49,29 +51,35 @@ def _candidates(view: View, replies: X.Replies, buckets: int) -> np.ndarray:
 
 
 def _lookups(view: View, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unique hashes of the windows at ``at``, which is each one's, and the
-    smallest id of a document of this batch that holds it."""
+    """Unique hashes of the windows at ``at``, which is each one's, and the first
+    place that this batch has it at."""
     hashes, of = np.unique(view.hashes(at), return_inverse=True)
-    least = np.full(len(hashes), LAST)
-    np.minimum.at(least, of, ids[at])
+    where = at - view.first[np.searchsorted(view.first, at, "right") - 1]
+    order = np.lexsort((where, ids[at], of))
+    least = np.zeros(len(hashes), X.PLACE)
+    if len(order):
+        first = order[np.searchsorted(of[order], np.arange(len(hashes)))]
+        least["id"], least["at"] = ids[at[first]], where[first]
     return hashes, of, least
 
 
-def factors(known: np.ndarray, width: int, first: np.ndarray) -> list[tuple[int, int]]:
-    """Greedy parse: [start, end) of the factors, given for each position whether
-    the reference holds the window that starts there, and where texts begin."""
-    begin, stop = known.copy(), known.copy()
-    begin[1:] &= ~known[:-1]
-    stop[:-1] &= ~known[1:]
-    edge = first[(first > 0) & (first < len(known))]
-    begin[edge] = known[edge]
-    stop[edge - 1] = known[edge - 1]
-    return list(zip(np.flatnonzero(begin).tolist(), (np.flatnonzero(stop) + width).tolist(), strict=True))
+def factors(known: np.ndarray, source: np.ndarray, width: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy parse: start, end and source of the factors, given for each position
+    whether the reference holds the window that starts there, and at which place,
+    and where texts begin."""
+    goes_on = np.zeros(len(known), bool)
+    goes_on[1:] = known[1:] & known[:-1] & (source["id"][1:] == source["id"][:-1]) & (source["at"][1:] == source["at"][:-1] + 1)
+    goes_on[first[(first > 0) & (first < len(known))]] = False
+    begin = known & ~goes_on
+    stop = known.copy()
+    stop[:-1] &= ~goes_on[1:]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(stop) + width, source[starts]
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: bool = False) -> DataFrame:
     """``SCHEMA`` for each document; with ``keep`` also ``kept``, the words left,
-    and ``spans``, the factors as [start, end) in words."""
+    and ``spans``, the factors as [start, end, source id, source start) in words."""
     dealt, buckets = X.batched(docs, id_col, text_col)
 
     def first_ask(batch: int, group: pa.Table) -> pa.Table:
@@ -86,13 +94,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         texts, view, ids = _view(group, width)
         at = _candidates(view, replies, buckets)
         hashes, of, least = _lookups(view, ids, at)
-        known = np.zeros(view.n, bool)
-        known[at[replies.read("window", hashes, buckets)[0][of] | (ids[at] > least[of])]] = True
+        elsewhere = replies.read("window", hashes, buckets)[0]
+        places = np.where(elsewhere, replies.sources("window", hashes, buckets), least)
+        known, source = np.zeros(view.n, bool), np.zeros(view.n, X.PLACE)
+        known[at[elsewhere[of] | (ids[at] > least["id"][of])]] = True
+        source[at] = places[of]
+        starts, ends, sources = factors(known, source, width, view.first)
         gone = np.zeros(view.n + 1, np.int32)
-        found = factors(known, width, view.first)
-        for a, b in found:
-            gone[a] += 1
-            gone[b] -= 1
+        np.add.at(gone, starts, 1)
+        np.add.at(gone, ends, -1)
         gone = np.cumsum(gone[:-1]) > 0
         rows = []
         for text, lo, hi in zip(texts, view.first[:-1], view.first[1:], strict=True):
@@ -106,9 +116,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if not keep:
             return pa.table(out, names)
         spans: list[list[list[int]]] = [[] for _ in texts]
-        owner = np.searchsorted(view.first, [a for a, _ in found], "right") - 1
-        for (a, b), k in zip(found, owner, strict=True):
-            spans[k].append([a - int(view.first[k]), b - int(view.first[k])])
+        owner = np.searchsorted(view.first, starts, "right") - 1
+        for a, b, s, k in zip((starts - view.first[owner]).tolist(), (ends - view.first[owner]).tolist(), sources.tolist(), owner.tolist(), strict=True):
+            spans[k].append([a, b, *s])
         return pa.table([*out, pa.array(cols[3], pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], [*names, "kept", "spans"])
 
     replies = X.ask(dealt, first_ask)

@@ -14,8 +14,8 @@ best k of the blocks' best k are the result.
 
 Defined cases: vectors that are null, or hold a null or non-finite component,
 take no part; shorter vectors count as padded with zeros; rows that share an id
-are separate candidates, and each is left out only of its own query; ties go to
-the smaller id; with fewer than k candidates all are returned; an empty table
+are separate candidates, and each is left out only of its own query; a vector
+without an id is a candidate and no query; ties go to the smaller id, null last; with fewer than k candidates all are returned; an empty table
 gives no rows; further columns are ignored.
 """
 
@@ -38,6 +38,8 @@ QUERY_BLOCK, BLOCK = 2048, 16384
 HEAD = 1024
 #: Coordinates by which partial sums grow, and candidates of a chunk.
 STEP, CHUNK = 16, 1024
+#: Stands for a null id: larger than all others.
+NO_ID = np.iinfo(np.int64).max
 PACKED = "vec_id bigint, is_query boolean, length double, v binary"
 BEST = "uid bigint, query_id bigint, vec_id bigint, score bigint"
 
@@ -222,14 +224,14 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K, scale: float = 64.0,
         if not queries.num_rows or not candidates.num_rows:
             return empty
         uid, own = candidates["uid"].to_numpy(), queries["uid"].to_numpy()
-        ids, names = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+        ids, names = candidates["vec_id"].fill_null(NO_ID).to_numpy(), queries["vec_id"].to_numpy()
         qi, xi, score = Scan(matrix(queries["v"], width), own, axes, k, queries["floor"].to_numpy()).run(matrix(candidates["v"], width), uid)
         top = best(qi, ids[xi], score, k)
         qi, xi = qi[top], xi[top]
-        return pa.table([pa.array(own[qi]), pa.array(names[qi]), pa.array(ids[xi]), pa.array(score[top].astype(np.int64))], schema=empty.schema)
+        return pa.table([pa.array(own[qi]), pa.array(names[qi]), pa.array(ids[xi], mask=ids[xi] == NO_ID), pa.array(score[top].astype(np.int64))], schema=empty.schema)
 
     some = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(scan, BEST)
-    rank = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return some.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -103,12 +103,23 @@ def test_repeated_passages(llm_spark, width):
     texts = {i: w for i, w in data}
     for r in got:
         mask = [0] * r.n_words
-        for a, b in r.spans:
-            assert b - a >= width
+        for a, b, source, at in r.spans:  # each factor is what its source has there
+            assert b - a >= width and source < r.doc_id and texts[source][at : at + b - a] == texts[r.doc_id][a:b]
             mask[a:b] = [1] * (b - a)
         assert r.kept.split() == [x.decode() for x, m in zip(texts[r.doc_id], mask) if not m]
 
 
+def test_factors_change_their_source(llm_spark):
+    """A passage that goes on from one source into another is two factors that meet
+    or overlap, each from its own place."""
+    a, b, c = ([f"{x}{i}" for i in range(80)] for x in "abc")
+    rows = [(1, [*c[:5], *a]), (2, [*b, *a[:3]]), (3, [*a[20:], *b[:60], "z"]), (4, [*a[20:], *b[:60], *c])]
+    docs = llm_spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in substring_dedup.repeated_passages(docs, keep=True).collect()}
+    assert got[1] == got[2] == [] and got[3] == [(0, 60, 1, 25), (60, 120, 2, 0)]
+    assert got[4] == [(0, 60, 1, 25), (11, 109, 3, 11), (60, 120, 2, 0)]
+
+
 def test_repeats_between_equal_and_null_ids(llm_spark):
     text = " ".join(f"w{i}" for i in range(120))
     docs = llm_spark.createDataFrame([(5, text), (5, text), (None, text)], "doc_id bigint, text string")

@@ -153,3 +153,38 @@ def test_stages_judge_rows_without_an_id(llm_spark, tmp_path):
     assert left - Counter(set(others)) in (Counter([(None, good)]), Counter([(None, near)])) and all(left[k] == 1 for k in set(others))
     assert sum(seen(corpus_pipeline.near_dedup_stage, [(None, good), (None, near), (None, near)]).values()) == 1
     assert seen(corpus_pipeline.decontaminate_stage, [(None, good), (None, f"{good} {item}"), (1, f"{item} {good}"), (1, near)]) == Counter({(None, good): 1, (1, near): 1})
+
+
+@pytest.fixture(scope="module")
+def odd_tables(llm_spark, tmp_path_factory):
+    """Null ids and texts, ties, repeated rows, a text of two megabytes, odd characters."""
+    to = str(tmp_path_factory.mktemp("odd"))
+    long = " ".join(f"word{i % 5003}" for i in range(220_000))
+    item = " ".join(f"item{i}" for i in range(14))
+    texts = [None, "", " ", "x", long, long, f"{item} and more", f"é \x00 ｆｕｌｌ {item}", "a b c d e f", "a b c d e f", "🙂 " * 300]
+    rows = [(i, t, "en" if i % 2 else "de", None, None, "clash") for i, t in enumerate(texts)] + [(None, texts[6], "en", "s", 1, ""), (None, None, None, None, None, None), (8, texts[8], "de", None, None, "clash")]
+    llm_spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, text_hash string").write.parquet(f"{to}/documents.parquet")
+    llm_spark.createDataFrame([(1, 1, 0), (4, 1, 0), (3, 0, 1), (None, 0, None), (6, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{to}/labels.parquet")
+    llm_spark.createDataFrame([(1, item), (1, item), (None, "x"), (3, None)], "item_id bigint, text string").write.parquet(f"{to}/benchmark.parquet")
+    llm_spark.createDataFrame([(i, None if i == 3 else "u", t) for i, t in enumerate(texts)] + [(None, "u", texts[4])], "page_id bigint, url string, html string").write.parquet(f"{to}/pages.parquet")
+    llm_spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(60)] + [(None, [1.0, 2.0]), (20, None), (40, [None, 1.0])], "vec_id bigint, embedding array<double>").write.parquet(f"{to}/embeddings.parquet")
+    return to
+
+
+@pytest.mark.parametrize("name", [n for n in __spark_entry__.queries() if n.startswith("op")])
+def test_odd_tables(llm_spark, odd_tables, name):
+    """Each query returns a row for each row of its table, whatever is in it."""
+    got = __spark_entry__.queries()[name](llm_spark, odd_tables).collect()
+    if name == "op10_topk":
+        assert Counter(r.query_id for r in got) == {0: 20, 20: 20}
+    elif name == "op3_warc_revisits":
+        assert sorted(-1 if r.page_id is None else r.page_id for r in got) == [-1, *range(11)]
+    else:
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == [-1, -1, *range(9), 8, 9, 10]
+
+
+def test_pipeline_over_odd_tables(llm_spark, odd_tables):
+    assert set(corpus_pipeline.run(llm_spark, odd_tables).columns) >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+    docs = llm_spark.read.parquet(f"{odd_tables}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(llm_spark, docs, odd_tables).columns == corpus_pipeline.COLUMNS
