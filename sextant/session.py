@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,15 +38,29 @@ def one_machine(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+def folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one that ``spark.checkpoint.dir``
+    names; a temporary one only where the session names none and is one machine."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not one_machine(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="sextant-"))
+        root = _own[0]
+    return f"{root.rstrip('/')}/sextant-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names; a
-    temporary folder only where the session names none and is one machine."""
-    import uuid
+    """A fresh path in this application's folder."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not one_machine(spark):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='sextant-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application wrote aside.  Results are lazy and read it, so
+    only their user knows when: call it once they are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import values
 from sextant.operators import batch, contracts, responses
-from sextant.session import one_machine
+from sextant.session import clean, folder, one_machine, written
 from sextant.sources import corpus, records, reports
 
 
@@ -191,3 +191,11 @@ def test_first_action_and_stops(spark):
 
 def test_tests_run_on_one_machine(spark):
     assert one_machine(spark)
+
+
+def test_clean_deletes_what_was_written_aside(spark):
+    here = folder(spark).removeprefix("file://")
+    assert written(spark.range(3), "rows").count() == 3 and os.listdir(here)
+    clean(spark)
+    assert not os.path.exists(here)
+    assert written(spark.range(3), "rows").count() == 3
