@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.session import one_machine, ship
+from sextant.session import scratch, ship, written  # noqa: F401
 
 #: Rows handed to a Python worker at once: bounds its memory where texts are long.
 ARROW_ROWS = 512
-_own_dir: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -25,27 +22,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir``; only where
-    the session names none and runs on one machine, a temporary folder of our own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not one_machine(spark):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="sextant-"))
-        root = _own_dir[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to shared scratch space and read it back."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_bytes(df: DataFrame) -> int:
     """Bytes of all rows as they are in memory (texts as UTF-8, 16 for the rest of
     a row): counted, since what files take says little where text compresses well."""
