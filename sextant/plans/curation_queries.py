@@ -255,7 +255,17 @@ def hit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Traces.
-@register("parse_transcript")
+def _step(case: int, step: int, think: str, action: str, content: str = "NULL", observation: str = "NULL", loose: str = "''") -> str:
+    return f"SELECT conv_id, turn, {step} AS step, {think} AS think, '{action}' AS action, {content} AS content, {observation} AS observation, {loose} AS invalid_text, {'false' if action == 'invalid' else 'true'} AS valid FROM w WHERE conv_id % 7 = {case}"
+
+
+_TURNS = " UNION ALL ".join([
+    _step(0, 0, "a", "search", "bc", "s"), _step(0, 1, "'so'", "answer", "b"), _step(1, 0, "'a'", "answer", "a"), _step(1, 1, "NULL", "answer", "b"), _step(2, 0, "'a'", "invalid", loose="'<search>' || b"),
+    _step(3, 0, "NULL", "answer", "a", loose="'tail'"), _step(3, 1, "NULL", "search", "c"), _step(5, 0, "s", "search", "b", loose="'stray'"), _step(6, 0, "'b'", "answer", "b"),
+])
+
+
+@register("parse_transcript", f"""WITH {T_SQL}, w AS (SELECT conv_id, turn, {d_strip("split_part(text, ' ', 1)")} AS a, {d_strip("split_part(text, ' ', 2)")} AS b, {d_strip("split_part(text, ' ', 3)")} AS c, {d_strip("split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)")} AS bc, {d_strip("text")} AS s FROM t) {_TURNS}""")
 def parse_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of every transcript; the state machine is tested case by case."""
     x = T.assistant_text(F.col("transcript"), "<|im_start|>assistant", "<|im_end|>")

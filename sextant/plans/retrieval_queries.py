@@ -106,7 +106,14 @@ def ann_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return R.top_k(exact, k, "vec_id")
 
 
-@register("ann_recall")
+_CODED = "list_transform(v.embedding, lambda x: CASE WHEN step > 0 THEN round(x / step) ELSE 0 END)"
+
+
+@register("ann_recall", f"""WITH {DENSE_SQL}, s AS (SELECT CAST(max(list_max(list_transform(embedding, lambda x: abs(x)))) AS DOUBLE) / 127 AS step FROM embeddings),
+c AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST({_CODED} AS DOUBLE[])), 6) AS coded FROM embeddings q, embeddings v, s WHERE q.vec_id % 20 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coded DESC, vec_id) AS place FROM c),
+f AS (SELECT n.query_id, n.vec_id, row_number() OVER (PARTITION BY n.query_id ORDER BY hits.score DESC, n.vec_id) AS place FROM n JOIN hits ON hits.query_id = n.query_id AND hits.vec_id = n.vec_id WHERE n.place <= 50)
+SELECT t.query_id, avg(CASE WHEN f.vec_id IS NULL THEN 0.0 ELSE 1.0 END) AS recall FROM top t LEFT JOIN f ON f.query_id = t.query_id AND f.vec_id = t.vec_id AND f.place <= 10 WHERE t.rank <= 10 GROUP BY t.query_id""")
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 10 of the search by codes against the exact one, for every query."""
     found = ann_top(spark, sf_dir, 10).select("query_id", "vec_id")

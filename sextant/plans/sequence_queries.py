@@ -168,7 +168,10 @@ def seqlen_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.partition(lengths(spark, sf_dir), 4)
 
 
-@register("seqlen_greedy")
+@register("seqlen_greedy", """WITH RECURSIVE d AS (SELECT doc_id // 40 AS batch, doc_id % 40 AS idx, n_chars AS seqlen FROM documents),
+g AS (SELECT DISTINCT batch, CAST(-1 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS seqlen, -1 AS part, CAST([0, 0, 0, 0] AS BIGINT[]) AS t FROM d UNION ALL
+ SELECT batch, idx, seqlen, p - 1, list_transform(t, lambda x, i: CASE WHEN i = p THEN x + seqlen ELSE x END) FROM (SELECT g.batch, d.idx, d.seqlen, CAST(list_position(t, list_min(t)) AS INTEGER) AS p, t FROM g JOIN d ON d.batch = g.batch AND d.idx = g.idx + 1))
+SELECT batch, idx, CAST(seqlen AS BIGINT) AS seqlen, part FROM g WHERE idx >= 0""")
 def seqlen_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.partition(lengths(spark, sf_dir), 4, False, "greedy")
 

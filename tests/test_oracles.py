@@ -7,7 +7,7 @@ import pytest
 
 from sextant import registry
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("ORACLE_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
