@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from sextant.functions import documents as D
 from sextant.functions import scoring as S
 from sextant.functions import values as V
 from sextant.operators import batch as B
@@ -352,3 +353,32 @@ def line_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))), lambda x: x["l"]), "\n")
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.sha2(F.concat(lines, F.lit("\n")), 256).alias("digest"))
 
+
+
+# Documents and questions.
+_TITLES = ["CASE doc_id % 4 WHEN 0 THEN ' ' || source || chr(10) || 'more' WHEN 1 THEN '  ' END AS title", "CASE doc_id % 4 WHEN 1 THEN chr(10) || ' by ' || source || ' ' WHEN 2 THEN '' END AS inner_title", "text AS contents"]
+
+
+@register("document_titles", f"WITH x AS (SELECT doc_id, {', '.join(_TITLES)} FROM documents), y AS (SELECT doc_id, coalesce(nullif(trim(title, chr(10) || ' '), ''), nullif(trim(inner_title, chr(10) || ' '), ''), nullif(trim(contents, chr(10) || ' '), ''), '') AS t FROM x) SELECT doc_id, trim(split_part(t, chr(10), 1)) AS title FROM y")
+def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title of each document from the first place that has one."""
+    x = table(spark, sf_dir, "documents").selectExpr("doc_id", *_TITLES)
+    return x.select("doc_id", D.title_of(F.col("title"), F.col("inner_title"), F.col("contents")).alias("title"))
+
+
+_IDS = """CASE event_id % 9 WHEN 0 THEN '{"document_id":' || event_id || '}' WHEN 1 THEN '{"document_id":"d' || event_id || '"}' WHEN 2 THEN '{"document_id":" "}' WHEN 3 THEN '{"document_id":true}'
+ WHEN 4 THEN '{"document_id":null}' WHEN 5 THEN '{"title":"t"}' WHEN 6 THEN '{"document_id":1.5}' WHEN 7 THEN '{"document_id":"7"}' ELSE '[1]' END"""
+
+
+@register("document_ids", "SELECT event_id, CASE event_id % 9 WHEN 0 THEN '' || event_id WHEN 1 THEN 'd' || event_id WHEN 7 THEN '7' END AS id, event_id % 9 IN (0, 1, 5, 7) AS gate, event_id % 9 IN (0, 1, 7) AS probe FROM events")
+def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents, where they may be missing and where not."""
+    x = table(spark, sf_dir, "events").selectExpr("event_id", f"{_IDS} AS document")
+    x = x.select("event_id", D.document_id(F.col("document"), False).alias("g"), D.document_id(F.col("document"), True).alias("p"))
+    return x.select("event_id", "g.id", F.col("g.valid").alias("gate"), F.col("p.valid").alias("probe"))
+
+
+@register("question_kinds", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'comparison' WHEN 1 THEN 'bridge' END AS kind FROM events")
+def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "events").selectExpr("event_id", """CASE event_id % 4 WHEN 0 THEN '{"type":"comparison"}' WHEN 1 THEN '{"type":"bridge","level":"hard"}' WHEN 2 THEN '{"type":"single"}' ELSE '{}' END AS metadata""")
+    return x.select("event_id", D.question_kind(F.col("metadata")).alias("kind"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from sextant.functions import values
+from sextant.functions import documents, values
 from sextant.operators import batch, contracts, responses
 from sextant.session import clean, folder, one_machine, written
 from sextant.sources import corpus, records, reports
@@ -199,3 +199,15 @@ def test_clean_deletes_what_was_written_aside(spark):
     clean(spark)
     assert not os.path.exists(here)
     assert written(spark.range(3), "rows").count() == 3
+
+
+def test_titles_fall_back(spark):
+    df = spark.createDataFrame([(None, "", " a\u2028b"), ("\r\n x \r\ny", "z", "c"), (None, None, " "), ("t\x85u", None, None)], "a string, b string, c string")
+    assert [r[0] for r in df.select(documents.title_of(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["a", "x", "", "t"]
+
+
+def test_document_ids(spark):
+    cases = {'{"document_id":12345678901234567890}': ("12345678901234567890", True, True), '{"document_id":12.0}': (None, False, False), '{"document_id":"\\u00e9"}': ("é", True, True), '{"document_id":{}}': (None, False, False), "{": (None, False, False), "{}": (None, True, False)}
+    df = spark.createDataFrame([(c,) for c in [*cases, None]], "d string")
+    got = df.select("d", documents.document_id(F.col("d"), False).alias("g"), documents.document_id(F.col("d"), True).alias("p")).collect()
+    assert {r.d: (r.g.id, r.g.valid, r.p.valid) for r in got} == cases | {None: (None, False, False)}
