@@ -47,10 +47,15 @@ def markdown(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """name, length, digest of the files in a folder, in the order of sidecars."""
+    """name, length, digest of the files below a folder, in the order of sidecars.
+    A name is the path below the folder, so files of one name in two folders differ."""
     from sextant.sources.corpus import files
 
-    return files(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "digest")
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
+    below = F.substring(F.col("path"), len(whole) + 2, 1 << 20)
+    alone = F.element_at(F.split("path", "/"), -1)
+    return files(spark, path).select(F.when(F.col("path") == whole, alone).otherwise(below).alias("name"), "length", "digest")
 
 
 def write_sidecar(spark: SparkSession, path: str, to: str) -> None:
