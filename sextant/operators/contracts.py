@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sextant.operators.evaluation import violations
@@ -148,5 +147,7 @@ def trace_identity(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows of each key's largest ``order``, all of them if tied."""
-    return df.withColumn("__m", F.max(order).over(W.partitionBy(key))).where(F.col(order) == F.col("__m")).drop("__m")
+    """Rows of each key's largest ``order``, all of them if tied.  The largest is
+    aggregated before it moves, so a hot key's rows are not sorted in one task."""
+    best = df.groupBy(F.col(key).alias("__k")).agg(F.max(order).alias("__m"))
+    return df.join(best, F.col(key).eqNullSafe(F.col("__k")) & (F.col(order) == F.col("__m")), "left_semi")
