@@ -42,3 +42,9 @@ def question_kind(metadata: Column) -> Column:
     known ones, or no text."""
     kind = F.get_json_object(metadata, KIND)
     return F.when(kind.isin(*KINDS), kind)
+
+
+def contract_digest(document: Column) -> Column:
+    """SHA-256 of a JSON document with sorted keys and without spaces, so that its
+    layout does not count; null if it is no JSON."""
+    return F.sha2(F.to_json(F.try_parse_json(document)), 256)

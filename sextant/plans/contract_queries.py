@@ -382,3 +382,12 @@ def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "events").selectExpr("event_id", """CASE event_id % 4 WHEN 0 THEN '{"type":"comparison"}' WHEN 1 THEN '{"type":"bridge","level":"hard"}' WHEN 2 THEN '{"type":"single"}' ELSE '{}' END AS metadata""")
     return x.select("event_id", D.question_kind(F.col("metadata")).alias("kind"))
+
+
+_CONTRACT = """'{ "tools": [ 1, {"name": null, "ask": true} ],  "kind": "' || event_type || '", "id": ' || event_id || ' }'"""
+
+
+@register("contract_digests", """SELECT event_id, sha256('{"id":' || event_id || ',"kind":"' || event_type || '","tools":[1,{"ask":true,"name":null}]}') AS digest FROM events""")
+def contract_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of prompt and tool contracts, whatever their layout."""
+    return table(spark, sf_dir, "events").select("event_id", D.contract_digest(F.expr(_CONTRACT)).alias("digest"))

@@ -1,5 +1,6 @@
 """Contracts, records and reports: errors, files and cases that SQL does not show."""
 
+import hashlib
 import io
 import os
 import tarfile
@@ -126,6 +127,24 @@ def test_sidecars(spark, tmp_path):
     assert {tuple(r) for r in reports.verify_sidecar(spark, f"{tmp_path}/data", f"{tmp_path}/side").collect()} == {("a", "changed"), ("b", "missing"), ("d", "not listed")}
 
 
+def test_sidecars_of_nested_folders(spark, tmp_path):
+    for d in ("a b", "c"):
+        os.makedirs(f"{tmp_path}/data/{d}")
+        (tmp_path / "data" / d / "part").write_text(d)
+    assert {(r.name, r.length) for r in reports.digests(spark, f"{tmp_path}/data/").collect()} == {("a b/part", 3), ("c/part", 1)}
+    assert [r.name for r in reports.digests(spark, f"{tmp_path}/data/c/part").collect()] == ["part"]
+    reports.write_sidecar(spark, f"{tmp_path}/data", f"{tmp_path}/side")
+    assert reports.verify_sidecar(spark, f"{tmp_path}/data", f"{tmp_path}/side").collect() == []
+    (tmp_path / "data" / "c" / "part").write_text("x")
+    assert [tuple(r) for r in reports.verify_sidecar(spark, f"{tmp_path}/data", f"{tmp_path}/side").collect()] == [("c/part", "changed")]
+
+
+def test_contract_digests(spark):
+    df = spark.createDataFrame([('{"b":1, "a":[]}',), ('{"a" : [],"b":1}',), ("{",), (None,)], "d string")
+    got = [r[0] for r in df.select(documents.contract_digest(F.col("d"))).collect()]
+    assert got == [hashlib.sha256(b'{"a":[],"b":1}').hexdigest()] * 2 + [None, None]
+
+
 def test_publish_is_all_or_nothing(spark, tmp_path):
     path = f"{tmp_path}/out"
     df = spark.range(3)
@@ -178,8 +197,8 @@ def test_identity_defaults_and_latest(spark):
     df = spark.createDataFrame([("r", None), (None, 2)], "run string, slot int")
     got = contracts.trace_identity(df, {"run": F.lit("d"), "slot": F.lit(0), "stage": F.lit("s")}).collect()
     assert {tuple(r) for r in got} == {("r", 0, "s"), ("d", 2, "s")}
-    rows = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1)], "k int, o int")
-    assert sorted(map(tuple, contracts.latest(rows, "k", "o").collect())) == [(1, 2), (1, 2), (2, 1)]
+    rows = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1), (None, 3), (None, 1), (3, None)], "k int, o int")
+    assert sorted(map(tuple, contracts.latest(rows, "k", "o").collect()), key=str) == [(1, 2), (1, 2), (2, 1), (None, 3)]
 
 
 def test_first_action_and_stops(spark):
