@@ -101,11 +101,15 @@ def bootstrap(pairs: DataFrame, resamples: int, seed: int, value: Column, key: s
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg("m").alias("mean"), F.count("m").alias("resamples"))
 
 
+def broken(rules: dict[str, Column]) -> Column:
+    """Names of the rules that a row breaks; null counts as broken."""
+    return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items())), lambda x: x.isNotNull())
+
+
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
-    """(key, rule) for each rule that a row breaks; null counts as broken.  One
-    pass over the rows for all rules."""
-    broken = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items())), lambda x: x.isNotNull())
-    return df.select(F.col(key), F.explode(broken).alias("rule"))
+    """(key, rule) for each rule that a row breaks.  One pass over the rows for all
+    rules."""
+    return df.select(F.col(key), F.explode(broken(rules)).alias("rule"))
 
 
 def enforce(found: DataFrame) -> None:

@@ -140,8 +140,22 @@ def probe_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FAIL = "list_filter([CASE WHEN em <> 1 THEN 'incorrect' END, CASE WHEN searches < 2 THEN 'fewer_than_two_searches' END, CASE WHEN clipped = 1 THEN 'response_clipped' END], lambda x: x IS NOT NULL)"
 
 
+def _qualifies() -> dict:
+    return {"incorrect": F.col("em") == 1, "fewer_than_two_searches": F.col("searches") >= 2, "response_clipped": F.col("clipped") == 0}
+
+
 def _failures(r: DataFrame) -> DataFrame:
-    return E.violations(r, "sample_id", {"incorrect": F.col("em") == 1, "fewer_than_two_searches": F.col("searches") >= 2, "response_clipped": F.col("clipped") == 0})
+    return E.violations(r, "sample_id", _qualifies())
+
+
+@register("trajectory_report", f"WITH {R_SQL} SELECT grp AS group_uid, slot AS group_slot, sample_id, dataset AS category, em, searches AS executed_search_count, clipped = 1 AS response_clipped, clipped = 0 AS clean, len({_FAIL}) = 0 AS valid_correct_multi_search, array_to_string({_FAIL}, ',') AS qualification_failures FROM r")
+def trajectory_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each trajectory with why it does not qualify, if so."""
+    failures, clipped = E.broken(_qualifies()), F.col("clipped")
+    return records(spark, sf_dir).select(
+        F.col("grp").alias("group_uid"), F.col("slot").alias("group_slot"), "sample_id", F.col("dataset").alias("category"), "em", F.col("searches").alias("executed_search_count"),
+        (clipped == 1).alias("response_clipped"), (clipped == 0).alias("clean"), (F.size(failures) == 0).alias("valid_correct_multi_search"), F.array_join(failures, ",").alias("qualification_failures"),
+    )
 
 
 @register("probe_qualification", f"WITH {R_SQL} SELECT sample_id, unnest({_FAIL}) AS rule FROM r")
