@@ -1,12 +1,14 @@
 """Operators 11, 12 and 13 against brute force."""
 
+import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from sextant.llm import filter_audit
+from sextant.llm import filter_audit, rolling
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, mask int, digest string"
 
@@ -65,3 +67,50 @@ def test_filter_audit_of_nothing(llm_spark):
     assert filter_audit.audit(docs_of(llm_spark, []), labels, F.col("source")).collect() == []
     one = filter_audit.audit(docs_of(llm_spark, [(1, "x", "en", "s")]), labels, F.col("source")).collect()
     assert len(one) == 600 and sum(r["removed"] for r in one) == 120
+
+
+# 12 rolling windows
+def brute_windows(rows, widths=rolling.WINDOWS):
+    timed = [(None if i is None else 60 * ((i + zlib.crc32(str(i).encode()) % 10_000) // 6), i, t, lang, s) for i, t, lang, s in rows]
+    out = []
+    for at, i, _, _, s in timed:
+        for w in widths:
+            held = [r for r in timed if at is not None and r[0] is not None and r[4] == s and at - w <= r[0] < at]
+            lengths = sorted(len(r[2]) for r in held if r[2] is not None)
+            m = len(lengths)
+            ranks = [lengths[-(-m // 2) - 1], lengths[-(-90 * m // 100) - 1]] if m else [None, None]
+            out.append((i, w, at, len(held), sum(lengths), len({r[3] for r in held} - {None}), *ranks))
+    return out
+
+
+def windows_of(spark, rows):
+    docs = docs_of(spark, rows)
+    timed = docs.select("doc_id", "source", "lang", F.char_length("text").cast("bigint").alias("length"), "digest")
+    found = rolling.rolling_features(timed, rolling.event_minute(F.col("doc_id")))
+    return [tuple(r) for r in found.select("doc_id", "window_s", (F.col("minute") * 60).alias("event_s"), "n_events", "sum_chars", "n_langs", "median_chars", "high_chars").collect()]
+
+
+def in_order(rows):
+    return sorted(rows, key=str)
+
+
+def test_rolling_windows(llm_spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        text = None if rng.random() < 0.1 else "é" * rng.choice([0, 1, 5, 5, 40, rng.randint(0, 300)])
+        rows.append((rng.randint(-3000, 30_000) if i % 3 else rng.randint(0, 60), text, rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", None, "", "b"])))
+    rows += [(77, "x" * 2_000_000, "en", "a"), (None, "no id", "en", "a"), (None, None, None, None), (78, None, None, "lone")] + [(100, "same", "en", "a")] * 50
+    assert in_order(windows_of(llm_spark, rows)) == in_order(brute_windows(rows))
+
+
+def test_rolling_windows_of_nothing(llm_spark):
+    assert windows_of(llm_spark, []) == []
+    assert [r[2:] for r in windows_of(llm_spark, [((1 << 63) - 2, "x", "en", "a")])] == [(None, 0, 0, 0, None, None)] * 2
+
+
+def test_windows_meet_across_blocks(llm_spark):
+    """Rows on both sides of a block's edge, in every minute around it."""
+    ids = [i for i in range(20_000) if abs((i + zlib.crc32(str(i).encode()) % 10_000) // 6 - 720) <= 12 or (i + zlib.crc32(str(i).encode()) % 10_000) // 6 in (0, 719, 720, 1439, 1440)]
+    rows = [(i, "x" * (i % 50), "en", "a") for i in ids]
+    assert in_order(windows_of(llm_spark, rows)) == in_order(brute_windows(rows))
