@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import base, decontaminate, filter_audit, language_id, near_dedup, quality, rolling, sentencepiece_codec, substring_dedup, suffix_dedup, token_files, topk, warc
+from sextant.llm import base, decontaminate, filter_audit, language_id, near_dedup, pii, quality, rolling, sentencepiece_codec, substring_dedup, suffix_dedup, token_files, topk, warc
 
 _MODULES = {
     "op1_language_id": language_id,
@@ -19,6 +19,7 @@ _MODULES = {
     "op8_token_files": token_files,
     "op9_substring_dedup": substring_dedup,
     "op10_topk": topk,
+    "op11_pii": pii,
     "op12_rolling_windows": rolling,
     "op13_filter_audit": filter_audit,
 }
