@@ -1,7 +1,7 @@
 """Batched set membership between documents.
 
 Documents are dealt into batches of about equal size.  A batch turns what it
-wants compared (fingerprints of windows, say) into sorted unique 64-bit hashes;
+wants compared (fingerprints of windows, say) into sorted unique hashes of 96 bits;
 slices of these go to buckets by hash range; a bucket answers each slice with
 bits, and if asked for sources with the first of them for what is shared; and the
 batch, computed anew from its documents, reads the answers in the order of its
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.base import row_bytes
+from sextant.llm.kernels import WIDE, unique_wide
 
 U = np.uint64
 REQUEST = "kind string, bucket int, batch bigint, hashes binary, extra binary"
@@ -44,9 +45,42 @@ def batched(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None
     return out, max(BUCKETS, n // BATCHES_A_BUCKET)
 
 
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """64-bit hashes as ``WIDE`` ones."""
+    out = np.zeros(len(hashes), WIDE)
+    out["hi"] = hashes
+    return out
+
+
+def unique(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted unique hashes, the place of the first of each, which one each is, and
+    how many are like it."""
+    order, new, of = unique_wide(hashes)
+    start = np.flatnonzero(new)
+    which = np.empty(len(of), np.int64)
+    which[order] = of
+    return hashes[order[start]], order[start], which, np.diff(np.append(start, len(of)))
+
+
+def pack(hashes: np.ndarray) -> bytes:
+    """Sorted hashes: the first bytes of all steps from one to the next, which are
+    zeros and compress well, then the second bytes, and so on; and the low bits."""
+    steps = np.diff(hashes["hi"], prepend=U(0))
+    return steps.view(np.uint8).reshape(-1, 8).T[::-1].tobytes() + np.ascontiguousarray(hashes["lo"]).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n = len(packed) // 12
+    out = np.empty(n, WIDE)
+    planes = np.frombuffer(packed, np.uint8, 8 * n).reshape(8, n)
+    out["hi"] = np.cumsum(np.ascontiguousarray(planes[::-1].T).view(np.uint64)[:, 0], dtype=np.uint64) if n else 0
+    out["lo"] = np.frombuffer(packed, np.uint32, n, 8 * n)
+    return out
+
+
 def bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where the slice of each bucket begins in sorted hashes, and their number."""
-    number = ((hashes >> U(32)) * U(buckets)) >> U(32)
+    number = ((hashes["hi"] >> U(32)) * U(buckets)) >> U(32)
     return np.searchsorted(number, np.arange(buckets + 1, dtype=np.uint64))
 
 
@@ -54,7 +88,7 @@ def request(kind: str, batch: int, hashes: np.ndarray, buckets: int, extra: np.n
     """Slices of sorted unique ``hashes``; ``extra`` has a ``PLACE`` for each."""
     cut = bounds(hashes, buckets)
     some = np.flatnonzero(np.diff(cut))
-    rows = [[kind] * len(some), some, [batch] * len(some), [hashes[cut[i] : cut[i + 1]].tobytes() for i in some], [None if extra is None else extra[cut[i] : cut[i + 1]].tobytes() for i in some]]
+    rows = [[kind] * len(some), some, [batch] * len(some), [pack(hashes[cut[i] : cut[i + 1]]) for i in some], [None if extra is None else extra[cut[i] : cut[i + 1]].tobytes() for i in some]]
     return pa.table([pa.array(x, f.type) for x, f in zip(rows, _REQUEST, strict=True)], schema=_REQUEST)
 
 
@@ -64,15 +98,11 @@ def answer(group: pa.Table) -> pa.Table:
     ``first``, whether no batch of a smaller number has it; with places also
     ``source``, the smallest one of each hash that is shared."""
     group = group.sort_by("batch")
-    slices = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
+    slices = [unpack(x) for x in group["hashes"].to_pylist()]
     sizes = [len(x) for x in slices]
     hashes = np.concatenate(slices)
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    new = np.ones(len(ordered), bool)
-    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    order, new, of = unique_wide(hashes)
     start = np.flatnonzero(new)
-    of = np.cumsum(new) - 1
     shared, first = np.empty(len(hashes), bool), np.empty(len(hashes), bool)
     sourced = group["extra"][0].is_valid
     if sourced:
@@ -84,7 +114,7 @@ def answer(group: pa.Table) -> pa.Table:
         source = np.empty(len(hashes), PLACE)
         source[order] = least
     else:
-        shared[order] = np.diff(np.append(start, len(ordered)))[of] > 1
+        shared[order] = np.diff(np.append(start, len(order)))[of] > 1
     first[order] = new
     ends = np.cumsum(sizes)
     bits = lambda x: [np.packbits(x[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]

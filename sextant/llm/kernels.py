@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
-_R = 0x9E3779B97F4A7C15 | 5
-_RINV = pow(_R, -1, 1 << 64)
+#: Odd multipliers of two hashes, and what they are multiplied with for 1.
+_R = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_RINV = tuple(pow(r, -1, 1 << 64) for r in _R)
+#: A hash of 96 bits.
+WIDE = np.dtype([("hi", "<u8"), ("lo", "<u4")])
+#: Words of more bytes than this are hashed by a digest.
+LONG_WORD = 32
 
 
 def _seeded(n: int, seed: int) -> np.ndarray:
@@ -30,31 +37,66 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_tables: list[tuple[np.ndarray, np.ndarray]] = []
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, at least ``n`` of each: the
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse, at least ``n`` of each: the
     largest tables that were asked for are kept."""
-    if not _tables or len(_tables[0][0]) < n:
+    if which not in _tables or len(_tables[which][0]) < n:
         size = max(1 << 12, 1 << (n - 1).bit_length())
-        up, down = np.full(size, _R, np.uint64), np.full(size, _RINV, np.uint64)
+        up, down = np.full(size, _R[which], np.uint64), np.full(size, _RINV[which], np.uint64)
         up[0] = down[0] = 1
-        _tables[:] = [(np.multiply.accumulate(up), np.multiply.accumulate(down))]
-    return _tables[0]
+        _tables[which] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+    return _tables[which]
+
 
+def prefix(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """Prefix sums of value * R^position, modulo 2^64; one longer than ``values``.
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of value * R^position, modulo 2^64; one longer than ``values``."""
+    Sums of this kind have a weakness: of two values, arranged as in the Thue-Morse
+    sequence, and the same with the values exchanged, the sums are equal from some
+    length on, whatever R.  So values must not be symbols that a text can arrange at
+    will, but mixed from several neighbours (``mixed``), or sequences short."""
     n = len(values)
     out = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(n + 1)[0][:n], out=out[1:])
+    np.cumsum(values * powers(n + 1, which)[0][:n], out=out[1:])
     return out
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def mixed_bytes(data: np.ndarray) -> np.ndarray:
+    """For each byte a value of it and the seven bytes after it (none: zeros)."""
+    padded = np.concatenate([data, np.zeros(7, np.uint8)])
+    return mix(np.ndarray(len(data), "<u8", padded, strides=(1,)) + U(0x632BE59BD9B4E019))
+
+
+def mixed_pairs(values: np.ndarray) -> np.ndarray:
+    """For each value a mixture of it and the one after it (none: 0)."""
+    after = np.zeros(len(values), np.uint64)
+    after[:-1] = values[1:]
+    return mix(mix(values) + after)
+
+
+def unique_wide(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``WIDE`` hashes: places that sort them, which sorted ones are unlike the
+    one before, and which of the unlike each sorted one is."""
+    hi, lo = hashes["hi"], hashes["lo"]
+    order = np.argsort(hi, kind="stable")
+    same_hi = np.zeros(len(hi), bool)
+    np.equal(hi[order[1:]], hi[order[:-1]], out=same_hi[1:])
+    odd = same_hi[1:] & (lo[order[1:]] != lo[order[:-1]])
+    if odd.any():  # 64 bits agree and 32 do not
+        order = np.lexsort((lo, hi))
+        np.equal(hi[order[1:]], hi[order[:-1]], out=same_hi[1:])
+        odd = same_hi[1:] & (lo[order[1:]] != lo[order[:-1]])
+    new = ~same_hi
+    new[1:] |= odd
+    return order, new, np.cumsum(new) - 1
+
+
+def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hashes of [start, end): equal contents have equal hashes wherever they lie."""
-    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    return mix((sums[end] - sums[start]) * powers(len(sums), which)[1][start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
 def rolling(sums: np.ndarray, width: int) -> np.ndarray:
@@ -92,7 +134,9 @@ def word_bounds(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts: hash of each word, and where each text's begin."""
+    """The words of some texts: hash of each word, and where each text's begin.
+    Words of over ``LONG_WORD`` bytes have a digest, as sums of long words can be
+    made to agree."""
 
     def __init__(self, texts: list[bytes]) -> None:
         buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -101,6 +145,8 @@ class Words:
         #: Word number where each text begins, and the number of all words.
         self.first = np.concatenate([[0], np.searchsorted(start, ends)]).astype(np.int64)
         self.hash = spans(prefix(BYTE_VALUES[buffer]), start, end)
+        for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+            self.hash[i] = int.from_bytes(hashlib.blake2b(buffer[start[i] : end[i]], digest_size=8).digest(), "little")
         self.start, self.end = start, end
 
     def counts(self) -> np.ndarray:

@@ -47,13 +47,13 @@ def _view(group: pa.Table, width: int) -> tuple[list[bytes], View, np.ndarray]:
 
 def _candidates(view: View, replies: X.Replies, buckets: int) -> np.ndarray:
     anchors, of, count = np.unique(view.anchor, return_inverse=True, return_counts=True)
-    return np.flatnonzero(view.windows((replies.read("anchor", anchors, buckets)[0] | (count > 1))[of]))
+    return np.flatnonzero(view.windows((replies.read("anchor", X.wide(anchors), buckets)[0] | (count > 1))[of]))
 
 
 def _lookups(view: View, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unique hashes of the windows at ``at``, which is each one's, and the first
     place that this batch has it at."""
-    hashes, of = np.unique(view.hashes(at), return_inverse=True)
+    hashes, _, of, _ = X.unique(view.hashes(at))
     where = at - view.first[np.searchsorted(view.first, at, "right") - 1]
     order = np.lexsort((where, ids[at], of))
     least = np.zeros(len(hashes), X.PLACE)
@@ -83,7 +83,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt, buckets = X.batched(docs, id_col, text_col)
 
     def first_ask(batch: int, group: pa.Table) -> pa.Table:
-        return X.request("anchor", batch, np.unique(_view(group, width)[1].anchor), buckets)
+        return X.request("anchor", batch, X.wide(np.unique(_view(group, width)[1].anchor)), buckets)
 
     def second_ask(batch: int, group: pa.Table, replies: X.Replies) -> pa.Table:
         _, view, ids = _view(group, width)

@@ -7,8 +7,8 @@ sample: each window's anchor (see ``repeats``) and, for anchors, the hash of
 the context that all windows of the anchor lie in.  Anchors that occur once are
 dropped, anchors whose whole context occurs again settle all their windows at
 once, and only one of each such class stands for them where the rest is
-compared, bucket by bucket, by hashes of whole windows (64 bits, beside the
-anchor's own 64 bits that must agree too).  Passages of a number of words, which
+compared, bucket by bucket, by hashes of whole windows.  Hashes that decide have 96
+bits (see ``repeats``).  Passages of a number of words, which
 may take fewer bytes than ``width``, are found in the same way with words in the
 place of bytes; they can go as well, or be counted apart.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sextant.llm import exchange as X
 from sextant.llm.base import table, texts_of
-from sextant.llm.kernels import BYTE_VALUES, Words
+from sextant.llm.kernels import Words
 from sextant.llm.repeats import View
 
 WIDTH = 400
@@ -42,7 +42,7 @@ SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 def _view(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, View]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
-    return data, View(BYTE_VALUES[data], first, width, gram)
+    return data, View(data, first, width, gram)
 
 
 class _Plan:
@@ -51,14 +51,15 @@ class _Plan:
 
     def __init__(self, view: View, buckets: int, kind: str = "") -> None:
         self.view, self.buckets, self.kind = view, buckets, kind
-        self.anchors, self.of, self.count = np.unique(view.anchor, return_inverse=True, return_counts=True)
-        self.classes, self.leader, self.class_of, self.class_count = np.unique(view.contexts(), return_index=True, return_inverse=True, return_counts=True)
+        anchors, self.of, self.count = np.unique(view.anchor, return_inverse=True, return_counts=True)
+        self.anchors = X.wide(anchors)
+        self.classes, self.leader, self.class_of, self.class_count = X.unique(view.contexts())
 
     def first_ask(self, batch: int) -> list[pa.Table]:
         return [X.request(self.kind + "anchor", batch, self.anchors, self.buckets), X.request(self.kind + "context", batch, self.classes, self.buckets)]
 
     def second_ask(self, batch: int, replies: X.Replies) -> pa.Table:
-        return X.request(self.kind + "window", batch, np.unique(self.view.hashes(self.settle(replies)[1])), self.buckets)
+        return X.request(self.kind + "window", batch, X.unique(self.view.hashes(self.settle(replies)[1]))[0], self.buckets)
 
     def settle(self, replies: X.Replies) -> tuple[np.ndarray, np.ndarray]:
         """Windows settled by their anchor's context; positions to compare."""
@@ -73,7 +74,7 @@ class _Plan:
     def starts(self, replies: X.Replies) -> np.ndarray:
         """Where windows start that occur again."""
         settled, compared = self.settle(replies)
-        hashes, of, count = np.unique(self.view.hashes(compared), return_inverse=True, return_counts=True)
+        hashes, _, of, count = X.unique(self.view.hashes(compared))
         settled[compared[(replies.read(self.kind + "window", hashes, self.buckets)[0] | (count > 1))[of]]] = True
         return np.flatnonzero(settled)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.llm import components, kernels, near_dedup, substring_dedup, suffix_dedup
+from sextant.llm import components, exchange, kernels, near_dedup, repeats, substring_dedup, suffix_dedup
 from sextant.llm.base import written
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, batch string, salt int"
@@ -57,6 +57,75 @@ def test_words():
     assert len(words.hash) == len(flat)
 
 
+def thue_morse(n, a="ab", b="ba"):
+    """A string and the one with its symbols exchanged: sums over powers of one
+    multiplier modulo 2^64 cannot tell them apart once they are long."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_long_words_differ():
+    for n in (8, 16, 32, 64, 256, 512, 1024, 2048, 8192):
+        for pair in (thue_morse(n), thue_morse(n, "x", "y")):
+            h = kernels.Words([w.encode() for w in pair]).hash
+            assert h[0] != h[1]
+            for values in (np.frombuffer(w.encode(), np.uint8) for w in pair):
+                assert len(values) == len(pair[0])
+            for which in (0, 1):
+                sums = [kernels.prefix(kernels.mixed_bytes(np.frombuffer(w.encode(), np.uint8)), which) for w in pair]
+                if len(pair[0]) > 8:
+                    assert sums[0][len(pair[0]) - 7] != sums[1][len(pair[0]) - 7]
+
+
+def test_windows_of_exchanged_symbols_differ():
+    for n, symbols in ((4096, "bytes"), (4096, "words")):
+        first, second = thue_morse(n, "x", "y")
+        if symbols == "words":
+            first, second = (kernels.Words([" ".join(w).encode()]).hash for w in (first, second))
+        else:
+            first, second = (np.frombuffer(w.encode(), np.uint8) for w in (first, second))
+        bounds = np.array([0, n])
+        for width in (64, 400, 1024, 4096):
+            a, b = (repeats.View(x, bounds, width, width // 2) for x in (first, second))
+            at = np.arange(n - width + 1)
+            whole = lambda x: {bytes(x[i : i + width].tobytes()) for i in at}
+            assert len({*a.hashes(at).tolist(), *b.hashes(at).tolist()}) == len(whole(first) | whole(second))
+
+
+def test_packed_hashes():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 1000):
+        h = np.empty(n, kernels.WIDE)
+        h["hi"], h["lo"] = rng.integers(0, 1 << 64, n, dtype=np.uint64) >> np.uint64(rng.integers(0, 62)), rng.integers(0, 3, n)
+        u, at, of, count = exchange.unique(np.concatenate([h, h[: n // 2]]))
+        assert sorted(set(h.tolist())) == u.tolist() and count.sum() == n + n // 2
+        assert (u[of] == np.concatenate([h, h[: n // 2]])).all() and (np.concatenate([h, h])[at] == u).all()
+        assert (exchange.unpack(exchange.pack(u)) == u).all()
+
+
+def test_exchanged_words_are_no_repeats(llm_spark):
+    """Texts of 49 common words and one of two long words that sums would confuse."""
+    common = " ".join(f"w{i}" for i in range(49))
+    for n in (512, 1024, 2048):
+        pair = thue_morse(n)
+        texts = [f"{common} {w}" for w in pair]
+        docs = llm_spark.createDataFrame(list(enumerate([*texts, *pair])), "doc_id bigint, text string")
+        assert [r["n_removed"] for r in substring_dedup.repeated_passages(docs).collect()] == [0] * 4
+        near = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs.where("doc_id > 1")).collect()}
+        assert near[3]["kept"] and near[3]["component_id"] == 3
+        found = suffix_dedup.repeated_bytes(docs, words=50, count_only=True).collect()
+        assert [r["passage_bytes"] for r in found] == [0] * 4
+        for r in found:
+            data = [x.encode() for x in [*texts, *pair]]
+            seen = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
+            own = data[r["doc_id"]]
+            mask = np.zeros(len(own), bool)
+            for i in range(len(own) - 399):
+                if seen[own[i : i + 400]] > 1:
+                    mask[i : i + 400] = True
+            assert r["n_removed"] == mask.sum()
+
+
 def removed(mask, symbols):
     kept = [s for s, m in zip(symbols, mask) if not m]
     runs = sum(1 for i, m in enumerate(mask) if m and (i == 0 or not mask[i - 1]))
