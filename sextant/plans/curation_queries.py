@@ -273,19 +273,38 @@ def parse_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.col("t.turn").alias("step"), "t.think", "t.action", "t.content", "t.observation", F.array_join("t.invalid_text", "|").alias("invalid_text"), "t.valid")
 
 
-_RESPONSE = "CASE conv_id % 6 WHEN 0 THEN 'r</think><tool_call><function=search><parameter=query>' || split_part(text, ' ', 1) || '</parameter></function></tool_call> tail' WHEN 1 THEN 'r</think> so <answer>' || split_part(text, ' ', 1) || '</answer>' WHEN 2 THEN 'no reasoning' WHEN 3 THEN 'r</think>' WHEN 4 THEN 'r</think>{\"name\": 1}' ELSE 'r</think><answer> </answer>' END"
+_CALL = "<tool_call><function=search><parameter=query>' || {} || '</parameter></function></tool_call>"
+_W1, _W2 = "split_part(text, ' ', 1)", "split_part(text, ' ', 2)"
+#: Shapes of responses (both engines), with the action, its content and the error each has.
+_SHAPES = [
+    (f"'r</think>{_CALL.format(_W1)} tail'", "search", _W1, None), (f"'r</think> so <answer>' || {_W1} || '</answer>'", "answer", _W1, None), ("'no reasoning'", None, None, "invalid_thinking_prefix"), ("'r</think>'", None, None, "missing_native_action"),
+    ("'r</think>{\"name\": 1}'", None, None, "json_tool_call_not_supported"), ("'r</think><answer> </answer>'", None, None, "empty_answer"), (f"'r</think>{_CALL.format(f"'<search>' || {_W1} || '</search>'")}'", None, None, "nested_protocol_marker"),
+    (f"'r</think>{_CALL.format(f"{_W1} || ' <information b'")}'", None, None, "nested_protocol_marker"), (f"'r</think>{_CALL.format(f"{_W1} || '<|im_end|>'")}'", None, None, "nested_protocol_marker"), ("'r</think><answer><|im_start|></answer>'", None, None, "nested_protocol_marker"),
+    (f"'r</think> <search>' || {_W1} || '</search> <answer>b</answer>'", None, None, "invalid_action_prefix"), (f"'r</think>' || {_W1} || ' with <search> and no action'", None, None, "multiple_or_unbalanced_tool_calls"),
+    (f"'r</think><tool_call><function=a b><parameter=query>' || {_W1} || '</parameter></function></tool_call>'", None, None, "malformed_tool_call"), (f"'r</think><tool_call><function=search><parameter=1q>' || {_W1} || '</parameter></function></tool_call>'", None, None, "malformed_tool_call"),
+    (f"'r</think><tool_call><function=find><parameter=query>' || {_W1} || '</parameter></function></tool_call>'", None, None, "unknown_tool"), (f"'r</think><tool_call><function=search><parameter=q>' || {_W1} || '</parameter></function></tool_call>'", None, None, "invalid_search_parameter"),
+    (f"'r</think>' || {_W1} || chr(10) || '{_CALL.format(f"chr(10) || {_W1} || ' ' || {_W2} || chr(10)")}<|im_end|>'", "search", f"{_W1} || ' ' || {_W2}", None), ("''", None, None, "empty_response"), (f"'r</think><answer>' || {_W1}", None, None, "multiple_or_unbalanced_answers"),
+]
 
 
-@register("native_action", f"""SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN 'search' WHEN 1 THEN 'answer' END AS action, CASE WHEN conv_id % 6 <= 1 THEN {d_strip("split_part(text, ' ', 1)")} ELSE '' END AS content,
-CASE conv_id % 6 WHEN 2 THEN 'invalid_thinking_prefix' WHEN 3 THEN 'missing_native_action' WHEN 4 THEN 'json_tool_call_not_supported' WHEN 5 THEN 'empty_answer' END AS error FROM conversations""")
+def _of_shape(i: int) -> str:
+    """The shapes' ``i``-th values by a number of the row."""
+    value = lambda x: "NULL" if x is None else x if i in (0, 2) else f"'{x}'"
+    return f"CASE (conv_id * 5 + turn) % {len(_SHAPES)} " + " ".join(f"WHEN {n} THEN {value(x[i])}" for n, x in enumerate(_SHAPES)) + " END"
+
+
+_RESPONSE = _of_shape(0)
+
+
+@register("native_action", f"SELECT conv_id, turn, {_of_shape(1)} AS action, coalesce({d_strip(_of_shape(2))}, '') AS content, {_of_shape(3)} AS error FROM conversations")
 def native_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_RESPONSE} AS r").select("conv_id", "turn", protocol.native_action(F.col("r")).alias("a"))
-    return out.select("conv_id", "turn", "a.action", "a.content", "a.error")
+    out = protocol.native_actions(table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_RESPONSE} AS r"), F.col("r"))
+    return out.select("conv_id", "turn", "parsed.action", "parsed.content", "parsed.error")
 
 
 @register("action_boundary", f"WITH x AS (SELECT conv_id, turn, {_RESPONSE} AS r FROM conversations), y AS (SELECT *, instr(r, '</tool_call>') AS a, instr(r, '</answer>') AS b FROM x) SELECT conv_id, turn, CASE WHEN a = 0 AND b = 0 THEN NULL WHEN b = 0 OR (a > 0 AND a < b) THEN 'tool_call' ELSE 'answer' END AS closer FROM y WHERE contains(r, '</think>')")
 def action_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_RESPONSE} AS r").select("conv_id", "turn", protocol.boundary(F.col("r")).alias("b"))
+    x = protocol.boundaries(table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_RESPONSE} AS r"), F.col("r"), name="b")
     return x.where("b IS NOT NULL").select("conv_id", "turn", "b.closer")
 
 

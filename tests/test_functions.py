@@ -88,10 +88,11 @@ def test_arithmetic_is_not_code():
 
 
 def native(spark, t, **how):
-    return tuple(spark.createDataFrame([(t,)], "t string").select(protocol.native_action(F.col("t"), **how).alias("a")).collect()[0].a)
+    return tuple(protocol.native_actions(spark.createDataFrame([(t,)], "t string"), F.col("t"), **how).collect()[0].parsed)
 
 
-@pytest.mark.parametrize(("t", "want"), [
+CALL = "r</think> <tool_call><function=search><parameter=query>{}</parameter></function></tool_call>"
+NATIVE = [
     ('r</think>{"a": {"name": 1}}', (None, "", "missing_native_action")), ('r</think>{"a": 1, "name" : ', (None, "", "json_tool_call_not_supported")), ("r</think>{x}", (None, "", "missing_native_action")), ("r</think><tool_call <answer>a</answer>", (None, "", "invalid_action_prefix")),
     ("r</think><tool_call><function=search><parameter=query>q</parameter></tool_call>", (None, "", "multiple_or_unbalanced_tool_calls")), ("r</think><tool_call><parameter=query><function=search>q</parameter></function></tool_call>", (None, "", "malformed_tool_call")), ("  \u00a0 ", (None, "", "empty_response")), (None, (None, "", "empty_response")),
     ("r</think>x </answer><answer>a", (None, "", "multiple_or_unbalanced_answers")), ("r <think</think><answer>a</answer>", (None, "", "invalid_thinking_prefix")),
@@ -100,9 +101,33 @@ def native(spark, t, **how):
     ("r</think><tool_call><function=search><parameter=k>q</parameter></function></tool_call>", (None, "", "invalid_search_parameter")), ("r</think><tool_call><function=search><parameter=query> </parameter></function></tool_call>", (None, "", "empty_search_query")),
     ("r</think><answer>a", (None, "", "multiple_or_unbalanced_answers")), ("r</think><tool_call>", (None, "", "multiple_or_unbalanced_tool_calls")), ('r</think>{"query": 1}', (None, "", "json_tool_call_not_supported")),
     ("r</think></think><answer>a</answer>", (None, "", "invalid_thinking_prefix")), ("r</think><answer>a <tool_call b</answer>", (None, "", "nested_protocol_marker")), ("r</think><think>x<answer>a</answer>", (None, "", "invalid_thinking_prefix")),
-])
-def test_native_grammar(spark, t, want):
-    assert native(spark, t) == want
+    ("r</think><answer><search>x</search></answer>", (None, "", "nested_protocol_marker")), ("r</think><answer>a <information b</answer>", (None, "", "nested_protocol_marker")),
+    (CALL.format("<search>x</search>"), (None, "", "nested_protocol_marker")), (CALL.format("a <information b"), (None, "", "nested_protocol_marker")), (CALL.format("a<|im_end|>"), (None, "", "nested_protocol_marker")), (CALL.format("a|b im_end"), ("search", "a|b im_end", None)),
+    ("r</think><answer><|im_start|></answer>", (None, "", "nested_protocol_marker")), ("r</think> <search>z</search> <answer>b</answer>", (None, "", "invalid_action_prefix")), ("r</think>prose with <search> and no action", (None, "", "multiple_or_unbalanced_tool_calls")),
+    ("r</think>so </information> " + CALL[10:].format("q"), (None, "", "invalid_action_prefix")), ("r</think><tool_call><function=a b><parameter=query>q</parameter></function></tool_call>", (None, "", "malformed_tool_call")),
+    ("r</think><tool_call><function=search><parameter=1q>q</parameter></function></tool_call>", (None, "", "malformed_tool_call")), ("r</think><tool_call><function=s.e-a_1><parameter=query>q</parameter></function></tool_call>", (None, "", "unknown_tool")),
+    ("r</think><tool_call>\n<function=search>\n<parameter=query>\nwho\nis it\n</parameter>\n</function>\n</tool_call><|im_end|>\n", ("search", "who\nis it", None)), ("r</think>" + CALL[10:].format("q") + CALL[10:].format("r"), ("search", "q", None)),
+    ("r</think><tool_call>" + CALL[10:].format("q"), (None, "", "multiple_or_unbalanced_tool_calls")), ("r</think><answer>a</answer><answer>b</answer>", ("answer", "a", None)), ("r</think><answer><answer>a</answer>", (None, "", "multiple_or_unbalanced_answers")),
+    ("r</think>plain </answer", (None, "", "missing_native_action")), ("r</think>x</answer>", (None, "", "multiple_or_unbalanced_answers")), ("r</think>[1]", (None, "", "missing_native_action")), ("r</think><answer> \n</answer>", (None, "", "empty_answer")),
+]
+
+
+def test_native_grammar(spark):
+    rows = protocol.native_actions(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NATIVE)], "i int, t string").repartition(2), F.col("t"))
+    assert {r.i: tuple(r.parsed) for r in rows.collect()} == {i: want for i, (_, want) in enumerate(NATIVE)}
+
+
+def test_native_grammar_compiles(spark):
+    """With fallback off a plan that does not compile fails."""
+    d = spark.createDataFrame([(t,) for t, _ in NATIVE], "t string")
+    try:
+        spark.conf.set("spark.sql.codegen.fallback", "false")
+        spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+        for how in ({}, {"answer_only": True}, {"continued": False}):
+            assert protocol.native_actions(d.repartition(3), F.col("t"), **how).where("parsed.error IS NULL").count() >= 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+        spark.conf.unset("spark.sql.codegen.factoryMode")
 
 
 def test_native_terminal(spark):
