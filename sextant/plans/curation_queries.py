@@ -273,30 +273,30 @@ def parse_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.col("t.turn").alias("step"), "t.think", "t.action", "t.content", "t.observation", F.array_join("t.invalid_text", "|").alias("invalid_text"), "t.valid")
 
 
-_CALL = "<tool_call><function=search><parameter=query>' || {} || '</parameter></function></tool_call>"
-_W1, _W2 = "split_part(text, ' ', 1)", "split_part(text, ' ', 2)"
-#: Shapes of responses (both engines), with the action, its content and the error each has.
+_CALL = "r</think><tool_call><function=search><parameter=query>%s</parameter></function></tool_call>"
+_ODD_CALL = "r</think><tool_call><function=%s><parameter=%s>{1}</parameter></function></tool_call>"
+#: Shapes of responses, with the action, its content and the error each has; {1} and {2}
+#: stand for the first words of a turn, {n} for a line's end.
 _SHAPES = [
-    (f"'r</think>{_CALL.format(_W1)} tail'", "search", _W1, None), (f"'r</think> so <answer>' || {_W1} || '</answer>'", "answer", _W1, None), ("'no reasoning'", None, None, "invalid_thinking_prefix"), ("'r</think>'", None, None, "missing_native_action"),
-    ("'r</think>{\"name\": 1}'", None, None, "json_tool_call_not_supported"), ("'r</think><answer> </answer>'", None, None, "empty_answer"), (f"'r</think>{_CALL.format(f"'<search>' || {_W1} || '</search>'")}'", None, None, "nested_protocol_marker"),
-    (f"'r</think>{_CALL.format(f"{_W1} || ' <information b'")}'", None, None, "nested_protocol_marker"), (f"'r</think>{_CALL.format(f"{_W1} || '<|im_end|>'")}'", None, None, "nested_protocol_marker"), ("'r</think><answer><|im_start|></answer>'", None, None, "nested_protocol_marker"),
-    (f"'r</think> <search>' || {_W1} || '</search> <answer>b</answer>'", None, None, "invalid_action_prefix"), (f"'r</think>' || {_W1} || ' with <search> and no action'", None, None, "multiple_or_unbalanced_tool_calls"),
-    (f"'r</think><tool_call><function=a b><parameter=query>' || {_W1} || '</parameter></function></tool_call>'", None, None, "malformed_tool_call"), (f"'r</think><tool_call><function=search><parameter=1q>' || {_W1} || '</parameter></function></tool_call>'", None, None, "malformed_tool_call"),
-    (f"'r</think><tool_call><function=find><parameter=query>' || {_W1} || '</parameter></function></tool_call>'", None, None, "unknown_tool"), (f"'r</think><tool_call><function=search><parameter=q>' || {_W1} || '</parameter></function></tool_call>'", None, None, "invalid_search_parameter"),
-    (f"'r</think>' || {_W1} || chr(10) || '{_CALL.format(f"chr(10) || {_W1} || ' ' || {_W2} || chr(10)")}<|im_end|>'", "search", f"{_W1} || ' ' || {_W2}", None), ("''", None, None, "empty_response"), (f"'r</think><answer>' || {_W1}", None, None, "multiple_or_unbalanced_answers"),
+    (_CALL % "{1}" + " tail", "search", "{1}", None), ("r</think> so <answer>{1}</answer>", "answer", "{1}", None), ("no reasoning", None, "", "invalid_thinking_prefix"), ("r</think>", None, "", "missing_native_action"),
+    ('r</think>{"name": 1}', None, "", "json_tool_call_not_supported"), ("r</think><answer> </answer>", None, "", "empty_answer"), (_CALL % "<search>{1}</search>", None, "", "nested_protocol_marker"),
+    (_CALL % "{1} <information b", None, "", "nested_protocol_marker"), (_CALL % "{1}<|im_end|>", None, "", "nested_protocol_marker"), ("r</think><answer><|im_start|></answer>", None, "", "nested_protocol_marker"),
+    ("r</think> <search>{1}</search> <answer>b</answer>", None, "", "invalid_action_prefix"), ("r</think>{1} with <search> and no action", None, "", "multiple_or_unbalanced_tool_calls"),
+    (_ODD_CALL % ("a b", "query"), None, "", "malformed_tool_call"), (_ODD_CALL % ("search", "1q"), None, "", "malformed_tool_call"), (_ODD_CALL % ("find", "query"), None, "", "unknown_tool"), (_ODD_CALL % ("search", "q"), None, "", "invalid_search_parameter"),
+    (_CALL % "{n} {1} {2}{n}" + "<|im_end|>", "search", "{1} {2}", None), ("", None, "", "empty_response"), ("r</think><answer>{1}", None, "", "multiple_or_unbalanced_answers"), ("r</think>{1}{n}<answer>{1} {2}{n}</answer>", "answer", "{1} {2}", None),
 ]
 
 
 def _of_shape(i: int) -> str:
-    """The shapes' ``i``-th values by a number of the row."""
-    value = lambda x: "NULL" if x is None else x if i in (0, 2) else f"'{x}'"
-    return f"CASE (conv_id * 5 + turn) % {len(_SHAPES)} " + " ".join(f"WHEN {n} THEN {value(x[i])}" for n, x in enumerate(_SHAPES)) + " END"
+    """The shapes' ``i``-th values by a number of the row (both engines)."""
+    cases = " ".join(f"WHEN {n} THEN {'NULL' if x[i] is None else f"'{x[i]}'"}" for n, x in enumerate(_SHAPES))
+    return f"replace(replace(replace(CASE (conv_id * 5 + turn) % {len(_SHAPES)} {cases} END, '{{1}}', split_part(text, ' ', 1)), '{{2}}', split_part(text, ' ', 2)), '{{n}}', chr(10))"
 
 
 _RESPONSE = _of_shape(0)
 
 
-@register("native_action", f"SELECT conv_id, turn, {_of_shape(1)} AS action, coalesce({d_strip(_of_shape(2))}, '') AS content, {_of_shape(3)} AS error FROM conversations")
+@register("native_action", f"SELECT conv_id, turn, {_of_shape(1)} AS action, {d_strip(_of_shape(2))} AS content, {_of_shape(3)} AS error FROM conversations")
 def native_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = protocol.native_actions(table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_RESPONSE} AS r"), F.col("r"))
     return out.select("conv_id", "turn", "parsed.action", "parsed.content", "parsed.error")
