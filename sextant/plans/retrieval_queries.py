@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from sextant.functions.text import contains_phrase, normalize_phrase, passages_to_string, phrase_tokens
 from sextant.operators import batch as B
 from sextant.operators import retrieval as R
+from sextant.operators import vector_index as V
 from sextant.plans.data import CONTENTS, passages, table
 from sextant.plans.text_queries import d_phrase
 from sextant.registry import register
-from sextant.session import written
+from sextant.session import scratch, written
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 BM25_SQL = f"""p AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL),
@@ -121,6 +122,33 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> V.Index:
+    """An index of all embeddings, written and opened again."""
+    return V.Index(spark, V.build(table(spark, sf_dir, "embeddings"), scratch(spark, "vector-index")))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@register("vector_index_topk")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of every twentieth embedding, from stored lists of codes; tested
+    against exact search."""
+    return vector_index(spark, sf_dir).search(_asked(spark, sf_dir), 10).select("query_id", "vec_id", "score", "rank")
+
+
+@register("vector_index_recall")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at 10 by score against exact search, and the share of codes read."""
+    index, asked = vector_index(spark, sf_dir), _asked(spark, sf_dir)
+    found = index.search(asked, 10).select("query_id", "vec_id", "score")
+    last = dense_top(spark, sf_dir, 10).groupBy("query_id").agg(F.min("score").alias("last"), F.count(F.lit(1)).alias("n"))
+    hit = F.coalesce((F.col("score") >= F.col("last") - 1e-5).cast("int"), F.lit(0))
+    recall = last.join(found, "query_id", "left").groupBy("query_id").agg((F.sum(hit) / F.max("n")).alias("recall"))
+    return recall.join(index.reads(V.usable(asked, "query_id", "q", index.width).select(F.col("id").alias("query_id"), F.col("v").alias("q"))), "query_id", "left")
+
+
 @register("l2_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))), 6) AS total FROM embeddings")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(R.l2_normalize(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
