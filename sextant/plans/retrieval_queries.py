@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sextant.functions.text import contains_phrase, normalize_phrase, passages_to_string, phrase_tokens
 from sextant.operators import batch as B
+from sextant.operators import inverted_index as I
 from sextant.operators import retrieval as R
 from sextant.operators import vector_index as V
 from sextant.plans.data import CONTENTS, passages, table
@@ -44,6 +46,38 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_top(spark, sf_dir, 10).select("query_id", "doc_id", "score", "rank")
 
 
+def word_index(spark: SparkSession, sf_dir: str) -> I.Index:
+    """An inverted index of all documents, written and opened again."""
+    return I.Index(spark, I.build(table(spark, sf_dir, "documents"), scratch(spark, "word-index")))
+
+
+@register("inverted_topk", f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM top WHERE rank <= 10")
+def inverted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bm25_topk``, from a stored index."""
+    items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    return word_index(spark, sf_dir).search(items, 10).select("query_id", "doc_id", "score", "rank")
+
+
+@register("inverted_terms", f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def inverted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of each word, and how often it occurs, decoded from the blocks."""
+    blocks = word_index(spark, sf_dir).blocks().select("term", "n", "tf")
+
+    def go(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int(I.widened(x).sum()) for x in batch.column(2).to_pylist()], pa.int64())], ["term", "n", "tf"])
+
+    return blocks.mapInArrow(go, "term string, n int, tf bigint").groupBy("term").agg(F.sum("n").alias("df"), F.sum("tf").alias("tf"))
+
+
+@register("inverted_skips")
+def inverted_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the shards that hold a word of an item, how many a search for the ten best
+    reads."""
+    items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    return word_index(spark, sf_dir).plan(items, 10)[1]
+
+
 @register("gather_docs", f"WITH {BM25_SQL} SELECT query_id, rank, doc_id, {CONTENTS} AS contents FROM top JOIN documents USING (doc_id) WHERE rank <= 3")
 def gather_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(spark, sf_dir).join(R.sized(bm25_top(spark, sf_dir, 3)), "doc_id").select("query_id", "rank", "doc_id", "contents")

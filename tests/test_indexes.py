@@ -1,9 +1,11 @@
 """Stored indexes: of vectors, and of words."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from sextant.operators import vector_index
+from sextant.operators import inverted_index, retrieval, vector_index
 from sextant.session import scratch
 
 
@@ -48,3 +50,57 @@ def test_vector_index_of_nothing(spark):
         vector_index.build(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, list string"), path)
         asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id bigint, q array<float>")
         assert vector_index.Index(spark, path).search(asked, 3).collect() == []
+
+
+def test_numbers_in_few_bytes():
+    for top in (0, 1, 255, 256, 70_000, 1 << 40):
+        x = np.array([0, top, 3], np.int64)
+        assert (inverted_index.widened(inverted_index.narrow(x)) == x).all() and len(inverted_index.narrow(x)) == 1 + 3 * next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    assert len(inverted_index.widened(inverted_index.narrow(np.empty(0, np.int64)))) == 0
+
+
+def corpus(spark, n=900, seed=1):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i * 7 - 50, " ".join(["the"] * rng.randint(0, 9) + rng.choices(words, [1 / (k + 1) for k in range(300)], k=rng.randint(0, 60))), "clash") for i in range(n)]
+    rows += [(5, None, ""), (12, "", ""), (20_000, "w7 " * 3000, ""), (None, "w7 w8", ""), (34, "rare w1", ""), (34, "rare rare w2 w3", "")] + [(30_000 + i, "the same w5 text w299", "") for i in range(400)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, term string").repartition(3)
+
+
+def test_inverted_index_finds_what_bm25_finds(spark):
+    docs = corpus(spark)
+    path = scratch(spark, "words")
+    inverted_index.build(docs, path, shard=64)
+    index = inverted_index.Index(spark, path)
+    queries = spark.createDataFrame([(0, "the w5 W5 w299"), (1, "rare"), (2, "w7 w8 w250 the"), (3, "nowhere"), (4, ""), (5, None), (6, "same text"), (7, "the " + " ".join(f"w{i}" for i in range(40)))], "query_id bigint, text string")
+    want = retrieval.top_k(retrieval.bm25(queries, docs.where("doc_id IS NOT NULL")), 10, "doc_id")
+    key = lambda d: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 5)) for r in d.collect())
+    got = index.search(queries, 10)
+    assert key(got) == key(want)
+    files = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in files  # the corpus itself is not read
+    reads = {r["query_id"]: r for r in index.plan(queries, 10, first=1)[1].collect()}
+    assert set(reads) == {0, 1, 2, 6, 7} and all(1 <= r["read"] <= r["shards"] for r in reads.values())
+    assert sum(r["read"] for r in reads.values()) < sum(r["shards"] for r in reads.values())
+
+
+def test_blocks_hold_all_postings(spark):
+    docs = corpus(spark, 200)
+    path = scratch(spark, "words")
+    inverted_index.build(docs, path, shard=32)
+    blocks = inverted_index.Index(spark, path).blocks().collect()
+    assert len({(b["term"], b["shard"]) for b in blocks}) == len(blocks)
+    got = {}
+    for b in blocks:
+        ids = (b["first"] + np.concatenate([[0], np.cumsum(inverted_index.widened(b["steps"]))])).tolist()
+        assert len(ids) == b["n"]
+        got.update({(b["term"], i): t for i, t in zip(ids, inverted_index.widened(b["tf"]).tolist(), strict=True)})
+    want = {(r["term"], r["doc_id"]): r["tf"] for r in retrieval.postings(docs.where("doc_id IS NOT NULL")).collect()}
+    assert got == want
+
+
+def test_inverted_index_of_nothing(spark):
+    path = scratch(spark, "words")
+    inverted_index.build(spark.createDataFrame([], "doc_id bigint, text string"), path)
+    asked = spark.createDataFrame([(1, "a")], "query_id bigint, text string")
+    assert inverted_index.Index(spark, path).search(asked, 3).collect() == []
