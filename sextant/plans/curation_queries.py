@@ -13,9 +13,10 @@ from sextant.operators import episodes as P
 from sextant.operators import evaluation as E
 from sextant.operators import retrieval as R
 from sextant.plans.data import T_SQL, passages, table, transcripts
-from sextant.plans.retrieval_queries import BM25_SQL, bm25_top
+from sextant.plans.retrieval_queries import BM25_SQL, bm25_top, word_index
 from sextant.plans.text_queries import d_norm, d_phrase, d_strip
 from sextant.registry import register
+from sextant.session import scratch
 
 _KEY = "lower(trim(regexp_replace(split_part(text, '.', 1), '\\s+', ' ', 'g')))"
 
@@ -353,7 +354,17 @@ def policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts(spark, sf_dir).select(F.col("conv_id").alias("id"), "turn", T.assistant_text(F.col("transcript"), "<|im_start|>assistant", "<|im_end|>").alias("response"))
 
 
-@register("episode_replay")
+#: Episodes that are played (DuckDB).
+_PLAYED = f"""WITH {T_SQL}, a AS (SELECT conv_id AS id, turn, conv_id % 7 AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step, text FROM t),
+ep AS (SELECT id, turn, CAST(step AS INTEGER) AS step, CASE WHEN k IN (0, 5) THEN 'search' WHEN k IN (1, 3, 6) THEN 'answer' ELSE 'invalid' END AS action,
+ CASE k WHEN 0 THEN {d_strip("split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)")} WHEN 1 THEN {d_strip("split_part(text, ' ', 1)")} WHEN 3 THEN {d_strip("split_part(text, ' ', 1)")} WHEN 5 THEN {d_strip("split_part(text, ' ', 2)")} WHEN 6 THEN {d_strip("split_part(text, ' ', 2)")} ELSE '' END AS content,
+ k IN (1, 3, 6) AS done, k NOT IN (2, 4) AS valid FROM a WHERE step < CASE WHEN k IN (1, 3, 6) THEN 1 ELSE 4 END)"""
+#: Steps of a replay, with what a search shows: the best document of its query.
+_SHOWN = BM25_SQL.replace("(SELECT item_id, unnest(", "(SELECT id * 100 + turn AS item_id, unnest(").replace("FROM benchmark)", "FROM (SELECT id, turn, content AS text FROM ep WHERE action = 'search'))")
+_STEPS = f"{_PLAYED}, {_SHOWN} SELECT ep.id, ep.turn, ep.action, ep.content, CASE ep.action WHEN 'search' THEN coalesce(CAST(top.doc_id AS VARCHAR), '') WHEN 'answer' THEN '' ELSE 'retry' END AS observation, ep.done, ep.valid FROM ep LEFT JOIN top ON top.query_id = ep.id * 100 + ep.turn AND top.rank = 1"
+
+
+@register("episode_replay", _STEPS)
 def episode_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripted episodes with retrieval over all documents; tested step by step."""
     return P.replay(policy(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"), 4)
@@ -440,3 +451,44 @@ def trace_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     r = V.source(spark, sf_dir).withColumn("record_id", T.record_id(F.col("event_id").cast("string")))
     return V.drain(V.once(r, "record_id", "365 days").select("event_id", "record_id", "event_type"), "trace")
+
+
+def played_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of all conversations, played from a stream in two runs on one
+    checkpoint: turns up to the middle of the time, then the others."""
+    from sextant.streaming import episodes as S
+
+    at = scratch(spark, "episode-stream")
+    turns = policy(spark, sf_dir).select("id", "turn", "response", F.timestamp_seconds(1_704_067_200 + F.col("id") * 60 + F.col("turn") * 10).alias("ts"))
+    middle = turns.agg(F.timestamp_seconds(F.avg(F.unix_timestamp("ts"))).alias("m"))  # one row
+    turns = turns.crossJoin(F.broadcast(middle))
+    for part in ("ts <= m", "ts > m"):
+        turns.where(part).drop("m").repartitionByRange(3, "ts").write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema("id bigint, turn bigint, response string, ts timestamp").option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+        S.run(S.steps(stream, 4, F.col("response")), f"{at}/out", f"{at}/state")
+    return S.read(spark, f"{at}/out")
+
+
+@register("episode_stream", f"{_PLAYED} SELECT * FROM ep")
+def episode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps that a stream with state writes: those of a replay in one batch."""
+    return played_stream(spark, sf_dir)
+
+
+@register("episode_stream_totals", f"{_PLAYED} SELECT count(DISTINCT id) AS episodes, count(*) AS steps, CAST(count(*) FILTER (done) AS BIGINT) AS answers, CAST(0 AS BIGINT) AS broken FROM ep")
+def episode_stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a finished stream sums up to, with no rule broken."""
+    from sextant.streaming import episodes as S
+
+    return S.finish(played_stream(spark, sf_dir)).select("episodes", "steps", "answers", "broken")
+
+
+@register("episode_steps", _STEPS)
+def episode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``episode_replay``, searched in the stored index of words."""
+    done = played_stream(spark, sf_dir)
+    asked = done.where("action = 'search'").select((F.col("id") * 100 + F.col("turn")).alias("query_id"), F.col("content").alias("text"))
+    found = word_index(spark, sf_dir).search(asked, 1).select("query_id", F.col("doc_id").cast("string").alias("found"))
+    out = done.withColumn("query_id", F.col("id") * 100 + F.col("turn")).join(found, "query_id", "left")
+    shown = F.when(F.col("action") == "search", F.coalesce("found", F.lit(""))).when(F.col("action") == "answer", "").otherwise("retry")
+    return out.select("id", "turn", "action", "content", shown.alias("observation"), "done", "valid")
