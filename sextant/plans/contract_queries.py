@@ -19,6 +19,7 @@ from sextant.plans.retrieval_queries import BM25_SQL, bm25_top
 from sextant.plans.text_queries import _EM, d_strip
 from sextant.registry import register
 from sextant.session import scratch
+from sextant.sources import archives as A
 from sextant.sources import corpus
 from sextant.sources import records as K
 from sextant.sources import reports as O
@@ -391,3 +392,40 @@ _CONTRACT = """'{ "tools": [ 1, {"name": null, "ask": true} ],  "kind": "' || ev
 def contract_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of prompt and tool contracts, whatever their layout."""
     return table(spark, sf_dir, "events").select("event_id", D.contract_digest(F.expr(_CONTRACT)).alias("digest"))
+
+
+# Archives.
+_LINE = "doc_id || chr(9) || replace(replace(text, chr(10), ' '), chr(13), ' ')"
+
+
+def archives(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as lines of eight compressed archives."""
+    path = scratch(spark, "archives")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").selectExpr("doc_id", "doc_id % 8 AS k", f"{_LINE} AS line")
+    A.write_archives(docs, path, "k", "doc_id", "line")
+    return path
+
+
+_PLACED = f"WITH l AS (SELECT doc_id, doc_id % 8 AS k, {_LINE} AS line FROM documents WHERE text IS NOT NULL), p AS (SELECT *, row_number() OVER w - 1 AS row, CAST(sum(strlen(line) + 1) OVER w AS BIGINT) AS stop FROM l WINDOW w AS (PARTITION BY k ORDER BY doc_id ROWS UNBOUNDED PRECEDING))"
+
+
+@register("archive_lines", f"{_PLACED} SELECT doc_id, 'part-' || k || '.jsonl' AS member, row, stop - strlen(line) - 1 AS start, stop, md5(line) AS digest FROM p")
+def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of compressed archives, read in streams by a data source."""
+    found = A.lines(spark, archives(spark, sf_dir))
+    return found.select(F.split_part("line", F.lit(chr(9)), F.lit(1)).cast("bigint").alias("doc_id"), "member", "row", "start", "stop", F.md5("line").alias("digest"))
+
+
+@register("archive_manifest", f"{_PLACED} SELECT 'part-' || k || '.jsonl' AS member, count(*) AS rows, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY doc_id)) AS sha256, CAST(NULL AS VARCHAR) AS problem FROM p GROUP BY k")
+def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of archives that were extracted, and whether its files hold."""
+    manifest = A.extract(spark, archives(spark, sf_dir), scratch(spark, "extracted"))
+    return A.verified(spark, manifest).select("member", "rows", "bytes", "sha256", "problem")
+
+
+@register("positional_rows", f"{_PLACED} SELECT doc_id, row, stop - strlen(line) - 1 AS start, stop FROM p WHERE row >= 5 AND row < 30")
+def positional_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 5 to 29 of each extracted file, by their byte ranges."""
+    manifest = A.extract(spark, archives(spark, sf_dir), scratch(spark, "extracted"))
+    found = A.rows(spark, manifest).where("row >= 5 AND row < 30")
+    return found.select(F.split_part("line", F.lit(chr(9)), F.lit(1)).cast("bigint").alias("doc_id"), "row", "start", "stop")
