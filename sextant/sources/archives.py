@@ -15,10 +15,12 @@ never read, since only the manifest's files are."""
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import hashlib
 import io
 import json
+import lzma
 import tarfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -61,14 +63,25 @@ def listed(uri: str) -> list[str]:
     return sorted(head + f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
 
 
+def unpacked(raw: io.BufferedReader) -> BinaryIO:
+    """The stream without its compression, told by its first bytes.  In pieces of what
+    comes out, not of what goes in: a piece may be a thousand times as large unpacked."""
+    head = raw.peek(6)[:6]
+    if head[:2] == b"\x1f\x8b":
+        return gzip.open(raw)  # several gzip members too
+    if head[:3] == b"BZh":
+        return bz2.open(raw)
+    return lzma.open(raw) if head == b"\xfd7zXZ\x00" else raw
+
+
 def members(uri: str, ending: str) -> Iterator[tuple[str, BinaryIO]]:
     """Name and stream of each member of lines, in order; a compressed file that is no
     tar archive is its only member."""
     if uri.endswith(".gz") and not uri.endswith(".tar.gz"):
-        with opened(uri) as raw, gzip.open(raw) as stream:  # several gzip members too
+        with opened(uri) as raw, unpacked(raw) as stream:
             yield uri.rsplit("/", 1)[-1].removesuffix(".gz"), stream
         return
-    with opened(uri) as raw, tarfile.open(fileobj=raw, mode="r|*", bufsize=PIECE) as archive:
+    with opened(uri) as raw, unpacked(raw) as stream, tarfile.open(fileobj=stream, mode="r|") as archive:
         for info in archive:
             if info.isfile() and info.name.endswith(ending):
                 yield info.name, archive.extractfile(info)

@@ -101,7 +101,7 @@ def test_archive_beyond_two_gigabytes_streams(tmp_path):
 
     size, line = 2200 << 20, b"x" * ((1 << 18) - 1) + b"\n"
     path = tmp_path / "long.tar.gz"
-    with tarfile.open(path, "w|gz", compresslevel=1) as archive:
+    with tarfile.open(str(path), "w|gz", compresslevel=1) as archive:
         info = tarfile.TarInfo("long.jsonl")
         info.size = size
         archive.addfile(info, io.BufferedReader(Long(size, line), archives.PIECE))
