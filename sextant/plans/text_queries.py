@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.functions import html as H
 from sextant.functions import scoring as S
 from sextant.functions import text as T
 from sextant.plans.data import CONTENTS, T_SQL, passages, table, transcripts
@@ -193,6 +194,14 @@ def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(T.html_paragraphs(F.col("html")), "\n").alias("body"))
 
 
+@register("page_texts")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and text of each page's paragraphs, by the tokenizer; tested against the
+    standard library's parser."""
+    found = table(spark, sf_dir, "pages").select("page_id", H.paragraph_texts(F.col("html")).alias("p"))
+    return found.select("page_id", F.size("p").alias("paragraphs"), F.array_join("p", "\n").alias("body"))
+
+
 @register("filter_links", r"""SELECT page_id, url FROM (SELECT *, lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '(\.[^./]*)$', 1)) AS e FROM pages) WHERE e IN ('', '.html', '.htm', '.shtml')""")
 def filter_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[a-z]+://[^/]*", "")
