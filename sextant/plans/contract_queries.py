@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -14,6 +15,7 @@ from sextant.operators import contracts as C
 from sextant.operators import evaluation as E
 from sextant.operators import responses as P
 from sextant.operators import retrieval as R
+from sextant.operators import token_ids as N
 from sextant.plans.data import CONTENTS, R_SQL, T_SQL, passages, records, table, transcripts
 from sextant.plans.retrieval_queries import BM25_SQL, bm25_top
 from sextant.plans.text_queries import _EM, d_strip
@@ -162,23 +164,23 @@ def capacity_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINE = "CASE doc_id % 11 WHEN 3 THEN '  ' WHEN 5 THEN '[1]' ELSE '{\"id\": ' || CAST(doc_id AS STRING) || '}' END"
 
 
-@register("position_violations", "WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents) SELECT row, 'blank' AS rule FROM l WHERE doc_id % 11 = 3 UNION ALL SELECT row, 'object' FROM l WHERE doc_id % 11 = 5 UNION ALL SELECT row, 'id' FROM l WHERE doc_id % 13 = 4 UNION ALL SELECT row, 'offset' FROM l WHERE doc_id % 17 = 6 AND row > 0")
+@register("position_violations", "WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents) SELECT row, 'blank' AS rule FROM l WHERE doc_id % 11 = 3 UNION ALL SELECT row, 'object' FROM l WHERE doc_id % 11 = 5 UNION ALL SELECT row, 'id' FROM l WHERE doc_id % 13 = 4 UNION ALL SELECT row, 'offset' FROM l WHERE doc_id % 17 = 6")
 def position_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by position, with blank lines, lists, wrong ids and shifted starts."""
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_LINE} AS line")
     lines = K.positional(docs, "doc_id", "line")
     number = F.col("id").cast("bigint")
     spoilt = lines.select("row", F.when(number % 17 == 6, F.col("start") + 1).otherwise(F.col("start")).alias("start"), "stop", "line", F.when(number % 13 == 4, F.lit("x")).otherwise(F.col("row").cast("string")).alias("id"))
-    return C.positions(spoilt).where("NOT (row = 0 AND rule = 'offset')")
+    return C.positions(spoilt)
 
 
 _ENTRY = "CASE o_orderkey % 10 WHEN 1 THEN '{\"b\":1,\"a\":' || CAST(o_custkey AS STRING) || '}' WHEN 2 THEN '{\"a\":1}' ELSE '{\"a\":' || CAST(o_custkey AS STRING) || ',\"b\":1}' END"
 
 
-@register("catalog_violations", "WITH c AS (SELECT o_custkey % 50 AS id, o_orderkey FROM orders WHERE o_orderkey <= 200), n AS (SELECT id, count(*) AS n FROM c GROUP BY id) SELECT DISTINCT id, 'canonical' AS rule FROM c WHERE o_orderkey % 10 IN (1, 2) UNION ALL SELECT DISTINCT id, 'keys' FROM c WHERE o_orderkey % 10 = 2 UNION ALL SELECT id, 'unique' FROM n WHERE n > 1")
+@register("catalog_violations", "WITH c AS (SELECT o_custkey % 50 AS id, o_orderkey FROM orders), n AS (SELECT id, count(*) AS n FROM c GROUP BY id) SELECT DISTINCT id, 'canonical' AS rule FROM c WHERE o_orderkey % 10 IN (1, 2) UNION ALL SELECT DISTINCT id, 'keys' FROM c WHERE o_orderkey % 10 = 2 UNION ALL SELECT id, 'unique' FROM n WHERE n > 1")
 def catalog_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog lines that are not canonical, lack a key or share an id."""
-    x = table(spark, sf_dir, "orders").where("o_orderkey <= 200").selectExpr("o_custkey % 50 AS id", f"{_ENTRY} AS line")
+    x = table(spark, sf_dir, "orders").selectExpr("o_custkey % 50 AS id", f"{_ENTRY} AS line")
     parsed = F.from_json("line", "a bigint, b bigint")
     return C.catalog(x, "id", "line", corpus.canonical({"b": parsed["b"], "a": parsed["a"]}), V.has_keys(F.col("line"), ("a", "b")))
 
@@ -395,18 +397,18 @@ def contract_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Archives.
-_LINE = "doc_id || chr(9) || replace(replace(text, chr(10), ' '), chr(13), ' ')"
+_DOC_LINE = "doc_id || chr(9) || replace(replace(text, chr(10), ' '), chr(13), ' ')"
 
 
 def archives(spark: SparkSession, sf_dir: str) -> str:
     """Documents as lines of eight compressed archives."""
     path = scratch(spark, "archives")
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").selectExpr("doc_id", "doc_id % 8 AS k", f"{_LINE} AS line")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").selectExpr("doc_id", "doc_id % 8 AS k", f"{_DOC_LINE} AS line")
     A.write_archives(docs, path, "k", "doc_id", "line")
     return path
 
 
-_PLACED = f"WITH l AS (SELECT doc_id, doc_id % 8 AS k, {_LINE} AS line FROM documents WHERE text IS NOT NULL), p AS (SELECT *, row_number() OVER w - 1 AS row, CAST(sum(strlen(line) + 1) OVER w AS BIGINT) AS stop FROM l WINDOW w AS (PARTITION BY k ORDER BY doc_id ROWS UNBOUNDED PRECEDING))"
+_PLACED = f"WITH l AS (SELECT doc_id, doc_id % 8 AS k, {_DOC_LINE} AS line FROM documents WHERE text IS NOT NULL), p AS (SELECT *, row_number() OVER w - 1 AS row, CAST(sum(strlen(line) + 1) OVER w AS BIGINT) AS stop FROM l WINDOW w AS (PARTITION BY k ORDER BY doc_id ROWS UNBOUNDED PRECEDING))"
 
 
 @register("archive_lines", f"{_PLACED} SELECT doc_id, 'part-' || k || '.jsonl' AS member, row, stop - strlen(line) - 1 AS start, stop, md5(line) AS digest FROM p")
@@ -429,3 +431,60 @@ def positional_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = A.extract(spark, archives(spark, sf_dir), scratch(spark, "extracted"))
     found = A.rows(spark, manifest).where("row >= 5 AND row < 30")
     return found.select(F.split_part("line", F.lit(chr(9)), F.lit(1)).cast("bigint").alias("doc_id"), "row", "start", "stop")
+
+
+# Token ids.  The end of text is what pads.
+_EOS = 50256
+
+
+def _vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses as sampled ids, with an end or without."""
+    x = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_SLICE} AS s")
+    ids = N.encoded(F.col("s"), _vocabulary())
+    return x.withColumn("raw", ids).withColumn("ids", F.when(F.col("turn") % 2 == 0, F.concat("raw", F.lit([_EOS, _EOS]))).otherwise(F.col("raw")))
+
+
+@register("token_bytes", f"SELECT conv_id, turn, CAST(strlen(s) AS BIGINT) AS n_bytes, s AS text FROM (SELECT conv_id, turn, {_SLICE} AS s FROM conversations)")
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the ids of each response, and their text."""
+    total = F.aggregate(N.byte_lengths(F.col("raw"), _vocabulary()), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return sampled(spark, sf_dir).select("conv_id", "turn", total.alias("n_bytes"), N.decoded(F.col("raw"), _vocabulary()).alias("text"))
+
+
+@register("token_action", f"""WITH x AS (SELECT conv_id, turn, {_SLICE} AS s FROM conversations) SELECT conv_id, turn,
+CASE conv_id % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'answer' ELSE CASE WHEN turn % 2 = 0 THEN 'eos' ELSE 'length' END END AS boundary,
+CASE conv_id % 3 WHEN 0 THEN split_part(s, '</search>', 1) || '</search>' WHEN 1 THEN split_part(s, '</answer>', 1) || '</answer>' ELSE s END AS action FROM x""")
+def token_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ends each response's first action, and the action's text up to it."""
+    found = N.action_slices(F.col("ids"), _vocabulary(), ("</search>", "</answer>"), eos=_EOS, pad=_EOS)
+    out = sampled(spark, sf_dir).select("conv_id", "turn", found.alias("a"))
+    return out.select("conv_id", "turn", "a.boundary", C.stop_at(F.col("a.text"), ("</search>", "</answer>")).alias("action"))
+
+
+@register("token_slices")
+def token_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sampled ids each action takes; tested against decoding every prefix."""
+    found = N.action_slices(F.col("ids"), _vocabulary(), ("</search>", "</answer>"), eos=_EOS, pad=_EOS)
+    return sampled(spark, sf_dir).select("conv_id", "turn", F.size("ids").alias("sampled"), found.alias("a")).select("conv_id", "turn", "sampled", "a.n_ids", "a.n_text", "a.boundary")
+
+
+@register("token_window")
+def token_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 384 ids of each observation that end with a whole character."""
+    ids = N.encoded(F.col("text"), _vocabulary())
+    shown = N.shown_within(F.col("ids"), F.lit(384), _vocabulary())
+    return table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").alias("n"), shown.alias("s")).select("doc_id", "n", "s.n_ids", "s.cut", F.length("s.text").alias("visible"))
+
+
+@register("token_batch", "SELECT conv_id, turn, 64 AS width, true AS together FROM conversations")
+def token_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses in 64 places, padded on the left: mask and ids are of one length, and
+    padding is where the mask is 0."""
+    x = sampled(spark, sf_dir).select("conv_id", "turn", N.padded(F.col("raw"), F.lit(64), _EOS, left=True).alias("p"))
+    padding = F.forall(F.arrays_zip("p.ids", "p.mask"), lambda z: (z["mask"] == 1) | (z["ids"] == _EOS))
+    same = (F.size("p.ids") == F.size("p.mask")) & (F.size("p.positions") == F.size("p.ids")) & padding
+    return x.select("conv_id", "turn", F.size("p.ids").alias("width"), same.alias("together"))
