@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.operators.batch import row_ids
+
 
 def differencing(lengths: list[int], k: int, equal_size: bool) -> list[list[int]]:
     """Indices in ``k`` parts: the two states of largest spread merge, heaviest
@@ -69,3 +71,16 @@ def microbatches(df: DataFrame, most_tokens: int) -> DataFrame:
     return df.groupBy("batch").agg(F.ceil(F.sum("seqlen") / most_tokens).cast("bigint").alias("n"))
 
 
+
+
+def deal(rows: DataFrame, length: str, key: str, k: int) -> DataFrame:
+    """``rows`` with a ``part`` of ``k`` for each, over the whole table: by descending
+    length, rounds of ``k`` rows deal one to each part, every other round backwards.  No
+    row of a round is longer than one of the round before, so the parts' totals differ by
+    no more than the largest length, and their sizes by one.  Rows are ranked by ranges;
+    no task has them all.  Null lengths count as 0; rows of equal length go by ``key``."""
+    if k < 1:
+        raise ValueError(f"{k} parts")
+    ranked = row_ids(rows.withColumn("__down", -F.coalesce(F.col(length), F.lit(0)).cast("bigint")), "__down", key, name="__rank")
+    place, back = F.col("__rank") % k, F.call_function("div", F.col("__rank"), F.lit(k)) % 2 == 1
+    return ranked.withColumn("part", F.when(back, k - 1 - place).otherwise(place).cast("int")).drop("__down", "__rank")

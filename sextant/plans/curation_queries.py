@@ -11,6 +11,7 @@ from sextant.functions import text as T
 from sextant.operators import curation as C
 from sextant.operators import episodes as P
 from sextant.operators import evaluation as E
+from sextant.operators import merkle as M
 from sextant.operators import retrieval as R
 from sextant.plans.data import T_SQL, passages, table, transcripts
 from sextant.plans.retrieval_queries import BM25_SQL, bm25_top, word_index
@@ -96,6 +97,38 @@ def order_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.order_digest(split(spark, sf_dir).where("lang <> 'es'"), "doc_id", F.col("doc_id"))
 
 
+#: A tree of eight children a node over all documents (DuckDB): levels until one is left.
+_LEAVES = "l0 AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, sha256(coalesce('leaf:' || text, 'null')) AS d FROM documents)"
+_LEVELS = ", ".join(f"l{k + 1} AS (SELECT n // 8 AS n, sha256('node:' || string_agg(d, ',' ORDER BY n)) AS d FROM l{k} GROUP BY n // 8)" for k in range(8))
+
+
+def document_tree(spark: SparkSession, sf_dir: str, changed: str = "false") -> M.Tree:
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.when(F.expr(changed), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return M.build(docs, "doc_id", F.col("text"), 8)
+
+
+@register("merkle_levels", f"WITH {_LEAVES}, {_LEVELS}, a AS ({' UNION ALL '.join(f'SELECT {k} AS level, count(*) AS nodes, min(d) AS least FROM l{k}' for k in range(9))}) SELECT level, nodes, least FROM a WHERE level <= (SELECT min(level) FROM a WHERE nodes = 1)")
+def merkle_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of the documents' tree of digests; the last one is its root."""
+    return R.union_all([level.agg(F.lit(k).alias("level"), F.count(F.lit(1)).alias("nodes"), F.min("digest").alias("least")) for k, level in enumerate(document_tree(spark, sf_dir).levels)])
+
+
+@register("merkle_differences", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS number, doc_id AS key, doc_id AS other_key FROM documents QUALIFY doc_id % 97 = 5 AND text IS NOT NULL")
+def merkle_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were changed, found from the roots of two trees down."""
+    return M.differences(document_tree(spark, sf_dir), document_tree(spark, sf_dir, "doc_id % 97 = 5"))
+
+
+@register("merkle_evidence", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS number, NOT (doc_id % 40 = 0) AS holds FROM documents QUALIFY doc_id % 20 = 0")
+def merkle_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims about single documents, held against the root: half of them are false."""
+    tree = document_tree(spark, sf_dir)
+    asked = tree.levels[0].where("key % 20 = 0")
+    claim = F.when(F.col("key") % 40 == 0, M.leaf(F.lit("not this"))).otherwise(F.col("digest"))
+    claims = M.paths(tree, asked).drop("digest").join(asked.select("number", claim.alias("claim")), "number")
+    return claims.select("number", M.holds(F.col("number"), F.col("claim"), F.col("path"), tree.root(), 8).alias("holds"))
+
+
 @register("decontaminate_exact", f"SELECT doc_id FROM documents WHERE {_KEY} NOT IN (SELECT {_KEY} FROM benchmark)")
 def decontaminate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exclude(table(spark, sf_dir, "documents"), _key(), table(spark, sf_dir, "benchmark"), _key()).select("doc_id")

@@ -168,6 +168,12 @@ def seqlen_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.partition(lengths(spark, sf_dir), 4)
 
 
+@register("seqlen_deal", "WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents) SELECT doc_id, CAST(CASE WHEN r // 7 % 2 = 1 THEN 6 - r % 7 ELSE r % 7 END AS INTEGER) AS part FROM r")
+def seqlen_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to seven workers of about equal total length."""
+    return balance.deal(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 7).select("doc_id", "part")
+
+
 @register("seqlen_greedy", """WITH RECURSIVE d AS (SELECT doc_id // 40 AS batch, doc_id % 40 AS idx, n_chars AS seqlen FROM documents),
 g AS (SELECT DISTINCT batch, CAST(-1 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS seqlen, -1 AS part, CAST([0, 0, 0, 0] AS BIGINT[]) AS t FROM d UNION ALL
  SELECT batch, idx, seqlen, p - 1, list_transform(t, lambda x, i: CASE WHEN i = p THEN x + seqlen ELSE x END) FROM (SELECT g.batch, d.idx, d.seqlen, CAST(list_position(t, list_min(t)) AS INTEGER) AS p, t FROM g JOIN d ON d.batch = g.batch AND d.idx = g.idx + 1))

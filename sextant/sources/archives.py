@@ -274,26 +274,28 @@ def rows(spark: SparkSession, manifest: DataFrame, rows_each: int = ROWS) -> Dat
     return spark.read.format("positional_rows").option("files", json.dumps(files)).option("rows", rows_each).load()
 
 
+def digest_of(uri: str) -> tuple[int, str] | None:
+    """Length and digest of a file, read in pieces; none if there is no such file."""
+    store, path = place(uri)
+    if store.get_file_info(path).type != fs.FileType.File:
+        return None
+    digest, size = hashlib.sha256(), 0
+    with store.open_input_stream(path, compression=None) as f:
+        while piece := f.read(PIECE):
+            digest.update(piece)
+            size += len(piece)
+    return size, digest.hexdigest()
+
+
 def verified(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """The manifest with ``problem``: a file that is missing, or whose length or digest
     is another (null: none).  Files are read in pieces, each by one task."""
 
-    def state(uri: str) -> tuple[int, str] | None:
-        store, path = place(uri)
-        if store.get_file_info(path).type != fs.FileType.File:
-            return None
-        digest, size = hashlib.sha256(), 0
-        with store.open_input_stream(path, compression=None) as f:
-            while piece := f.read(PIECE):
-                digest.update(piece)
-                size += len(piece)
-        return size, digest.hexdigest()
-
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             problems = []
             for r in batch.to_pylist():
-                data, offsets = state(r["file"]), state(r["offsets"])
+                data, offsets = digest_of(r["file"]), digest_of(r["offsets"])
                 problems.append("missing" if data is None or offsets is None else "size" if (data[0], offsets[0]) != (r["bytes"], 8 * (r["rows"] + 1)) else "digest" if (data[1], offsets[1]) != (r["sha256"], r["offsets_sha256"]) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(problems, pa.string())], [*batch.schema.names, "problem"])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,7 +66,21 @@ def offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return local.join(F.broadcast(base), "__p", "left").select(id_col, (F.col("__o") + F.col("__s")).cast("bigint").alias("start"))
 
 
+#: Files up to so many bytes are digested from a row; larger ones are read in pieces.
+IN_A_ROW = 64 << 20
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and digest of every file below a folder."""
+    """path, length and digest of every file below a folder.  Large files are read in
+    pieces through Arrow's file systems, each by one task, in constant memory."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return read.select("path", "length", F.sha2("content", 256).alias("digest"))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sextant.sources.archives import digest_of
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest_of(uri)[1] for uri in batch.column(0).to_pylist()], pa.string())], ["path", "length", "digest"])
+
+    small = read.where(F.col("length") <= IN_A_ROW).select("path", "length", F.sha2("content", 256).alias("digest"))
+    large = read.where(F.col("length") > IN_A_ROW).select("path", "length").mapInArrow(go, "path string, length bigint, digest string")
+    return small.unionByName(large)

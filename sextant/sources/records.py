@@ -3,10 +3,6 @@ lines by position."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,27 +34,9 @@ def lines_of_archives(spark: SparkSession, path: str, member: str = ".jsonl") ->
     """archive, member, row, start, stop, line of the text members of tar archives
     (plain or compressed): an archive is read by one task, in a stream, as its
     format allows no other way."""
+    from sextant.sources.archives import lines
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("line", pa.string())])
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
-                    for info in archive:
-                        if not info.isfile() or not info.name.endswith(member):
-                            continue
-                        rows, at = [], 0
-                        for n, raw in enumerate(archive.extractfile(info)):
-                            rows.append((name, info.name, n, at, at + len(raw), raw.rstrip(b"\r\n").decode()))
-                            at += len(raw)
-                            if len(rows) == 4096:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                                rows = []
-                        if rows:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(go, "archive string, member string, row bigint, start bigint, stop bigint, line string")
+    return lines(spark, path, member)
 
 
 def positional(rows: DataFrame, order: str, line: str) -> DataFrame:
