@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import contains_phrase, normalize_phrase, passages_to_string, phrase_tokens
 from sextant.operators import batch as B
+from sextant.operators import encoder as X
 from sextant.operators import inverted_index as I
 from sextant.operators import retrieval as R
 from sextant.operators import vector_index as V
@@ -183,6 +184,39 @@ def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.join(index.reads(V.usable(asked, "query_id", "q", index.width).select(F.col("id").alias("query_id"), F.col("v").alias("q"))), "query_id", "left")
 
 
+def encoded_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k documents whose vectors are nearest to each item's, by the stored index."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    weights = X.rarity(docs)
+    path = V.build(X.encode(docs, weights, "doc_id"), scratch(spark, "text-index"), "id", "v")
+    asked = X.encode(items, weights, "item_id").withColumnsRenamed({"id": "query_id", "v": "q"})
+    return written(V.Index(spark, path).search(asked, k).withColumnRenamed("vec_id", "doc_id"), "encoded")
+
+
+@register("encoded_topk")
+def encoded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense search over texts; the vectors are tested against their definition."""
+    return encoded_top(spark, sf_dir, 10).select("query_id", "doc_id", "rank", "score")
+
+
+@register("hybrid_topk")
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by words and by vectors, joined by rank."""
+    words = bm25_top(spark, sf_dir, 20).where("rank <= 20").select("query_id", "doc_id", "rank")
+    return X.fused(10, words, encoded_top(spark, sf_dir, 20).select("query_id", "doc_id", "rank"))
+
+
+@register("encoded_recall")
+def encoded_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each item: whether dense and hybrid search find the best hit by words among
+    their ten."""
+    words = bm25_top(spark, sf_dir, 20).select("query_id", "doc_id", "rank")
+    dense = encoded_top(spark, sf_dir, 20).select("query_id", "doc_id", "rank")
+    best = words.where("rank = 1").select("query_id", "doc_id")
+    there = lambda hits, name: best.join(hits.where("rank <= 10").select("query_id", "doc_id", F.lit(True).alias(name)), ["query_id", "doc_id"], "left").select("query_id", F.coalesce(name, F.lit(False)).alias(name))
+    return there(dense, "dense").join(there(X.fused(10, words.where("rank <= 20"), dense), "hybrid"), "query_id")
+
+
 @register("l2_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))), 6) AS total FROM embeddings")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(R.l2_normalize(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
