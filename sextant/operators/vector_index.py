@@ -143,7 +143,7 @@ def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str
 
     coded = rows.mapInArrow(encode, "list int, id bigint, code binary")
     # Ranges of list and id: a list that has a third of all vectors is many ranges.
-    parts = max(1, min(n // 200_000 + 1, 4096))
+    parts = max(spark.sparkContext.defaultParallelism, min(n // 200_000, 4096))
     dealt = coded.repartitionByRange(parts, "list", "id").sortWithinPartitions("list", "id")
     dealt.mapInArrow(pack, "list int, n int, ids binary, codes binary").write.parquet(f"{path}/codes")
     counts = np.zeros(len(coarse), np.int64)
