@@ -24,6 +24,7 @@ import lzma
 import tarfile
 import uuid
 from collections.abc import Iterator, Sequence
+from fnmatch import fnmatchcase
 from typing import BinaryIO
 
 import numpy as np
@@ -53,13 +54,18 @@ def opened(uri: str) -> BinaryIO:
 
 
 def listed(uri: str) -> list[str]:
-    """Paths of a file, or of the files below a folder, as they can be opened."""
+    """Paths of a file, of the files below a folder, or of those that a pattern fits, as
+    they can be opened."""
     store, path = place(uri)
-    info = store.get_file_info(path)
     head = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
-    if info.type == fs.FileType.File:
+    if any(c in path for c in "*?["):
+        plain = path[: min(path.find(c) for c in "*?[" if c in path)].rpartition("/")[0]
+        found = store.get_file_info(fs.FileSelector(plain, recursive=True))
+        found = [f for f in found if f.path.count("/") == path.count("/") and fnmatchcase(f.path, path)]
+    elif store.get_file_info(path).type == fs.FileType.File:
         return [uri]
-    found = store.get_file_info(fs.FileSelector(path, recursive=True))
+    else:
+        found = store.get_file_info(fs.FileSelector(path, recursive=True))
     return sorted(head + f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
 
 
