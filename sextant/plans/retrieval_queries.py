@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,13 +61,8 @@ def inverted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("inverted_terms", f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def inverted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of each word, and how often it occurs, decoded from the blocks."""
-    blocks = word_index(spark, sf_dir).blocks().select("term", "n", "tf")
-
-    def go(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int(I.widened(x).sum()) for x in batch.column(2).to_pylist()], pa.int64())], ["term", "n", "tf"])
-
-    return blocks.mapInArrow(go, "term string, n int, tf bigint").groupBy("term").agg(F.sum("n").alias("df"), F.sum("tf").alias("tf"))
+    count = F.aggregate("tf", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return word_index(spark, sf_dir).blocks().groupBy("term").agg(F.sum("n").alias("df"), F.sum(count).alias("tf"))
 
 
 @register("inverted_skips")

@@ -52,13 +52,6 @@ def test_vector_index_of_nothing(spark):
         assert vector_index.Index(spark, path).search(asked, 3).collect() == []
 
 
-def test_numbers_in_few_bytes():
-    for top in (0, 1, 255, 256, 70_000, 1 << 40):
-        x = np.array([0, top, 3], np.int64)
-        assert (inverted_index.widened(inverted_index.narrow(x)) == x).all() and len(inverted_index.narrow(x)) == 1 + 3 * next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    assert len(inverted_index.widened(inverted_index.narrow(np.empty(0, np.int64)))) == 0
-
-
 def corpus(spark, n=900, seed=1):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(300)]
@@ -92,13 +85,25 @@ def test_blocks_hold_all_postings(spark):
     assert len({(b["term"], b["shard"]) for b in blocks}) == len(blocks)
     got = {}
     for b in blocks:
-        ids = (b["first"] + np.concatenate([[0], np.cumsum(inverted_index.widened(b["steps"]))])).tolist()
-        assert len(ids) == b["n"]
-        got.update({(b["term"], i): t for i, t in zip(ids, inverted_index.widened(b["tf"]).tolist(), strict=True)})
+        assert len(b["ids"]) == b["n"] and b["ids"] == sorted(b["ids"]) and b["most_tf"] == max(b["tf"]) and b["least_dl"] == min(b["dl"])
+        got.update({(b["term"], i): t for i, t in zip(b["ids"], b["tf"], strict=True)})
     want = {(r["term"], r["doc_id"]): r["tf"] for r in retrieval.postings(docs.where("doc_id IS NOT NULL")).collect()}
     assert got == want
 
 
+def test_a_document_of_many_rows_is_added_up(spark, monkeypatch):
+    monkeypatch.setattr(inverted_index, "HELD", 50)
+    import pyarrow as pa
+
+    held = inverted_index._Shard()
+    for i in range(200):
+        held.add(np.array([7, 7], np.int64), pa.array([["a", "b", f"w{i % 9}"], ["a"]]))
+        assert held.held <= 50 + 4
+    assert held.n == 1
+    blocks = {b["term"]: b for b in held.blocks(3).to_pylist()}
+    assert blocks["a"]["tf"] == [400] and blocks["b"]["tf"] == [200] and blocks["a"]["dl"] == [3] and blocks[None]["ids"] == [7] and len(blocks) == 12
+
+
 def test_inverted_index_of_nothing(spark):
     path = scratch(spark, "words")
     inverted_index.build(spark.createDataFrame([], "doc_id bigint, text string"), path)
