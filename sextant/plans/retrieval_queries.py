@@ -48,7 +48,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_index(spark: SparkSession, sf_dir: str) -> I.Index:
     """An inverted index of all documents, written and opened again."""
-    return I.Index(spark, I.build(table(spark, sf_dir, "documents"), scratch(spark, "word-index")))
+    return I.Index(spark, I.build(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark, "word-index")))
 
 
 @register("inverted_topk", f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM top WHERE rank <= 10")

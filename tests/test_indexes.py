@@ -60,7 +60,7 @@ def corpus(spark, n=900, seed=1):
     return spark.createDataFrame(rows, "doc_id bigint, text string, term string").repartition(3)
 
 
-def test_inverted_index_finds_what_bm25_finds(spark):
+def test_inverted_index_finds_what_bm25_finds(spark, monkeypatch):
     docs = corpus(spark)
     path = scratch(spark, "words")
     inverted_index.build(docs, path, shard=64)
@@ -72,6 +72,9 @@ def test_inverted_index_finds_what_bm25_finds(spark):
     assert key(got) == key(want)
     files = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in files  # the corpus itself is not read
+    with monkeypatch.context() as m:
+        m.setattr(inverted_index, "PAIRS", 3)  # blocks shuffled by shards
+        assert key(index.search(queries, 10)) == key(want)
     reads = {r["query_id"]: r for r in index.plan(queries, 10, first=1)[1].collect()}
     assert set(reads) == {0, 1, 2, 6, 7} and all(1 <= r["read"] <= r["shards"] for r in reads.values())
     assert sum(r["read"] for r in reads.values()) < sum(r["shards"] for r in reads.values())
