@@ -10,17 +10,23 @@ character at an end counts as cut."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IDS = "array<int>"
 SLICE = "struct<n_ids:int,n_text:int,boundary:string,text:string>"
 SHOWN = "struct<n_ids:int,cut:boolean,text:string>"
+OPENED = "struct<n:int,n_ids:int,cut:boolean,text:string>"
+#: Bytes of texts, or ids, that are Python's or the encoder's objects at a time; a row of
+#: more is a piece of its own.
+PIECE = 1 << 18
 
 
 def _byte_letters() -> dict[str, int]:
@@ -98,14 +104,32 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def by_pieces(f: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """``f`` over slices of the columns with at most ``PIECE`` bytes or ids in the first:
+    what is made of a batch grows with its result only."""
+    first = columns[0]
+    lengths = pc.list_value_length(first) if pa.types.is_list(first.type) or pa.types.is_large_list(first.type) else pc.binary_length(first)
+    ends = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < len(first) or not out:
+        before = ends[at - 1] if at else 0
+        stop = min(len(first), max(at + 1, int(np.searchsorted(ends, before + PIECE, "right"))))
+        out.append(f(*(c.slice(at, stop - at) for c in columns)))
+        at = stop
+    return pa.concat_arrays(out)
+
+
 def encoded(c: Column, path: str) -> Column:
     """Ids of texts, without special ones."""
 
-    @F.arrow_udf(IDS)
-    def f(texts: pa.Array) -> pa.Array:
+    def piece(texts: pa.Array) -> pa.Array:
         rows = texts.to_pylist()
         found = iter(vocabulary(path).encoder.encode_batch([x for x in rows if x is not None], add_special_tokens=False))
-        return pa.array([None if x is None else next(found).ids for x in rows], pa.list_(pa.int32()))
+        return pa.array([None if x is None else np.array(next(found).ids, np.int32) for x in rows], pa.list_(pa.int32()))
+
+    @F.arrow_udf(IDS)
+    def f(texts: pa.Array) -> pa.Array:
+        return by_pieces(piece, texts)
 
     return f(c)
 
@@ -113,22 +137,28 @@ def encoded(c: Column, path: str) -> Column:
 def byte_lengths(c: Column, path: str) -> Column:
     """Bytes of each id."""
 
-    @F.arrow_udf(IDS)
-    def f(ids: pa.Array) -> pa.Array:
+    def piece(ids: pa.Array) -> pa.Array:
         lengths = vocabulary(path).lengths
         return pa.array([None if x is None else lengths[x].tolist() if x else [] for x in ids.to_pylist()], pa.list_(pa.int32()))
 
+    @F.arrow_udf(IDS)
+    def f(ids: pa.Array) -> pa.Array:
+        return by_pieces(piece, ids)
+
     return f(c)
 
 
 def decoded(c: Column, path: str) -> Column:
     """Text of ids."""
 
-    @F.arrow_udf("string")
-    def f(ids: pa.Array) -> pa.Array:
+    def piece(ids: pa.Array) -> pa.Array:
         v = vocabulary(path)
         return pa.array([None if x is None else v.bytes_of(x).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
 
+    @F.arrow_udf("string")
+    def f(ids: pa.Array) -> pa.Array:
+        return by_pieces(piece, ids)
+
     return f(c)
 
 
@@ -136,23 +166,52 @@ def action_slices(c: Column, path: str, closers: tuple[str, ...], opened: str =
     """``SLICE`` of each sequence of sampled ids: see ``Vocabulary.slice``."""
     tags = {x.strip("</>"): x.encode() for x in closers}
 
-    @F.arrow_udf(SLICE)
-    def f(ids: pa.Array) -> pa.Array:
+    def piece(ids: pa.Array) -> pa.Array:
         v = vocabulary(path)
         rows = [None if x is None else dict(zip(("n_ids", "n_text", "boundary", "text"), v.slice(x, tags, opened.encode(), eos, pad), strict=True)) for x in ids.to_pylist()]
         return pa.array(rows, pa.struct([("n_ids", pa.int32()), ("n_text", pa.int32()), ("boundary", pa.string()), ("text", pa.string())]))
 
+    @F.arrow_udf(SLICE)
+    def f(ids: pa.Array) -> pa.Array:
+        return by_pieces(piece, ids)
+
     return f(c)
 
 
+_SHOWN = [("n_ids", pa.int32()), ("cut", pa.bool_()), ("text", pa.string())]
+
+
 def shown_within(c: Column, most: Column, path: str) -> Column:
     """``SHOWN`` of each sequence under a budget of ids: see ``Vocabulary.within``."""
 
-    @F.arrow_udf(SHOWN)
-    def f(ids: pa.Array, most: pa.Array) -> pa.Array:
+    def piece(ids: pa.Array, most: pa.Array) -> pa.Array:
         v = vocabulary(path)
         rows = [None if x is None else dict(zip(("n_ids", "cut", "text"), v.within(x, m or 0), strict=True)) for x, m in zip(ids.to_pylist(), most.to_pylist(), strict=True)]
-        return pa.array(rows, pa.struct([("n_ids", pa.int32()), ("cut", pa.bool_()), ("text", pa.string())]))
+        return pa.array(rows, pa.struct(_SHOWN))
+
+    @F.arrow_udf(SHOWN)
+    def f(ids: pa.Array, most: pa.Array) -> pa.Array:
+        return by_pieces(piece, ids, most)
+
+    return f(c, most)
+
+
+def encoded_within(c: Column, most: Column, path: str) -> Column:
+    """``OPENED`` of each text: how many ids it has, and what ``shown_within`` says of
+    them, by one function, so that ids stay in its worker."""
+
+    def piece(texts: pa.Array, most: pa.Array) -> pa.Array:
+        v, rows = vocabulary(path), texts.to_pylist()
+        found = iter(v.encoder.encode_batch([x for x in rows if x is not None], add_special_tokens=False))
+        out = []
+        for x, m in zip(rows, most.to_pylist(), strict=True):
+            ids = None if x is None else next(found).ids
+            out.append(None if ids is None else dict(zip(("n", "n_ids", "cut", "text"), (len(ids), *v.within(ids, m or 0)), strict=True)))
+        return pa.array(out, pa.struct([("n", pa.int32()), *_SHOWN]))
+
+    @F.arrow_udf(OPENED)
+    def f(texts: pa.Array, most: pa.Array) -> pa.Array:
+        return by_pieces(piece, texts, most)
 
     return f(c, most)
 

@@ -475,9 +475,9 @@ def token_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("token_window")
 def token_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 384 ids of each observation that end with a whole character."""
-    ids = N.encoded(F.col("text"), _vocabulary())
-    shown = N.shown_within(F.col("ids"), F.lit(384), _vocabulary())
-    return table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").alias("n"), shown.alias("s")).select("doc_id", "n", "s.n_ids", "s.cut", F.length("s.text").alias("visible"))
+    shown = N.encoded_within(F.col("text"), F.lit(384), _vocabulary())
+    found = table(spark, sf_dir, "documents").select("doc_id", shown.alias("s"))
+    return found.select("doc_id", F.coalesce("s.n", F.size(F.lit(None).cast(N.IDS))).alias("n"), "s.n_ids", "s.cut", F.length("s.text").alias("visible"))
 
 
 @register("token_batch", "SELECT conv_id, turn, 64 AS width, true AS together FROM conversations")

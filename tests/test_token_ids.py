@@ -94,3 +94,28 @@ def test_padding(spark):
     assert right == [([5, 6, 7, 0], [1, 1, 1, 0], [0, 1, 2, 2]), ([0] * 4, [0] * 4, [0] * 4), ([1, 2, 3, 4], [1] * 4, [0, 1, 2, 3])]
     left = [tuple(r[0]) for r in d.select(token_ids.padded(F.col("ids"), F.lit(4), 0, left=True)).collect()]
     assert left == [([0, 5, 6, 7], [0, 1, 1, 1], [0, 0, 1, 2]), ([0] * 4, [0] * 4, [0] * 4), ([3, 4, 5, 6], [1] * 4, [0, 1, 2, 3])]
+
+
+def test_batches_are_encoded_in_pieces(vocabulary, monkeypatch):
+    """No piece has more bytes than ``PIECE`` unless it is one row; rows keep their order."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_ids, "PIECE", 40)
+    column = pa.array([*texts()[:80], None, "x" * 90, None, ""])
+    seen = []
+
+    def piece(x):
+        seen.append((len(x), sum(len((t or "").encode()) for t in x.to_pylist())))
+        return x
+
+    assert token_ids.by_pieces(piece, column).to_pylist() == column.to_pylist()
+    assert len(seen) > 20 and all(rows == 1 or n <= 40 for rows, n in seen)
+    assert token_ids.by_pieces(lambda x: x, column.slice(5, 7)).to_pylist() == column.slice(5, 7).to_pylist()
+    assert token_ids.by_pieces(lambda x: x, column.slice(0, 0)).to_pylist() == []
+
+
+def test_encoding_with_a_budget_equals_its_two_steps(spark):
+    rows = [(i, t) for i, t in enumerate(texts()[:60])] + [(-1, None)]
+    d = spark.createDataFrame(rows, "i int, t string").withColumn("ids", token_ids.encoded(F.col("t"), PATH))
+    for r in d.select("ids", token_ids.encoded_within(F.col("t"), F.col("i") % 7, PATH).alias("a"), token_ids.shown_within(F.col("ids"), F.col("i") % 7, PATH).alias("b")).collect():
+        assert (r.a, r.b) == (None, None) if r.ids is None else tuple(r.a) == (len(r.ids), *r.b)
