@@ -119,12 +119,10 @@ def retrieve_without_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("retriever_by_name", "SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.label = q.label")
 def retriever_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense search looked up by its name, cut to neighbours of the same label."""
+    """The dense search looked up by its name, among neighbours of the same label."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scores = P.retriever("dense")(queries, vectors.drop("label"))
-    own = vectors.select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
-    return scores.join(vectors.select("vec_id", "label"), "vec_id").join(R.sized(own.where("query_id % 20 = 0")), "query_id").where("l = label").select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    return P.retriever("dense")(queries, vectors, within="label").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @register("worker_apply", "SELECT event_id, user_id * 2 + 1 AS x FROM events")
