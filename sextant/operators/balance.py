@@ -47,12 +47,20 @@ def greedy(lengths: list[int], k: int) -> list[list[int]]:
 
 def partition(df: DataFrame, k: int, equal_size: bool = True, method: str = "differencing") -> DataFrame:
     """batch, idx, part for rows of (batch, idx, seqlen); a batch is what one step
-    takes, so it fits in a task."""
+    takes, so it fits in a task.  Null lengths count as 0.  A batch whose rows do not
+    make ``k`` parts of equal size, such as a last one, is filled up by places of
+    length 0, so that the parts' sizes differ by no more than those places; with fewer
+    rows than ``k`` some parts are empty."""
 
     def go(group: pa.Table) -> pa.Table:
         group = group.sort_by("idx")
         idx, lengths = group["idx"].to_pylist(), group["seqlen"].to_pylist()
-        parts = differencing(lengths, k, equal_size) if method == "differencing" else greedy(lengths, k)
+        known = [n or 0 for n in lengths]
+        if method == "differencing":
+            fill = -len(known) % k if equal_size else max(0, k - len(known))
+            parts = differencing(known + [0] * fill, k, equal_size)
+        else:
+            parts = greedy(known, k)
         of = {i: p for p, ids in enumerate(parts) for i in ids}
         return pa.table({"batch": pa.array(group["batch"].to_pylist(), pa.int64()), "idx": pa.array(idx, pa.int64()), "seqlen": pa.array(lengths, pa.int64()), "part": pa.array([of[i] for i in range(len(idx))], pa.int32())})
 

@@ -86,3 +86,20 @@ def test_digests_of_large_files(spark, tmp_path):
     got = {os.path.basename(r["path"]): (r["length"], r["digest"]) for r in corpus.files(spark, str(tmp_path)).collect()}
     assert got == {"small": (3, hashlib.sha256(b"abc").hexdigest()), "large": ((2 << 30) + 5, want.hexdigest())}
     assert archives.digest_of(str(tmp_path / "none")) is None
+
+
+def test_batches_that_do_not_make_equal_parts(spark):
+    """A last batch of 2, of 10 and of 41 rows, and one whose lengths are null."""
+    rows = [(b, i, None if b == 4 else (i * 37) % 23 + 1) for b, n in enumerate((2, 10, 41, 40, 5)) for i in range(n)]
+    d = spark.createDataFrame(rows, "batch bigint, idx bigint, seqlen bigint")
+    for equal in (True, False):
+        parts = {}
+        got = balance.partition(d, 4, equal).collect()
+        for r in got:
+            parts.setdefault(r.batch, {}).setdefault(r.part, []).append(r.seqlen or 0)
+        assert sorted((r.batch, r.idx, r.seqlen) for r in got if r.batch != 4) == [r for r in rows if r[0] != 4] and len(got) == len(rows)
+        for batch, n in enumerate((2, 10, 41, 40, 5)):
+            sizes = [len(parts[batch].get(p, [])) for p in range(4)]
+            assert not equal or (sum(sizes) == n and max(sizes) == -(-n // 4) and (n != 40 or min(sizes) == 10))
+        sums = [sum(parts[3].get(p, [])) for p in range(4)]
+        assert max(sums) - min(sums) <= 23
