@@ -24,15 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.operators.retrieval import dot, sized, top_k
+from sextant.operators.retrieval import Kept, dot, meet, sized, top_k
 from sextant.session import written
 
 #: Training rows for each centre, rounds, most centres, and their number by the number of vectors.
 SAMPLE, ROUNDS, MOST_LISTS, LISTS_BY_ROOT = 64, 6, 16_384, 4.0
 #: Coordinates that share a byte, values of it, vectors of a block at most.
 GROUP, CODES, BLOCK = 4, 256, 4096
-#: Queries that meet a block together; share of all codes a query reads at most; candidates scored exactly.
-QUERIES, SHARE, SHORTLIST = 64, 0.45, 100
+#: Share of all codes a query reads at most; candidates scored exactly.
+SHARE, SHORTLIST = 0.45, 100
+#: Rows that meet all centres at a time; numbers of the tables of queries that meet the
+#: codes together, and bytes of the codes they meet in one task.
+PIECE, TABLES, PART_BYTES = 512, 4 << 20, 256 << 20
 
 #: Stands for a null id in blocks.
 NO_ID = -(1 << 63)
@@ -51,8 +54,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The nearest centre of each row."""
-    return ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+    """The nearest centre of each row; ``PIECE`` rows meet all centres at a time."""
+    square = (centres**2).sum(1)
+    return np.concatenate([np.empty(0, np.int64), *((square - 2 * x[at : at + PIECE] @ centres.T).argmin(1) for at in range(0, len(x), PIECE))])
 
 
 def _grouped(x: np.ndarray, groups: int) -> np.ndarray:
@@ -61,32 +65,48 @@ def _grouped(x: np.ndarray, groups: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), groups, -1)
 
 
-def lloyd(rows: DataFrame, centres: np.ndarray, groups: int, coarse: np.ndarray | None, rounds: int) -> np.ndarray:
-    """Rounds of moving centres to the means of the rows nearest to them, for each
-    group of coordinates by itself; ``centres`` is (group, centre, coordinate).  With
-    ``coarse`` centres rows are what these leave of them."""
+def _sum(g: int, c: int, n: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([c], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["g", "c", "n", "total"])
+
+
+def lloyd(rows: DataFrame, centres: np.ndarray, groups: int, rounds: int) -> np.ndarray:
+    """Rounds of moving centres to the means of the rows (v) nearest to them, for each
+    group of coordinates by itself; ``centres`` is (group, centre, coordinate).  A task
+    adds up what it sees of each centre; sums move packed, a row for each centre."""
     for _ in range(rounds):
-        box = rows.sparkSession.sparkContext.broadcast((centres, coarse))  # bounded by the numbers of centres
+        box = rows.sparkSession.sparkContext.broadcast(centres)  # bounded by the numbers of centres
 
-        def go(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:
-            now, coarse = box.value
+        def add(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:
+            now = box.value
+            total, n = np.zeros(now.shape), np.zeros(now.shape[:2], np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, PIECE):
+                    v = batch.column(0).slice(at, PIECE)
+                    parts = _grouped(_matrix(v, len(v[0])).astype(np.float64), groups)
+                    for g in range(groups):
+                        of = nearest(parts[:, g], now[g])
+                        order = np.argsort(of, kind="stable")
+                        own, first = np.unique(of[order], return_index=True)
+                        total[g, own] += np.add.reduceat(parts[order, g], first)
+                        n[g, own] += np.diff(np.append(first, len(of)))
+            for g, c in zip(*np.nonzero(n), strict=True):
+                yield _sum(g, c, n[g, c], total[g, c])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], list] = {}
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = batch.column(0)
-                x = _matrix(v, len(v[0])).astype(np.float64)
-                parts = _grouped(x if coarse is None else x - coarse[nearest(x, coarse)], groups)
-                for g in range(groups):
-                    of = nearest(parts[:, g], now[g])
-                    for c in np.unique(of).tolist():
-                        mine = parts[of == c, g]
-                        yield pa.RecordBatch.from_pydict({"g": [g], "c": [c], "n": [len(mine)], "total": [mine.sum(0)]}, pa.schema([("g", pa.int32()), ("c", pa.int32()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))]))
-
-        sums = rows.select("v").mapInArrow(go, "g int, c int, n bigint, total array<double>")
-        means = sums.select("g", "c", "n", F.posexplode("total").alias("i", "x")).groupBy("g", "c", "i").agg((F.sum("x") / F.sum("n")).alias("mean"))
+                for g, c, n, total in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    of = sums.setdefault((g, c), [0, 0.0])
+                    of[0] += n
+                    of[1] = of[1] + np.frombuffer(total)
+            for (g, c), (n, total) in sums.items():
+                yield _sum(g, c, n, total)
+
+        schema = "g int, c int, n bigint, total binary"
         moved = centres.copy()
-        for r in means.collect():  # as many numbers as the centres have
-            moved[r.g, r.c, r.i] = r["mean"]
+        sums = rows.select("v").mapInArrow(add, schema).repartition("g", "c").mapInArrow(merge, schema).toArrow()  # a packed row for each centre
+        for g, c, n, total in zip(*(x.to_pylist() for x in sums.columns), strict=True):
+            moved[g, c] = np.frombuffer(total) / n
         box.unpersist()
         if np.allclose(moved, centres):
             break
@@ -106,12 +126,20 @@ def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str
     groups = max(1, -(-size // GROUP))
     draw = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) / float(1 << 30)
     learn = written(rows.where(draw < min(1.0, 2 * SAMPLE * max(lists, CODES) / max(n, 1))).dropDuplicates(["v"]).select("v"), "learn")
-    seeds = [r.v for r in learn.orderBy(F.xxhash64("v", F.lit(5))).limit(max(lists, CODES)).collect()]  # no more than there are centres
-    if seeds:
-        seeds = np.array(seeds, np.float64)
-        coarse = lloyd(learn, seeds[None, :lists], 1, None, rounds)[0]
+    seeds = learn.orderBy(F.xxhash64("v", F.lit(5))).limit(max(lists, CODES)).toArrow()["v"].combine_chunks()  # no more than there are centres
+    if len(seeds):
+        seeds = _matrix(seeds, size).astype(np.float64)
+        coarse = lloyd(learn, seeds[None, :lists], 1, rounds)[0]
+        centres = spark.sparkContext.broadcast(coarse)
+
+        def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _matrix(batch.column(0), size).astype(np.float64)
+                x -= centres.value[nearest(x, centres.value)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, size), pa.int32()), pa.array(x.ravel()))], ["v"])
+
         left = _grouped(seeds - coarse[nearest(seeds, coarse)], groups).transpose(1, 0, 2)[:, :CODES]
-        books = lloyd(learn, left, groups, coarse, rounds)
+        books = lloyd(written(learn.mapInArrow(leave, "v array<double>"), "left"), left, groups, rounds)
     else:
         coarse, books = np.zeros((1, 1)), np.zeros((1, 1, 1))
     box = spark.sparkContext.broadcast((coarse, books))
@@ -175,72 +203,87 @@ class Index:
     def _per_group(r) -> int:
         return -(-r.width // r.groups)
 
-    def probes(self, queries: DataFrame, share: float = SHARE) -> DataFrame:
-        """(query_id, q, list, base) for the lists that a query reads, best first, as
+    def _read(self, score: np.ndarray, share: float) -> list[np.ndarray]:
+        """For each row of scores of centres the lists that a query reads, best first, as
         long as they hold no more than ``share`` of all codes (one at least)."""
-        box = self.spark.sparkContext.broadcast((self.coarse, self.sizes))
-        most = share * self.n
-
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coarse, sizes = box.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                score = _matrix(batch.column(1), coarse.shape[1]).astype(np.float64) @ coarse.T
-                order = np.argsort(-score, 1, kind="stable")
-                for i, lists in enumerate(order):
-                    some = lists[: max(1, int(np.searchsorted(np.cumsum(sizes[lists]), most, "right")))]
-                    some = some[sizes[some] > 0]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(some), pa.int64())), batch.column(1).take(pa.array([i] * len(some), pa.int64())), pa.array(some.astype(np.int32)), pa.array(score[i, some])], ["query_id", "q", "list", "base"])
-
-        return queries.mapInArrow(go, "query_id bigint, q array<float>, list int, base double")
-
-    def candidates(self, probes: DataFrame, shortlist: int = SHORTLIST) -> DataFrame:
-        """(query_id, id) of the best ``shortlist`` of each query by codes.  A task keeps
-        the best of what it sees of each query, so that few rows move."""
-        box = self.spark.sparkContext.broadcast(self.books)
+        out = []
+        for lists in np.argsort(-score, 1, kind="stable"):
+            some = lists[: max(1, int(np.searchsorted(np.cumsum(self.sizes[lists]), share * self.n, "right")))]
+            out.append(some[self.sizes[some] > 0])
+        return out
+
+    def candidates(self, queries: DataFrame, share: float = SHARE, shortlist: int = SHORTLIST) -> DataFrame:
+        """(query_id, id) of the best ``shortlist`` of each query (query_id, q) by codes.
+        Groups of queries meet the blocks of codes, each in some tasks; a task holds a
+        group with its tables, lets the blocks pass and hands on the best it saw."""
+        chunk = max(1, TABLES // (len(self.books) * self.books.shape[1]))
+        many = max(1, -(-queries.count() // chunk))
+        codes = self.spark.read.parquet(f"{self.path}/codes")
+        parts = max(1, min(-(-self.n // PIECE), -(-4 * self.spark.sparkContext.defaultParallelism // many)), -(-self.n * (8 + len(self.books)) // PART_BYTES))
+        box = self.spark.sparkContext.broadcast((self.coarse, self.sizes, self.books, self.n))  # as large as the model
+
+        class Group:
+            def __init__(self, batch: pa.RecordBatch) -> None:
+                coarse, sizes, books, n = box.value
+                index = Index.__new__(Index)
+                index.sizes, index.n = sizes, n
+                self.ids, q = batch.column("query_id"), _matrix(batch.column("q"), coarse.shape[1]).astype(np.float64)
+                self.base = q @ coarse.T
+                self.reads = np.zeros(self.base.shape, bool)
+                for i, lists in enumerate(index._read(self.base, share)):
+                    self.reads[i, lists] = True
+                self.tables = np.ascontiguousarray(np.einsum("qgd,gcd->gcq", _grouped(q, len(books)), books))
+                self.kept = Kept(len(q), shortlist)
+
+            def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+                for of, ids, codes in zip(batch.column("list"), batch.column("ids"), batch.column("codes"), strict=True):
+                    asked = np.flatnonzero(self.reads[:, of.as_py()])
+                    if not len(asked):
+                        continue
+                    ids = np.frombuffer(ids.as_buffer(), np.int64)
+                    codes = np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(ids), -1)
+                    base, whole = self.base[:, of.as_py()], 4 * len(asked) >= len(self.ids)
+                    if whole:  # whole rows of the tables are faster to read than most of them
+                        base, asked = np.where(self.reads[:, of.as_py()], base, -np.inf), np.arange(len(self.ids))
+                    for at in range(0, len(ids), PIECE):
+                        some = codes[at : at + PIECE]
+                        score = np.broadcast_to(base[asked], (len(some), len(asked))).copy()
+                        for g, table in enumerate(self.tables):
+                            score += table[some[:, g]] if whole else table[some[:, g, None], asked]
+                        i, j = np.nonzero((score >= self.kept.least[asked]) & (score > -np.inf))
+                        self.kept.add(asked[j], ids[at + i], score[i, j], score[i, j])
+                return iter(())
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            books, best = box.value, {}
-
-            def cut(query: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-                ids, scores = (np.concatenate(x) for x in zip(*best[query], strict=True))
-                if len(ids) > most:
-                    order = np.lexsort((ids, -scores))[:shortlist]
-                    ids, scores = ids[order], scores[order]
-                    best[query] = [(ids, scores)]
-                return ids, scores
+            yield from meet(batches, Group, Group.take, lambda now: iter([now.kept.rows(now.ids, ["query_id", "id", "score"])]))
 
-            for batch in batches:
-                for row in batch.to_pylist():
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                    q = _grouped(np.array([x["q"] for x in row["qs"]], np.float64), len(books))
-                    tables = np.einsum("qgd,gcd->qgc", q, books)
-                    scores = sum(tables[:, g, codes[:, g]] for g in range(len(books))) + np.array([x["base"] for x in row["qs"]])[:, None]
-                    for x, s in zip(row["qs"], scores, strict=True):
-                        best.setdefault(x["query_id"], []).append((ids, s))
-                        if sum(len(i) for i, _ in best[x["query_id"]]) > 8 * shortlist + BLOCK:
-                            cut(x["query_id"], shortlist)
-            for query in list(best):
-                ids, scores = cut(query, shortlist)
-                yield pa.RecordBatch.from_arrays([pa.array([query] * len(ids), pa.int64()), pa.array(ids), pa.array(scores)], ["query_id", "id", "score"])
-
-        chunk = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-probes.select("query_id").distinct().count() // QUERIES))))
-        asked = probes.groupBy("list", chunk.alias("chunk")).agg(F.collect_list(F.struct("query_id", "q", "base")).alias("qs"))
-        codes = self.spark.read.parquet(f"{self.path}/codes")
-        met = codes.join(sized(asked.select("list", "qs"), 2000), "list").select("ids", "codes", "qs")
+        copies = lambda df, n: df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        asked = copies(queries, parts).select((F.pmod(F.xxhash64("query_id"), F.lit(many)) * parts + F.col("copy")).alias("block"), F.lit(0).alias("side"), "query_id", "q", nothing("int", "list"), nothing("binary", "ids"), nothing("binary", "codes"))
+        read = copies(codes, many).select((F.pmod(F.xxhash64("list", "ids"), F.lit(parts)) + parts * F.col("copy")).alias("block"), F.lit(1).alias("side"), nothing("bigint", "query_id"), nothing("array<float>", "q"), "list", "ids", "codes")
+        met = asked.unionByName(read).repartition(many * parts, "block").sortWithinPartitions("block", "side")
         return top_k(met.mapInArrow(go, "query_id bigint, id bigint, score double"), shortlist, "id", digits=12).select("query_id", "id")
 
     def search(self, queries: DataFrame, k: int, share: float = SHARE, shortlist: int = SHORTLIST, id_col: str = "query_id", vector_col: str = "q") -> DataFrame:
         """query_id, vec_id, score, rank: the best ``k`` of each query, scores exact."""
         asked = written(usable(queries, id_col, vector_col, self.width or 1).select(F.col("id").alias("query_id"), F.col("v").alias("q")), "asked")
-        near = self.candidates(written(self.probes(asked, share), "probes"), max(k, shortlist))
+        near = written(self.candidates(asked, share, max(k, shortlist)), "near")
         vectors = self.spark.read.parquet(f"{self.path}/vectors").withColumn("id", F.coalesce("id", F.lit(NO_ID)))
         exact = vectors.join(sized(near), "id").join(sized(asked), "query_id").select("query_id", F.nullif("id", F.lit(NO_ID)).alias("vec_id"), dot(F.col("q"), F.col("v")).alias("score"))
         return top_k(exact, k, "vec_id")
 
     def reads(self, queries: DataFrame, share: float = SHARE) -> DataFrame:
-        """(query_id, share_read): what part of all codes each query reads."""
-        sizes = self.spark.createDataFrame([(i, int(s)) for i, s in enumerate(self.sizes)], "list int, n bigint")
-        return self.probes(queries, share).select("query_id", "list").join(F.broadcast(sizes), "list").groupBy("query_id").agg((F.sum("n") / max(self.n, 1)).alias("share_read"))
+        """(query_id, share_read): what part of all codes each query (query_id, q) reads."""
+        box = self.spark.sparkContext.broadcast((self.coarse, self.sizes, self.n))
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coarse, sizes, n = box.value
+            index = Index.__new__(Index)
+            index.sizes, index.n = sizes, n
+            for batch in batches:
+                for at in range(0, batch.num_rows, PIECE):
+                    part = batch.slice(at, PIECE)
+                    lists = index._read(_matrix(part.column("q"), coarse.shape[1]).astype(np.float64) @ coarse.T, share)
+                    yield pa.RecordBatch.from_arrays([part.column("query_id"), pa.array([int(sizes[x].sum()) / max(n, 1) for x in lists], pa.float64())], ["query_id", "share_read"])
+
+        return queries.select("query_id", "q").mapInArrow(go, "query_id bigint, share_read double")
