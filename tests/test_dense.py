@@ -53,3 +53,18 @@ def test_rounding_is_that_of_spark(spark):
     df = spark.createDataFrame([(i, float(a)) for i, a in enumerate(x)], "i int, x double").select("i", F.round("x", 6).alias("r"))
     want = np.array([r.r for r in df.orderBy("i").collect()])
     assert (retrieval.rounded(x) == want).all()
+
+
+def test_words_in_blocks_find_what_all_pairs_find(spark, monkeypatch):
+    """Ties, copies, repeated and null ids, empty texts, queries of one word and of many."""
+    monkeypatch.setattr(retrieval, "TILE", 300)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(i)}" for i in rng.zipf(1.5, rng.integers(0, 30)) if i < 50) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts), *((1000 + i, "w1 w2 same text") for i in range(90)), (5, "w1 w3"), (None, "w1 w2 w2"), (2000, None), (2001, "")], "doc_id bigint, text string").repartition(3)
+    asked = [*(f"w{i} w{j}" for i in range(1, 6) for j in range(1, 9)), "w1", "same", "w1 w1 w2 w3 w4 w5 w6 w7", "nowhere", "", None]
+    queries = spark.createDataFrame([((i, i % 3), t) for i, t in enumerate(asked)], "query_id struct<id:int,turn:int>, text string")
+    key = lambda d: sorted((tuple(r.query_id), r["rank"], -1 if r.doc_id is None else r.doc_id, round(r.score, 5)) for r in d.collect())
+    for k in (1, 10, 600):
+        assert key(retrieval.bm25_top(queries, docs, k)) == key(retrieval.top_k(retrieval.bm25(queries, docs), k, "doc_id"))
+    moved = retrieval.bm25_top(queries, docs, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in moved
