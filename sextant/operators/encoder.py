@@ -43,8 +43,8 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     rows = docs.where(F.col(text_col).isNotNull()).select(F.array_distinct(F.transform(features(F.col(text_col)), bucket)).alias("b"))
     n = rows.count()
     out = np.zeros(BUCKETS)
-    for r in rows.select(F.explode("b").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():  # BUCKETS rows at most
-        out[r.b] = r.n
+    counts = rows.select(F.explode("b").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).toArrow()  # BUCKETS rows at most
+    out[counts["b"].to_numpy()] = counts["n"].to_numpy()
     return np.log(1 + max(n, 1) / (1 + out))
 
 
