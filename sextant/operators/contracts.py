@@ -129,8 +129,9 @@ def first_action(pieces: Column, closers: tuple[str, ...]) -> Column:
     text = F.array_join(pieces, "")
     ends = [F.when(F.instr(text, c) > 0, F.instr(text, c) + len(c) - 1) for c in closers]
     end = F.least(*ends) if len(ends) > 1 else ends[0]
-    step = lambda acc, p: F.struct((acc["n"] + F.when(acc["at"] < end, 1).otherwise(0)).alias("n"), (acc["at"] + F.length(p)).alias("at"))
-    return F.when(end.isNotNull(), F.aggregate(pieces, F.struct(F.lit(0).alias("n"), F.lit(0).alias("at")), step, lambda acc: acc["n"]))
+    # The end travels with the sums: what a lambda refers to is worked out again for each piece.
+    step = lambda acc, p: F.struct((acc["n"] + F.when(acc["at"] < acc["end"], 1).otherwise(0)).alias("n"), (acc["at"] + F.length(p)).alias("at"), acc["end"].alias("end"))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), end.alias("end")), step, lambda acc: F.when(acc["end"].isNotNull(), acc["n"]))
 
 
 def stop_at(text: Column, stops: tuple[str, ...]) -> Column:

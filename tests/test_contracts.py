@@ -208,6 +208,13 @@ def test_first_action_and_stops(spark):
     assert [r[0] for r in text.select(contracts.stop_at(F.col("t"), ("</x>", "</y>"))).collect()] == ["a</x>", "a</y>", "none"]
 
 
+def test_first_action_looks_for_its_end_once(spark):
+    rows = spark.range(1).select(F.concat(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.lit("word ")), F.array(F.lit("</x>"), F.lit("tail"))).alias("p"))
+    found = rows.select(contracts.first_action(F.col("p"), ("</x>", "</y>")).alias("n"))
+    assert found.collect()[0]["n"] == 20_001
+    assert found._jdf.queryExecution().analyzed().toString().lower().count("instr(") == 4  # two for each closer, none within the lambda
+
+
 def test_tests_run_on_one_machine(spark):
     assert one_machine(spark)
 
