@@ -30,12 +30,15 @@ from typing import BinaryIO
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: Lines and bytes of a batch at most, bytes read at once, rows of a partition.
 LINES, BYTES, PIECE, ROWS = 4096, 4 << 20, 1 << 20, 100_000
+#: Bytes of lines that a task compresses at a time, about.
+PIECE_BYTES = 64 << 20
 _LINES = pa.schema([("archive", pa.string()), ("member", pa.string()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("line", pa.string())])
 _ROWS = pa.schema([("file", pa.string()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("line", pa.string())])
 MANIFEST = "archive string, member string, file string, offsets string, rows bigint, bytes bigint, sha256 string, offsets_sha256 string"
@@ -309,37 +312,59 @@ def verified(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return manifest.repartition(n, "file").mapInArrow(go, MANIFEST + ", problem string")
 
 
-def write_archives(docs: DataFrame, path: str, key: str, order: str, line: str) -> None:
+def write_archives(docs: DataFrame, path: str, key: str, order: str, line: str, piece: int = PIECE_BYTES) -> None:
     """Write ``line`` of each row, in ``order``, to a compressed tar archive for each
-    value of ``key`` (few values: one file each), in streams."""
-    lengths = {r.k: r.n for r in docs.groupBy(F.col(key).alias("k")).agg(F.sum(F.octet_length(line) + 1).alias("n")).collect()}  # a row for each archive
+    value of ``key`` (few values: one file each), in streams.
+
+    Tasks compress ranges of rows of about ``piece`` bytes, each as a gzip member of its
+    own; one task for each archive then strings compressed pieces together, and no row
+    moves to it."""
+    spark = docs.sparkSession
+    lines = docs.select(F.col(key).alias("k"), F.col(line).alias("line"), F.col(order).alias("o"))
+    lengths = {r.k: r.n for r in lines.groupBy("k").agg(F.sum(F.octet_length("line") + 1).alias("n")).collect()}  # a row for each archive
+    parts = max(1, len(lengths), min(65_536, sum(n or 0 for n in lengths.values()) // piece))
     store, top = place(path)
     store.create_dir(top, recursive=True)
+    aside = f"{path.rstrip('/')}-pieces"
+    store.create_dir(place(aside)[1], recursive=True)
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = place(path)
-        now, closing = None, []
-
-        def close() -> None:
-            for c in closing:
-                c()
-            closing.clear()
-
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = place(aside)
+        part, now, raw, packed = TaskContext.get().partitionId(), None, None, None
         for batch in batches:
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if k != now:
-                    close()
-                    now = k
-                    raw = store.open_output_stream(f"{top}/part-{k}.tar.gz", compression=None)
+                if packed is None or k != now:
+                    if packed is not None:
+                        packed.close()
+                        raw.close()
+                    now, name = k, f"{uuid.uuid4().hex}.gz"  # an attempt that failed leaves a file nobody names
+                    raw = store.open_output_stream(f"{top}/{name}", compression=None)
                     packed = gzip.GzipFile(fileobj=raw, mode="wb", mtime=0, compresslevel=1)
-                    info = tarfile.TarInfo(f"part-{k}.jsonl")
-                    info.size = lengths[k]
-                    packed.write(info.tobuf(tarfile.GNU_FORMAT))
-                    fill = -info.size % tarfile.BLOCKSIZE
-                    closing += [lambda p=packed, fill=fill: p.write(bytes(fill + 2 * tarfile.BLOCKSIZE)), packed.close, raw.close]
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "part": pa.array([part], pa.int32()), "name": [name]})
                 packed.write(text.encode() + b"\n")
-        close()
+        if packed is not None:
+            packed.close()
+            raw.close()
+
+    dealt = lines.withColumn("k", F.col("k").cast("bigint")).repartitionByRange(parts, "k", "o").sortWithinPartitions("k", "o")
+    dealt.select("k", "line").mapInArrow(compress, "k bigint, part int, name string").write.parquet(f"{aside}/names")
+    pieces = spark.read.schema("k bigint, part int, name string").parquet(f"{aside}/names")
+    named = pieces.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "name"))), lambda x: x["name"]).alias("names"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (store, top), (_, of) = place(path), place(aside)
+        for batch in batches:
+            for k, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                info = tarfile.TarInfo(f"part-{k}.jsonl")
+                info.size = lengths[k]
+                with store.open_output_stream(f"{top}/part-{k}.tar.gz", compression=None) as out:
+                    out.write(gzip.compress(info.tobuf(tarfile.GNU_FORMAT), 1, mtime=0))
+                    for name in names:
+                        with store.open_input_stream(f"{of}/{name}", compression=None) as packed:
+                            while some := packed.read(PIECE):
+                                out.write(some)
+                    out.write(gzip.compress(bytes(-info.size % tarfile.BLOCKSIZE + 2 * tarfile.BLOCKSIZE), 1, mtime=0))
         yield from ()
 
-    dealt = docs.select(F.col(key).alias("k"), F.col(line).alias("line"), F.col(order).alias("o")).repartition(max(1, len(lengths)), "k").sortWithinPartitions("k", "o")
-    dealt.select("k", "line").mapInArrow(go, "k bigint").write.format("noop").mode("overwrite").save()
+    named.repartition(max(1, len(lengths)), "k").mapInArrow(join, "k bigint").write.format("noop").mode("overwrite").save()
+    store.delete_dir(place(aside)[1])

@@ -80,6 +80,19 @@ def test_archives_of_nothing(spark, tmp_path):
     assert manifest.count() == 0 and archives.rows(spark, manifest).count() == 0
 
 
+def test_archives_are_compressed_in_pieces(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("id AS o", "id % 2 AS k", "CAST(id AS string) || ' ' || repeat('é', CAST(id % 50 AS int)) AS line").repartition(3)
+    archives.write_archives(docs, f"file://{tmp_path}/a", "k", "o", "line", piece=20_000)
+    assert sorted(os.listdir(tmp_path)) == ["a"] and sorted(os.listdir(tmp_path / "a")) == ["part-0.tar.gz", "part-1.tar.gz"]
+    for k in (0, 1):
+        want = "".join(f"{i} {'é' * (i % 50)}\n" for i in range(k, 4000, 2)).encode()
+        with tarfile.open(tmp_path / "a" / f"part-{k}.tar.gz") as archive:
+            assert archive.getnames() == [f"part-{k}.jsonl"] and archive.extractfile(f"part-{k}.jsonl").read() == want
+        raw = (tmp_path / "a" / f"part-{k}.tar.gz").read_bytes()
+        assert raw.count(b"\x1f\x8b\x08\x00\x00\x00\x00\x00") > 3  # gzip members: no task had all rows of an archive
+    assert archives.lines(spark, f"file://{tmp_path}/a").count() == 4000
+
+
 class Long(io.RawIOBase):
     """A file of equal lines that are made as they are read."""
 
