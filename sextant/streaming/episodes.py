@@ -43,44 +43,58 @@ class Episodes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "turn bigint", "action string, content string")
-        self.at = handle.getValueState("at", "next bigint, steps int, ended boolean, timer bigint")
+        self.at = handle.getValueState("at", "next bigint, steps int, ended boolean, timer bigint, held int")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        due, steps, ended, timer = self.at.get() if self.at.exists() else (0, 0, False, 0)
-        last = 0
+        # Each call of the state is a message to the store: turns that are due at once never go there.
+        due, steps, ended, timer, held = self.at.get() or (0, 0, False, 0, 0)
+        last, came = 0, {}
         for r in rows:
             last = max(last, int(r.ts.timestamp() * 1000))
-            if not ended and r.turn >= due and not self.waiting.containsKey((r.turn,)):
-                self.waiting.updateValue((r.turn,), (r.action, r.content))
-        while not ended and self.waiting.containsKey((due,)):
-            step, steps, ended = self._step(key, due, steps)
+            if not ended and r.turn >= due and r.turn not in came and not (held and self.waiting.containsKey((r.turn,))):
+                came[r.turn] = r.action, r.content
+        while not ended:
+            if due in came:
+                turn = came.pop(due)
+            elif held and self.waiting.containsKey((due,)):
+                turn = self.waiting.getValue((due,))
+                self.waiting.removeKey((due,))
+                held -= 1
+            else:
+                break
+            step, steps, ended = self._step(key, due, steps, turn)
             due += 1
             yield step
-        if ended:
+        if ended and held:
             self.waiting.clear()
+        if ended:
+            held = 0
+        else:
+            for turn, value in came.items():
+                self.waiting.updateValue((turn,), value)
+            held += len(came)
         # One timer for each episode: of its latest event.
         if last + self.keep > timer:
             if timer:
                 self.handle.deleteTimer(timer)
             timer = last + self.keep
             self.handle.registerTimer(timer)
-        self.at.update((due, steps, ended, timer))
+        self.at.update((due, steps, ended, timer, held))
 
-    def _step(self, key, turn: int, steps: int) -> tuple[Row, int, bool]:
-        action, content = self.waiting.getValue((turn,))
-        self.waiting.removeKey((turn,))
+    def _step(self, key, turn: int, steps: int, value: tuple[str, str]) -> tuple[Row, int, bool]:
+        action, content = value
         done = action == "answer"
         return Row(id=key[0], turn=turn, step=steps, action=action, content=content, done=done, valid=action != "invalid"), steps + 1, done or steps + 1 >= self.max_turns
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.at.exists():
-            _, steps, ended, _ = self.at.get()
-            for (turn,) in sorted(self.waiting.keys()) if not ended else []:
-                step, steps, ended = self._step(key, turn, steps)
+        _, steps, ended, _, held = self.at.get() or (0, 0, True, 0, 0)
+        if held:
+            for (turn,), value in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
+                step, steps, ended = self._step(key, turn, steps, value)
                 yield step
                 if ended:
                     break
-        self.waiting.clear()
+            self.waiting.clear()
         self.at.clear()
 
     def close(self) -> None:

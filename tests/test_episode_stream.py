@@ -63,3 +63,37 @@ def test_stream_restarts_and_clears_its_state(spark):
     again = episodes.finish(got.repartition(7).orderBy(F.rand())).collect()[0]
     assert again["digest"] == summary["digest"]
     assert episodes.finish(got.unionByName(got.limit(1))).collect()[0]["broken"] > 0
+
+
+class Calls:
+    """State of one key that counts its calls."""
+
+    def __init__(self):
+        self.n, self.map, self.value = 0, {}, None
+
+    def __getattr__(self, name):
+        def call(*x):
+            self.n += 1
+            if name == "get":
+                return self.value
+            if name == "update":
+                self.value = x[0]
+            return {"containsKey": lambda k: k in self.map, "getValue": lambda k: self.map[k], "removeKey": self.map.pop, "clear": self.map.clear, "updateValue": self.map.__setitem__, "exists": lambda: self.value is not None}.get(name, lambda *_: None)(*x)
+
+        return call
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+
+def test_turns_that_are_due_do_not_go_through_the_state():
+    from pyspark.sql import Row
+
+    state, one = Calls(), episodes.Episodes(4)
+    one.init(state)
+    row = lambda t: Row(turn=t, action="search", content=f"q{t}", ts=START)
+    assert [s["turn"] for s in one.handleInputRows((1,), iter([row(1), row(0), row(3), row(1)]), None)] == [0, 1]
+    assert state.map == {(3,): ("search", "q3")} and state.n <= 4
+    assert [(s["turn"], s["content"]) for s in one.handleInputRows((1,), iter([row(2), row(3)]), None)] == [(2, "q2"), (3, "q3")] and not state.map
