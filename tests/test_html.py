@@ -88,3 +88,17 @@ def test_pages_on_spark(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html").union(spark.createDataFrame([(-1, None), (-2, "")], "page_id bigint, html string"))
     got = {r["page_id"]: r["p"] for r in pages.select("page_id", html.paragraph_texts(F.col("html")).alias("p")).collect()}
     assert got == {r["page_id"]: None if r["html"] is None else standard(r["html"]) for r in pages.collect()}
+
+
+def test_pages_are_taken_apart_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from sextant.functions import html
+
+    pages = [None, "", *(f"<p>a{i}<p>" + "b" * (i % 700) for i in range(3000)), "<p>" + "c" * (2 * html.PIECE), None]
+    held, built = [], pa.array
+    monkeypatch.setattr(html.pa, "array", lambda rows, kind: held.append(len(rows)) or built(rows, kind))
+    got = html._found(built(pages, pa.string()).slice(1))
+    assert got.to_pylist() == [None if p is None else html.paragraphs(p) for p in pages[1:]]
+    assert len(held) > 3 and max(held) < 1500
+    assert html._found(built([], pa.string())).to_pylist() == []
