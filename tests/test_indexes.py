@@ -123,3 +123,11 @@ def test_inverted_index_of_nothing(spark):
     inverted_index.build(spark.createDataFrame([], "doc_id bigint, text string"), path)
     asked = spark.createDataFrame([(1, "a")], "query_id bigint, text string")
     assert inverted_index.Index(spark, path).search(asked, 3).collect() == []
+
+
+def test_postings_are_counted_in_parts_by_bytes(spark):
+    docs = corpus(spark)
+    got = retrieval.postings(docs, piece=1000)
+    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0]
+    assert got.rdd.getNumPartitions() == size // 1000 > 20
+    assert got.count() == docs.selectExpr("doc_id", "explode(split(lower(text), ' ')) AS w").where("w <> ''").distinct().count()
