@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import protocol, scoring, text
 from sextant.operators import balance, batch, episodes, evaluation, retrieval, sequences
-from sextant.plans import retrieval_queries
+from sextant.plans import curation_queries, retrieval_queries
 from sextant.sources import corpus, runlog
 
 ODD = ["", " ", "The U.S.A.!", "an apple, a day", "naïve  café", "ïan an", "Straße ﬁ", "a b\tc\n", "＋５", "日本 の 本", "x_y", None]
@@ -216,6 +216,17 @@ def test_episode_stops_at_the_answer(spark):
     assert {(r.id, r.turns, r.searches, r.invalid) for r in episodes.episode_totals(steps).collect()} == {(1, 3, 1, 1), (2, 1, 0, 0)}
 
 
+def test_every_turn_is_a_step_with_its_search(spark):
+    """No turn is left out, and the search is not pruned from the plan."""
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    turns = {(r.conv_id, r.turn) for r in spark.read.parquet(f"{data}/conversations.parquet").collect()}
+    steps = curation_queries.env_step(spark, data).collect()
+    assert sorted((r.id, r.turn) for r in steps) == sorted(turns) and any(turn > 0 for _, turn in turns)
+    assert any(r.observation for r in steps if r.action == "search") and all(r.content for r in steps if r.action == "answer")
+
+
 def test_run_log(spark):
     lines = spark.createDataFrame([(0, "\x1b[36mstep:3 - a/b:0.25 - c:x - d:e:2\x1b[0m"), (1, "no step - a:1"), (2, "step:4 - a/b:1.5")], "line_no bigint, line string")
     m = runlog.metrics(lines)
