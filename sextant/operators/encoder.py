@@ -1,7 +1,7 @@
 """Vectors of texts by signed hashing, and search that joins them with BM25.
 
 A text's features are its words and pairs of neighbouring words, by 64-bit hashes made
-in the JVM.  Each has a place and a sign in a vector of fixed width, and a weight: the
+in the JVM for words and by the same function in tasks for pairs.  Each has a place and a sign in a vector of fixed width, and a weight: the
 logarithm of how often it occurs, times the rarity of its bucket, of which there are so
 many that their numbers are a bounded table (``BUCKETS``).  Vectors have length 1, so
 that inner products are similarities.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,45 +23,92 @@ from pyspark.sql import functions as F
 from sextant.functions.text import phrase_tokens
 
 WIDTH, BUCKETS = 384, 1 << 18
+#: Buckets whose counts move together; texts whose vectors are made at a time.
+SLICE, PIECE = 1 << 12, 1024
+U = np.uint64
+#: The constants of xxHash.
+_P = tuple(U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 #: What is added to a rank before two lists of hits are joined by the sums of inverses.
 FUSED_AT = 60
 
 
-def features(text: Column) -> Column:
-    """Hashes of the words of a text and of their pairs."""
-    words = F.transform(phrase_tokens(text), lambda x: F.xxhash64(x))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.concat(words, pairs)
+def words_of(text: Column) -> Column:
+    """Hashes of the words of a text, in order."""
+    return F.transform(phrase_tokens(text), lambda x: F.xxhash64(x))
 
 
-def bucket(hash_: Column) -> Column:
-    return F.pmod(hash_, F.lit(BUCKETS))
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U(by)) | (x >> U(64 - by))
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    h = (_turned(x * _P[1], 31) * _P[0]) ^ (seed + _P[4] + U(8))
+    h = _turned(h, 27) * _P[0] + _P[3]
+    h = (h ^ (h >> U(33))) * _P[1]
+    h = (h ^ (h >> U(29))) * _P[2]
+    return h ^ (h >> U(32))
+
+
+def features(words: np.ndarray) -> np.ndarray:
+    """Hashes of a text's words and of their neighbouring pairs, which are those that
+    ``F.xxhash64`` gives for two of them."""
+    x = words.view(np.uint64)
+    return np.concatenate([words, _hash_long(x[1:], _hash_long(x[:-1], U(42))).view(np.int64)])
+
+
+def texts(column: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of the words of each text of a batch; none for a null one."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        yield flat[lo:hi]
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """ln(1 + n / (1 + texts with a feature of the bucket)), for each bucket; counted
-    before it moves."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.array_distinct(F.transform(features(F.col(text_col)), bucket)).alias("b"))
-    n = rows.count()
-    out = np.zeros(BUCKETS)
-    counts = rows.select(F.explode("b").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).toArrow()  # BUCKETS rows at most
-    out[counts["b"].to_numpy()] = counts["n"].to_numpy()
+    """ln(1 + n / (1 + texts with a feature of the bucket)), for each bucket.  Tasks
+    count, and their counts are added up in slices."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, out = 0, np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            for words in texts(batch.column(0)):
+                out[np.unique(features(words) % BUCKETS)] += 1
+        if n:
+            yield _slices([-1, *range(0, BUCKETS, SLICE)], [np.array([n]), *(out[at : at + SLICE] for at in range(0, BUCKETS, SLICE))])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(packed, np.int64)
+        yield _slices(list(sums), list(sums.values()))
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(words_of(F.col(text_col)).alias("w"))
+    n, out = 0, np.zeros(BUCKETS)
+    counts = rows.mapInArrow(count, "at int, n binary").repartition("at").mapInArrow(add, "at int, n binary").toArrow()  # BUCKETS numbers
+    for at, packed in zip(*(c.to_pylist() for c in counts.columns), strict=True):
+        if at < 0:
+            n = int(np.frombuffer(packed, np.int64)[0])
+        else:
+            out[at : at + SLICE] = np.frombuffer(packed, np.int64)
     return np.log(1 + max(n, 1) / (1 + out))
 
 
-def vectors_of(offsets: np.ndarray, hashes: np.ndarray, weights: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """A row for each text, given where its hashes begin."""
-    out = np.zeros((len(offsets) - 1, width))
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((hashes, owner))
-    owner, hashes = owner[order], hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])) if len(hashes) else np.empty(0, np.int64)
-    count = np.diff(np.append(first, len(hashes)))
-    owner, hashes = owner[first], hashes[first]
-    bits = hashes.astype(np.uint64)
-    place = (bits >> np.uint64(20)) % np.uint64(width)
-    sign = np.where(bits >> np.uint64(63), -1.0, 1.0)
-    np.add.at(out, (owner, place.astype(np.int64)), sign * (1 + np.log(count)) * weights[hashes % BUCKETS])
+def _slices(at: list[int], counts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["at", "n"])
+
+
+def vectors_of(lists: pa.Array, weights: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """A row for each text, given the hashes of its words; a text at a time, so that
+    what is sorted is short."""
+    out = np.zeros((len(lists), width))
+    for row, words in zip(out, texts(lists), strict=True):
+        hashes, count = np.unique(features(words), return_counts=True)
+        bits = hashes.view(np.uint64)
+        place = ((bits >> U(20)) % U(width)).astype(np.int64)
+        sign = np.where(bits >> U(63), -1.0, 1.0)
+        row += np.bincount(place, sign * (1 + np.log(count)) * weights[hashes % BUCKETS], width)
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, length, out=out, where=length > 0)
 
@@ -71,13 +119,13 @@ def encode(texts: DataFrame, weights: np.ndarray, id_col: str, text_col: str = "
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            v = vectors_of(offsets, lists.flatten().to_numpy(zero_copy_only=False), box.value, width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, width), pa.int32()), pa.array(v.ravel(), pa.float32()))], ["id", "v"])
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(1)), 0))  # a filter on rows would take texts apart once more
+            for at in range(0, batch.num_rows, PIECE):
+                some = batch.slice(at, PIECE)
+                v = vectors_of(some.column(1), box.value, width)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, width), pa.int32()), pa.array(v.ravel(), pa.float32()))], ["id", "v"])
 
-    rows = texts.select(F.col(id_col).cast("bigint").alias("id"), features(F.col(text_col)).alias("f")).where(F.size("f") > 0)
-    return rows.mapInArrow(go, "id bigint, v array<float>")
+    return texts.select(F.col(id_col).cast("bigint").alias("id"), words_of(F.col(text_col)).alias("w")).mapInArrow(go, "id bigint, v array<float>")
 
 
 def fused(k: int, *hits: DataFrame) -> DataFrame:

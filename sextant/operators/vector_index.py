@@ -43,7 +43,7 @@ NO_ID = -(1 << 63)
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, width: int | None = None) -> DataFrame:
     """(id, v) of vectors of finite numbers (of ``width``)."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("float"))
+    v = F.col(vector_col) if dict(vectors.dtypes)[vector_col] == "array<float>" else F.transform(F.col(vector_col), lambda x: x.cast("float"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0) & finite)
     return rows.where(F.size("v") == width) if width else rows
@@ -65,8 +65,11 @@ def _grouped(x: np.ndarray, groups: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), groups, -1)
 
 
-def _sum(g: int, c: int, n: int, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([c], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["g", "c", "n", "total"])
+def _sums(g: np.ndarray, c: np.ndarray, n: np.ndarray, total: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows of (group, centre, count, packed sum), many to a batch."""
+    for at in range(0, len(g), BLOCK):
+        some = slice(at, at + BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(g[some], pa.int32()), pa.array(c[some], pa.int32()), pa.array(n[some], pa.int64()), pa.array(total[some], pa.binary())], ["g", "c", "n", "total"])
 
 
 def lloyd(rows: DataFrame, centres: np.ndarray, groups: int, rounds: int) -> np.ndarray:
@@ -89,8 +92,8 @@ def lloyd(rows: DataFrame, centres: np.ndarray, groups: int, rounds: int) -> np.
                         own, first = np.unique(of[order], return_index=True)
                         total[g, own] += np.add.reduceat(parts[order, g], first)
                         n[g, own] += np.diff(np.append(first, len(of)))
-            for g, c in zip(*np.nonzero(n), strict=True):
-                yield _sum(g, c, n[g, c], total[g, c])
+            g, c = np.nonzero(n)
+            yield from _sums(g, c, n[g, c], [total[i, j].tobytes() for i, j in zip(g, c, strict=True)])
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, int], list] = {}
@@ -99,8 +102,8 @@ def lloyd(rows: DataFrame, centres: np.ndarray, groups: int, rounds: int) -> np.
                     of = sums.setdefault((g, c), [0, 0.0])
                     of[0] += n
                     of[1] = of[1] + np.frombuffer(total)
-            for (g, c), (n, total) in sums.items():
-                yield _sum(g, c, n, total)
+            g, c = np.array(list(sums), np.int64).reshape(-1, 2).T
+            yield from _sums(g, c, np.array([n for n, _ in sums.values()], np.int64), [total.tobytes() for _, total in sums.values()])
 
         schema = "g int, c int, n bigint, total binary"
         moved = centres.copy()
@@ -114,14 +117,16 @@ def lloyd(rows: DataFrame, centres: np.ndarray, groups: int, rounds: int) -> np.
     return centres
 
 
-def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None, rounds: int = ROUNDS) -> str:
-    """Write an index of ``vectors`` to ``path``."""
+def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None, rounds: int = ROUNDS, width: int | None = None) -> str:
+    """Write an index of ``vectors`` to ``path``; if their ``width`` is known, they are
+    computed once only."""
     spark = vectors.sparkSession
-    size = usable(vectors, id_col, vector_col).agg(F.max(F.size("v")).alias("width")).collect()[0].width or 0  # one row
+    size = width or usable(vectors, id_col, vector_col).agg(F.max(F.size("v")).alias("width")).collect()[0].width or 0  # one row
     rows = usable(vectors, id_col, vector_col, size or 1)
     rows.write.parquet(f"{path}/vectors")
     rows = spark.read.schema(rows.schema).parquet(f"{path}/vectors")
     n = rows.count()
+    size = size if n else 0
     lists = max(1, min(n, MOST_LISTS, lists or round(LISTS_BY_ROOT * n**0.5)))
     groups = max(1, -(-size // GROUP))
     draw = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) / float(1 << 30)

@@ -43,6 +43,16 @@ def test_vectors(spark):
     assert np.allclose(got[0], got[7]) and np.allclose(got[None], got[2])
 
 
+def test_texts_are_taken_apart_once(spark):
+    """Pairs are hashed as Spark does, and no plan has the words' expression twice."""
+    d = spark.createDataFrame([(1, "a b c b"), (2, "one"), (3, None)], "doc_id bigint, text string")
+    w = {r.doc_id: r.w for r in d.select("doc_id", encoder.words_of(F.col("text")).alias("w")).collect()}
+    want = [r.h for r in spark.createDataFrame(list(zip(w[1], w[1][1:])), "a bigint, b bigint").select(F.xxhash64("a", "b").alias("h")).collect()]
+    assert encoder.features(np.array(w[1])).tolist() == w[1] + want and encoder.features(np.array(w[2])).tolist() == w[2]
+    plan = encoder.encode(d, encoder.rarity(d), "doc_id").where("id > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_empty_corpus(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     weights = encoder.rarity(d)
