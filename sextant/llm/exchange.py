@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.base import row_bytes
-from sextant.llm.kernels import WIDE, unique_wide
+from sextant.llm.kernels import WIDE, mix, unique_wide
 
 U = np.uint64
 REQUEST = "kind string, bucket int, batch bigint, hashes binary, extra binary"
@@ -33,6 +33,8 @@ PLACE = np.dtype([("id", "<i8"), ("at", "<i8")])
 #: batch sends a slice to each bucket, so buckets are as large as memory allows
 #: (some 100 bytes of text for a hash: 12 MB of hashes), and their number as low.
 BATCH_BYTES, BATCHES_A_BUCKET, BUCKETS = 600_000, 256, 64
+#: Hashes of a bucket that are compared at a time.
+RANGE = 1 << 19
 
 
 def batched(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> tuple[DataFrame, int]:
@@ -45,6 +47,12 @@ def batched(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None
     return out, max(BUCKETS, n // BATCHES_A_BUCKET)
 
 
+def even(anchors: np.ndarray) -> np.ndarray:
+    """Anchors are the least of many hashes and so small numbers, nearly all of which
+    would lie in the first bucket; mixed, they are even."""
+    return mix(anchors)
+
+
 def wide(hashes: np.ndarray) -> np.ndarray:
     """64-bit hashes as ``WIDE`` ones."""
     out = np.zeros(len(hashes), WIDE)
@@ -96,17 +104,51 @@ def answer(group: pa.Table) -> pa.Table:
     """Of each hash of each slice of a bucket: ``shared``, whether another batch
     has it (with places: whether one has it in a document of smaller id), and
     ``first``, whether no batch of a smaller number has it; with places also
-    ``source``, the smallest one of each hash that is shared."""
-    group = group.sort_by("batch")
-    slices = [unpack(x) for x in group["hashes"].to_pylist()]
-    sizes = [len(x) for x in slices]
-    hashes = np.concatenate(slices)
+    ``source``, the smallest one of each hash that is shared.  Hashes are compared in
+    ranges of about ``RANGE``, so that beside the slices little is held."""
+    order = np.argsort(group["batch"].to_numpy(), kind="stable")
+    held = lambda name: [x.as_buffer() for x in group[name]]
+    packed, places = held("hashes"), held("extra") if group["extra"][0].is_valid else None
+    ends = np.cumsum([packed[i].size // WIDE.itemsize for i in order])
+    hashes = np.empty(ends[-1], WIDE)
+    place = np.empty(ends[-1], PLACE) if places else None
+    at = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+    for i, (lo, hi) in zip(order.tolist(), at, strict=True):
+        hashes[lo:hi] = unpack(packed[i])
+        if places:
+            place[lo:hi] = np.frombuffer(places[i], PLACE)
+    shared, first = np.empty(len(hashes), bool), np.empty(len(hashes), bool)
+    for some in _ranges(hashes, at):
+        shared[some], first[some], least = _compared(hashes[some], place[some] if places else None)
+        if places:
+            place[some] = least
+    bits = lambda x: pa.array([np.packbits(x[lo:hi]).tobytes() for lo, hi in at], pa.binary())
+    sources = pa.array([place[lo:hi][shared[lo:hi]].tobytes() if places else None for lo, hi in at], pa.binary())
+    take = lambda name: group[name].combine_chunks().take(pa.array(order))
+    return pa.table([take("batch"), take("kind"), take("bucket"), bits(shared), bits(first), sources], schema=_REPLY)
+
+
+def _ranges(hashes: np.ndarray, slices: list[tuple[int, int]]) -> Iterator[slice | np.ndarray]:
+    """Where the hashes of each range lie in sorted slices, in the order of slices."""
+    n = -(-len(hashes) // RANGE)
+    if n <= 1:
+        yield slice(None)
+        return
+    least, most = int(hashes["hi"].min()), int(hashes["hi"].max())
+    edges = np.array([least + (most - least) * i // n for i in range(1, n)], np.uint64)
+    cuts = np.array([[lo, *(lo + np.searchsorted(hashes["hi"][lo:hi], edges)).tolist(), hi] for lo, hi in slices])
+    for start, stop in zip(cuts.T[:-1], cuts.T[1:], strict=True):
+        count = stop - start
+        if count.any():
+            yield np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
+
+
+def _compared(hashes: np.ndarray, place: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """``shared``, ``first`` and the least place of each of the hashes of all slices."""
     order, new, of = unique_wide(hashes)
     start = np.flatnonzero(new)
-    shared, first = np.empty(len(hashes), bool), np.empty(len(hashes), bool)
-    sourced = group["extra"][0].is_valid
-    if sourced:
-        place = np.concatenate([np.frombuffer(x, PLACE) for x in group["extra"].to_pylist()])
+    shared, first, source = np.empty(len(hashes), bool), np.empty(len(hashes), bool), None
+    if place is not None:
         place = place[order]
         rank = np.lexsort((place["at"], place["id"], of))  # a hash's places keep to its stretch
         least = place[rank[start]][of]
@@ -116,10 +158,7 @@ def answer(group: pa.Table) -> pa.Table:
     else:
         shared[order] = np.diff(np.append(start, len(order)))[of] > 1
     first[order] = new
-    ends = np.cumsum(sizes)
-    bits = lambda x: [np.packbits(x[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
-    sources = [source[e - n : e][shared[e - n : e]].tobytes() if sourced else None for e, n in zip(ends, sizes, strict=True)]
-    return pa.table([group["batch"].combine_chunks(), group["kind"].combine_chunks(), group["bucket"].combine_chunks(), pa.array(bits(shared), pa.binary()), pa.array(bits(first), pa.binary()), pa.array(sources, pa.binary())], schema=_REPLY)
+    return shared, first, source
 
 
 class Replies:

@@ -46,7 +46,7 @@ def _view(group: pa.Table, width: int) -> tuple[list[bytes], View, np.ndarray]:
 
 
 def _candidates(view: View, replies: X.Replies, buckets: int) -> np.ndarray:
-    anchors, of, count = np.unique(view.anchor, return_inverse=True, return_counts=True)
+    anchors, of, count = np.unique(X.even(view.anchor), return_inverse=True, return_counts=True)
     return np.flatnonzero(view.windows((replies.read("anchor", X.wide(anchors), buckets)[0] | (count > 1))[of]))
 
 
@@ -83,7 +83,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt, buckets = X.batched(docs, id_col, text_col)
 
     def first_ask(batch: int, group: pa.Table) -> pa.Table:
-        return X.request("anchor", batch, X.wide(np.unique(_view(group, width)[1].anchor)), buckets)
+        return X.request("anchor", batch, X.wide(np.unique(X.even(_view(group, width)[1].anchor))), buckets)
 
     def second_ask(batch: int, group: pa.Table, replies: X.Replies) -> pa.Table:
         _, view, ids = _view(group, width)

@@ -51,7 +51,7 @@ class _Plan:
 
     def __init__(self, view: View, buckets: int, kind: str = "") -> None:
         self.view, self.buckets, self.kind = view, buckets, kind
-        anchors, self.of, self.count = np.unique(view.anchor, return_inverse=True, return_counts=True)
+        anchors, self.of, self.count = np.unique(X.even(view.anchor), return_inverse=True, return_counts=True)
         self.anchors = X.wide(anchors)
         self.classes, self.leader, self.class_of, self.class_count = X.unique(view.contexts())
 

@@ -103,6 +103,37 @@ def test_packed_hashes():
         assert (exchange.unpack(exchange.pack(u)) == u).all()
 
 
+def test_anchors_are_even_over_buckets():
+    """No bucket gets most anchors, which are the least of many hashes."""
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 123, 400_000).astype(np.uint8).tobytes()
+    plan = suffix_dedup._Plan(suffix_dedup._view([data], 400, 200)[1], 64)
+    share = np.diff(exchange.bounds(plan.anchors, 64)) / len(plan.anchors)
+    assert len(plan.anchors) > 3000 and share.max() < 0.05
+
+
+@pytest.mark.parametrize("sourced", [False, True])
+def test_a_bucket_is_compared_in_ranges(sourced, monkeypatch):
+    """As at once, and with little held beside the slices."""
+    rng = np.random.default_rng(5)
+    seen, compared = [], exchange._compared
+    monkeypatch.setattr(exchange, "_compared", lambda h, p: (seen.append(len(h)), compared(h, p))[1])
+    rows = []
+    for batch in rng.permutation(40).tolist():
+        hashes = np.zeros(int(rng.integers(1, 300)), exchange.WIDE)
+        hashes["hi"], hashes["lo"] = rng.integers(0, 900, len(hashes)).astype(np.uint64) << np.uint64(40), rng.integers(0, 2, len(hashes))
+        hashes = np.unique(hashes)
+        place = np.zeros(len(hashes), exchange.PLACE)
+        place["id"], place["at"] = rng.integers(0, 30, len(hashes)), rng.integers(0, 9, len(hashes))
+        rows.append(("w", 3, batch, exchange.pack(hashes), place.tobytes() if sourced else None))
+    group = exchange.pa.table([exchange.pa.array(c, f.type) for c, f in zip(zip(*rows), exchange._REQUEST)], schema=exchange._REQUEST)
+    whole = exchange.answer(group).to_pylist()
+    n = seen[-1]
+    monkeypatch.setattr(exchange, "RANGE", 200)
+    assert exchange.answer(group).to_pylist() == whole and len(whole) == 40
+    assert sum(seen[1:]) == n and max(seen[1:]) < 400
+
+
 def test_exchanged_words_are_no_repeats(llm_spark):
     """Texts of 49 common words and one of two long words that sums would confuse."""
     common = " ".join(f"w{i}" for i in range(49))
