@@ -68,3 +68,26 @@ def test_words_in_blocks_find_what_all_pairs_find(spark, monkeypatch):
         assert key(retrieval.bm25_top(queries, docs, k)) == key(retrieval.top_k(retrieval.bm25(queries, docs), k, "doc_id"))
     moved = retrieval.bm25_top(queries, docs, 1)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in moved
+
+
+def test_documents_move_packed(spark, monkeypatch):
+    """A document is one row whatever its words; many queries of few words do not make
+    the corpus's words shuffle, and many words find the same."""
+    kept, plans = {}, {}
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        kept[name] = df.cache()
+        return kept[name]
+
+    monkeypatch.setattr(retrieval, "written", written)
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} w{i % 7} other") for i in range(200)], "doc_id bigint, text string").repartition(3)
+    queries = spark.createDataFrame([(i, f"w{i % 3} w{i % 4}") for i in range(60)], "query_id bigint, text string")
+    rows = lambda d: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in d.collect())
+    monkeypatch.setattr(retrieval, "SMALL", 20)  # fewer than rows of queries, more than their words
+    found = rows(retrieval.bm25_top(queries, docs, 3))
+    assert kept["postings"].count() == 200 and len(found) == 180
+    assert "strategy=broadcast" in plans["postings"]
+    monkeypatch.setattr(retrieval, "SMALL", 2)
+    assert rows(retrieval.bm25_top(queries, docs, 3)) == found and kept["postings"].count() == 200
+    assert "strategy=broadcast" not in plans["postings"]
